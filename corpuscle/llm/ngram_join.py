@@ -241,12 +241,15 @@ def ngram_jaccard_join(
     whole = sigs.where("key is not null and id is not null")
     classes = materialize(whole.groupBy("key").agg(F.min("id").alias("copy_id"), F.count("*").alias("size"), F.first("n_words").alias("n_words"), F.first("bands").alias("bands")), "classes")
 
-    hashes = classes.select(F.col("copy_id").alias("id"), "key", "size", "n_words", "bands", F.posexplode("bands").alias("band", "hash"))
+    # Only (id, band hash) is shuffled for every class; signatures join the few members of shared buckets.
+    hashes = classes.select(F.col("key"), F.col("n_words"), F.explode("bands").alias("hash"))
     chunks = F.ceil(F.greatest(F.col("m") / block_members, F.col("w") / block_words)).cast("int")
-    buckets = hashes.groupBy("band", "hash").agg(F.count("*").alias("m"), F.sum("n_words").alias("w")).where("m > 1").select("band", "hash", chunks.alias("chunks"))
-    chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+    buckets = hashes.groupBy("hash").agg(F.count("*").alias("m"), F.sum("n_words").alias("w")).where("m > 1").select("hash", chunks.alias("chunks"))
+    shared = hashes.select("key", "hash").join(buckets, "hash")
+    chunk = F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")
     members = (
-        hashes.drop("n_words").join(buckets, ["band", "hash"])
+        shared.join(classes.select("key", F.col("copy_id").alias("id"), "size", "bands"), "key")
+        .withColumn("band", (F.array_position("bands", F.col("hash")) - 1).cast("int"))
         .withColumn("chunk", chunk)
         .withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
         .select("id", "key", "size", "bands", "band", "hash", "chunk", F.least("chunk", "other").alias("c"), F.greatest("chunk", "other").alias("d"))
