@@ -100,7 +100,8 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
 
 def read_back(formatted: Column) -> Column:
     """The turns of a formatted conversation: array of (role, text), unescaped; placeholders stay as text."""
-    pieces = F.slice(F.split(formatted, "<\\|turn\\|>"), 2, 2**31 - 1)
+    pieces = F.split(formatted, "<\\|turn\\|>")
+    pieces = F.slice(pieces, F.lit(2), F.size(pieces) - 1)  # a conversation starts with a turn
     role = lambda p: unescape(F.substring_index(p, BODY, 1))
     text = lambda p: unescape(F.substr(p, F.locate(BODY, p) + 1, F.length(p) - F.locate(BODY, p) - len(END)))
     return F.transform(pieces, lambda p: F.struct(role(p).alias("role"), text(p).alias("text")))

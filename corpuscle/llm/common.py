@@ -68,12 +68,13 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list, list], dict]], s
     """Applies a batch function to (id, text): make() runs once per task and returns f(ids, texts) -> columns.
 
     Batches are cut again so that no call sees more than most_chars code points, except
-    for a single longer text.
+    for a single longer text. Further columns of df whose names schema holds are passed on.
     """
     fields = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
     target = to_arrow_schema(fields)
+    more = [c for c in df.columns[2:] if c in fields.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = None
@@ -82,9 +83,10 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list, list], dict]], s
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for start, stop in cuts([len(t) if t else 0 for t in texts], most_chars):
                 out = f(ids[start:stop], texts[start:stop])
-                yield pa.RecordBatch.from_arrays([pa.array(out[c.name], type=c.type) for c in target], schema=target)
+                out |= {c: batch.column(k).slice(start, stop - start) for k, c in enumerate(more, 2)}
+                yield pa.RecordBatch.from_arrays([out[c.name] if c.name in more else pa.array(out[c.name], type=c.type) for c in target], schema=target)
 
-    return df.select("id", "text").mapInArrow(run, fields)
+    return df.select("id", "text", *more).mapInArrow(run, fields)
 
 
 def cuts(sizes: list[int], most: int) -> list[tuple[int, int]]:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ngram_join
+from . import bpe, chat, common, ego_join, langid, mixing, ngram_join, quality, token_counts, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +20,77 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the distribution-divergence verdict of all documents."""
+    return quality.quality_rules(_table(spark, sf_dir, "documents"))
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and conversation -7 whose texts hold control strings, formatted and read back."""
+    turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    probe = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
+    turns = turns.unionByName(probe).select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts"))
+    read = chat.format_conversations(turns).withColumn("turns", chat.read_back(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans")))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from those that are not held out."""
+    docs, vocabulary = _table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")
+    found = langid.identify(docs, langid.fit(docs, vocabulary), vocabulary)
+    return found.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+#: The mixture of op5: domains are groups of sources by the first hex digit of their names' MD5.
+DOMAIN = F.when(F.substring(F.md5("source"), 1, 1) < "6", "web").when(F.substring(F.md5("source"), 1, 1) < "b", "books").otherwise("code")
+MIX_WEIGHTS = {"web": 50, "books": 30, "code": 20} | {f"{d}/{lang}": w for d in ("web", "books", "code") for lang, w in (("en", 40), ("de", 25), ("fr", 20), ("es", 15))}
+
+
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three fifths of all words, mixed by domain, language and source, a source repeated three times at most."""
+    docs = _table(spark, sf_dir, "documents")
+    return mixing.mix_sources(docs, {"domain": DOMAIN, "lang": F.col("lang"), "source": F.col("source")}, MIX_WEIGHTS, (3, 5), 3)
+
+
+def op6_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all embeddings of equal label: cosine of 0.98 or more."""
+    return ego_join.ego_join(_table(spark, sf_dir, "embeddings"))
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded by the multilingual byte-level ranks, and decoded."""
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from labels that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    return found.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+URL_RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules, then the character models, for the URLs of all pages."""
+    return urls.url_filter(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact token counts of all documents, and the prefix that a budget of 1,024 tokens allows."""
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join, op2_quality_divergence, op3_chat_format, op4_language_id, op5_source_mix,
+        op6_ego_join, op7_byte_bpe, op8_toxicity, op9_url_filter, op10_token_counts,
+    )
 }
 ORACLES: dict[str, str] = {}
