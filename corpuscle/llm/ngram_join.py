@@ -221,6 +221,7 @@ def _verify(ngram: int, threshold: float):
 def ngram_jaccard_join(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, threshold: float = 0.8,
     recall: float = 0.9999, block_members: int = 128, block_words: int = 400_000,
+    filter_buckets: int = 1 << 20,
 ) -> DataFrame:
     """Links texts whose sets of n-word shingles have a Jaccard similarity of at least `threshold`.
 
@@ -257,7 +258,11 @@ def ngram_jaccard_join(
     ordered = members.repartition(*BLOCK).sortWithinPartitions(*BLOCK)
     fresh = materialize(ordered.mapInArrow(_participants, members.schema), "blocks")
 
-    texts = docs.join(fresh.select("id").distinct(), "id", "left_semi").groupBy("id", F.sha2("text", 256)).agg(F.first("text").alias("text")).select("id", "text")
+    # The ids' hashes fall into filter_buckets buckets at most, so this list is bounded and can be sent to every
+    # task: it keeps most other texts out of the shuffle, and passes more of them the more candidates there are.
+    bucket = F.pmod(F.xxhash64("id"), F.lit(filter_buckets)).alias("bucket")
+    near = docs.withColumn("bucket", bucket).join(F.broadcast(fresh.select(bucket).distinct()), "bucket", "left_semi").drop("bucket")
+    texts = near.join(fresh.select("id").distinct(), "id", "left_semi").groupBy("id", F.sha2("text", 256)).agg(F.first("text").alias("text")).select("id", "text")
     blocks = fresh.join(texts, "id").repartition(*BLOCK).sortWithinPartitions(*BLOCK)
     found = materialize(blocks.mapInArrow(_verify(ngram, threshold), "id long, key binary, links long, root long"), "links")
 
@@ -273,3 +278,20 @@ def ngram_jaccard_join(
         F.col("n_words"),
         F.coalesce(F.col("id") == F.coalesce("component", "copy_id", "id"), F.lit(True)).alias("kept"),
     )
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of df, all columns as they are, without all but one of each class of near copies.
+
+    The row with the class's smallest id stays; of rows that repeat an id one stays. Rows
+    with null ids stay.
+    """
+    found = materialize(ngram_jaccard_join(df, id_col, text_col, **options).select(F.col(id_col).alias("_near_id"), "kept"), "kept")
+    key = df[id_col].cast("long")
+    dropped = found.where("not kept").select("_near_id").distinct()
+    repeated = materialize(found.where("kept and _near_id is not null").groupBy("_near_id").count().where("count > 1").select("_near_id"), "repeated")
+    left = df.join(dropped, key == F.col("_near_id"), "left_anti")
+    if repeated.isEmpty():
+        return left
+    once = left.join(repeated, key == F.col("_near_id"), "left_anti")
+    return once.unionByName(left.join(repeated, key == F.col("_near_id"), "left_semi").dropDuplicates([id_col]))
