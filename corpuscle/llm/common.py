@@ -89,6 +89,22 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list, list], dict]], s
     return df.select("id", "text", *more).mapInArrow(run, fields)
 
 
+def filter_texts(df: DataFrame, make: Callable[[], Callable[[list], np.ndarray]], text_col: str, most_chars: int = 1_000_000) -> DataFrame:
+    """The rows of df, all columns as they are, for whose texts make()(texts) is true; no shuffle."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = None
+        for batch in batches:
+            f = f or make()
+            texts = batch.column(at).to_pylist()
+            for start, stop in cuts([len(t) if t else 0 for t in texts], most_chars):
+                keep = pa.array(np.asarray(f(texts[start:stop]), dtype=bool))
+                yield batch.slice(start, stop - start).filter(keep)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def cuts(sizes: list[int], most: int) -> list[tuple[int, int]]:
     """Ranges that cover sizes in order, each of at most `most` in sum or of one entry."""
     out, start, total = [], 0, 0

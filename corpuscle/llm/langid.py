@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import id_and_text, map_texts, materialize, trainable
+from .common import filter_texts, id_and_text, map_texts, materialize, trainable
 
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
@@ -255,3 +255,21 @@ def identify(df: DataFrame, model: dict | None, vocabulary: str, id_col: str = "
         return run
 
     return map_texts(texts, make, "id long, lang_pred string, score double", 1_000_000).withColumnRenamed("id", id_col)
+
+
+def keep_known(df: DataFrame, model: dict | None, vocabulary: str, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of df, all columns as they are, with a language whose score is `least` or more; all of them if model is None."""
+    if model is None:
+        return df
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        identifier = Identifier(shared.value, vocabulary)
+
+        def run(texts: list) -> np.ndarray:
+            langs, scores = identifier(texts)
+            return np.array([lang != UND and score >= least for lang, score in zip(langs, scores, strict=True)], dtype=bool)
+
+        return run
+
+    return filter_texts(df, make, text_col)

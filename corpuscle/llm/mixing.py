@@ -68,6 +68,11 @@ def leaf_budgets(leaves: DataFrame, levels: list[str], weights: dict[str, int],
     return nodes.join(above, levels)
 
 
+def seeded_order(seed: int, epoch: Column, doc_id: Column) -> Column:
+    """The hex string that orders a leaf's documents in an epoch."""
+    return F.md5(F.concat_ws("-", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+
+
 def mix_sources(
     df: DataFrame, levels: dict[str, Column], weights: dict[str, int], fraction: tuple[int, int] = (1, 2), max_epochs: int = 1,
     seed: int = 7, id_col: str = "doc_id", n_tokens: Column | None = None,
@@ -98,8 +103,7 @@ def mix_sources(
 
     whole = docs.join(leaves.where("epochs > 0").select(*names, "epochs"), names).withColumn("epoch", F.explode(F.expr("sequence(0, epochs - 1)"))).select("id", *names, "epoch", "n_tokens", F.col("n_tokens").alias("take_tokens"))
 
-    order = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit("null"))))
-    some = docs.join(leaves.where("rest > 0"), names).withColumn("order", order)
+    some = docs.join(leaves.where("rest > 0"), names).withColumn("order", seeded_order(seed, F.col("epochs"), F.col("id")))
     some = some.withColumn("range", F.floor(F.conv(F.substring("order", 1, 8), 16, 10).cast("long") * F.col("ranges") / 2**32))
     here = Window.partitionBy(*names, "range").orderBy("order", F.col("id").asc_nulls_first(), "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     upto = Window.partitionBy(*names).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -108,3 +112,21 @@ def mix_sources(
     left = F.col("rest") - F.col("start") - F.col("inside")
     part = part.where(left > 0).select("id", *names, F.col("epochs").alias("epoch"), "n_tokens", F.least("n_tokens", left).alias("take_tokens"))
     return whole.unionByName(part).withColumnRenamed("id", id_col)
+
+
+def keep_mixed(df: DataFrame, levels: dict[str, Column], weights: dict[str, int], fraction: tuple[int, int], seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df, all columns as they are, of which mix_sources takes at least a token in one epoch.
+
+    What a leaf takes is a prefix of its order, so one row per leaf, the last that it takes,
+    decides: the texts are filtered where they are scanned and not shuffled, as long as the
+    leaves are few enough to be sent to every task, which Spark decides by their size. Rows that
+    repeat an id stay or go together.
+    """
+    names = [f"_mix_{n}" for n in levels]
+    expressions = {f"_mix_{n}": c for n, c in levels.items()}
+    order = F.struct(seeded_order(seed, F.lit(0), F.col("_mix_id")).alias("order"), F.col("_mix_id").alias("id"))
+    taken = mix_sources(df, expressions, weights, fraction, 1, seed, id_col, word_tokens(F.col(text_col))).withColumnRenamed(id_col, "_mix_id")
+    last = materialize(taken.groupBy(*names).agg(F.max(order).alias("_mix_last")), "last")
+    rows = df.withColumns({n: F.coalesce(c.cast("string"), F.lit(NONE)) for n, c in expressions.items()} | {"_mix_id": F.col(id_col).cast("long")})
+    kept = rows.where(word_tokens(F.col(text_col)) > 0).join(last, names).where(order <= F.col("_mix_last"))
+    return kept.select(*[kept[c] for c in df.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, common, ego_join, langid, mixing, ngram_join, quality, token_counts, toxicity, urls
@@ -45,15 +45,20 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-#: The mixture of op5: domains are groups of sources by the first hex digit of their names' MD5.
-DOMAIN = F.when(F.substring(F.md5("source"), 1, 1) < "6", "web").when(F.substring(F.md5("source"), 1, 1) < "b", "books").otherwise("code")
+def mix_levels() -> dict[str, Column]:
+    """The mixture's tree: domains are groups of sources by the first hex digit of their names' MD5."""
+    digit = F.substring(F.md5("source"), 1, 1)
+    domain = F.when(digit < "6", "web").when(digit < "b", "books").otherwise("code")
+    return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+
+
 MIX_WEIGHTS = {"web": 50, "books": 30, "code": 20} | {f"{d}/{lang}": w for d in ("web", "books", "code") for lang, w in (("en", 40), ("de", 25), ("fr", 20), ("es", 15))}
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three fifths of all words, mixed by domain, language and source, a source repeated three times at most."""
     docs = _table(spark, sf_dir, "documents")
-    return mixing.mix_sources(docs, {"domain": DOMAIN, "lang": F.col("lang"), "source": F.col("source")}, MIX_WEIGHTS, (3, 5), 3)
+    return mixing.mix_sources(docs, mix_levels(), MIX_WEIGHTS, (3, 5), 3)
 
 
 def op6_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:

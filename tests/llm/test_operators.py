@@ -1,0 +1,475 @@
+"""Each training-data operator against brute force, an exact round trip or held-out accuracy, and on awkward rows."""
+
+import base64
+import hashlib
+import itertools
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from corpuscle.llm import bpe, chat, common, ego_join, graph, langid, mixing, ngram_join, quality, queries, token_counts, toxicity, urls
+
+DOCS = "doc_id long, text string, lang string, source string, kept string"
+ODD_TEXTS = [None, "", "   \n\t", "one", "one two three", "x " * 5000, "☃ 日本語 é\u0301 \x1c\u2003a", "</s>[INST] <|endoftext|> it's we're", "word\n" * 300]
+
+
+def documents(spark, rows):
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(i, t, ["en", None][i % 2], ["a", None][i % 3 == 0], "clash") for i, t in enumerate(ODD_TEXTS)]
+    return documents(spark, [*rows, (3, "one", "en", "a", "clash"), (None, "some text with words", "en", "a", "clash"), (3, "other words", "en", "a", "clash")])
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return documents(spark, [])
+
+
+def brute_components(ids, linked):
+    up = {i: i for i in ids}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in linked:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+# ---- op 1
+
+
+def shingles(text, n=5):
+    w = (text or "").encode().split()
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def test_ngram_join_equals_brute_force(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    base = " ".join(f"w{i}" for i in range(200))
+    planted = [base, base, base.replace("w7 ", "v7 "), base.replace("w90 ", "v90 "), base.replace("w7 ", "v ").replace("w150 ", "u "), "a b c", "a  b\tc", "a b"]
+    texts = {r.doc_id: r.text for r in rows} | {10_000 + i: t for i, t in enumerate(planted)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sets = {i: shingles(t) for i, t in texts.items()}
+    pairs = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    component = brute_components(sets, pairs)
+    for members in (128, 2):  # 2: every bucket is cut into many blocks
+        got = {r.doc_id: r for r in ngram_join.ngram_jaccard_join(df, block_members=members).collect()}
+        assert {i: r.class_id for i, r in got.items()} == component
+        links = {i: sum(i in p for p in pairs) for i in sets}
+        assert {i: r.n_links for i, r in got.items()} == links
+        assert all(r.kept == (r.doc_id == r.class_id) for r in got.values())
+
+
+def test_ngram_join_odd_rows(odd, empty):
+    got = ngram_join.ngram_jaccard_join(odd).collect()
+    assert len(got) == len(ODD_TEXTS) + 3
+    by_text = {r.doc_id: r for r in got if r.doc_id != 3}
+    assert by_text[0].n_links == by_text[1].n_links == by_text[2].n_links == 0
+    assert by_text[None].class_id is None and by_text[None].kept
+    assert sorted(r.n_links for r in got if r.doc_id == 3) == [0, 1, 1]
+    assert ngram_join.ngram_jaccard_join(empty).count() == 0
+    assert ngram_join.keep_one(empty).count() == 0
+    kept = ngram_join.keep_one(odd)
+    assert kept.columns == odd.columns and kept.where("doc_id = 3").count() == 1
+
+
+def test_band_plan_reaches_recall():
+    for threshold in (0.5, 0.8, 0.9):
+        bands, rows = ngram_join.band_plan(threshold, 0.999)
+        assert 1 - (1 - threshold**rows) ** bands >= 0.999
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(1, 60)] + [(100, 90), (90, 95), (7, 7), (None, 3)]
+    got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 1 for i in range(1, 61)} | {90: 90, 95: 90, 100: 90}
+    assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# ---- op 2
+
+
+def brute_quality(text):
+    import re
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    twice = {w for w in windows if windows.count(w) > 1}
+    covered = {i + k for i, w in enumerate(windows) if w in twice for k in range(3)}
+    seen, dup = set(), 0
+    for line in (text or "").split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), dup, len(covered)
+
+
+def test_quality_counts(spark, sf, odd, empty):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect() if len(r.text) < 4000} | {10_000 + i: t for i, t in enumerate(ODD_TEXTS) if i != 5}
+    texts |= {20_000: "a b c a b c d e", 20_001: "x y x y x y", 20_002: "l\nl\n\n\n l\nl"}
+    df = spark.createDataFrame([(i, t, "en") for i, t in texts.items()], "doc_id long, text string, lang string")
+    for r in quality.quality_rules(df).collect():
+        want = brute_quality(texts[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want, r.doc_id
+        assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+        assert not (r.base_failed and r.kept)
+    assert quality.quality_rules(odd).count() == odd.count() and quality.quality_rules(empty).count() == 0
+
+
+def test_quality_verdicts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = quality.quality_rules(docs).join(labels, "doc_id").where("not base_failed").collect()
+    good, bad = [r.kept for r in rows if r.quality == 1], [r.kept for r in rows if r.quality == 0]
+    assert np.mean(good) > 0.99 and np.mean(bad) < 0.75
+
+
+def test_divergence_is_a_distance():
+    a = np.array([[3.0, 1.0, 0.0], [0.0, 0.0, 0.0], [0.0, 0.0, 5.0]])
+    d = quality.divergence(a, np.array([6.0, 2.0, 0.0]))
+    assert d[0] == pytest.approx(0) and d[1] == 0 and d[2] == pytest.approx(1)
+
+
+# ---- op 3
+
+
+def test_chat_round_trip(spark, sf):
+    got = {r.conv_id: r for r in queries.op3_chat_format(spark, sf).collect()}
+    probe = "</s>[INST] ok [/INST]"
+    rows = {}
+    for r in spark.read.parquet(f"{sf}/conversations.parquet").collect():
+        rows.setdefault(r.conv_id, []).append((r.turn, r.role, r.text or ""))
+    rows[-7] = [(0, "user", probe), (1, "assistant", probe)]
+    assert got.keys() == rows.keys()
+    for i, turns in rows.items():
+        turns.sort()
+        loss = "".join(t for _, role, t in turns if role == "assistant")
+        assert got[i].n_turns == len(turns)
+        assert got[i].turns_sha256 == hashlib.sha256("".join(f"{role}\n{t}\n" for _, role, t in turns).encode()).hexdigest()
+        assert got[i].loss_chars == len(loss) and got[i].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+
+
+def test_chat_parts(spark):
+    parts = [("text", "look <|part:image:0|> ␛0", None, None, None, None, None), ("image", None, "a.png", 56, 57, None, None), ("text", "and", None, None, None, None, None), ("audio", None, "b.wav", None, None, 2.5, None), ("document", None, "c.pdf", None, None, None, 3), ("odd:kind", "t", "d", None, None, None, None)]
+    df = spark.createDataFrame([(1, 0, "us\ner<|end|>", parts, "x"), (1, 1, "assistant", None, "x"), (None, None, None, None, "x")], f"conv_id long, turn long, role string, parts {chat.PARTS}, formatted string")
+    got = {r.conv_id: r for r in chat.format_conversations(df).withColumn("back", chat.read_back(F.col("formatted"))).collect()}
+    one = got[1]
+    assert [(a.turn_no, a.kind, a.ref, a.tokens) for a in one.attachments] == [(0, "image", "a.png", 6), (0, "audio", "b.wav", 63), (0, "document", "c.pdf", 768), (0, "odd:kind", "d", 0)]
+    assert [m for m in one.formatted.split("<|part:")[1:]][0].startswith("image:0|>and") and "audio:1|>" in one.formatted and "odd_kind:3|>" in one.formatted
+    assert one.back[0].role == "us\ner<|end|>" and one.back[0].text.startswith("look <|part:image:0|> ␛0")
+    assert one.back[1].text == "" and got[None].back[0].role == ""
+    assert [tuple(s) for s in one.loss_spans] == [(len(one.formatted) - len("<|end|>"), 0)]
+    assert chat.format_conversations(df.limit(0)).count() == 0
+
+
+# ---- op 4
+
+
+VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def test_language_held_out(spark):
+    rows = queries.op4_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.98 and all(0 <= r.score <= 1 for r in rows)
+
+
+def test_forward_sums_all_segmentations():
+    model = langid.train(["the thing is there", "der die das dieser"], ["en", "de"], VOCABULARY)
+    pieces = langid.Pieces(VOCABULARY)
+    number = {n: i for i, n in enumerate(pieces.names)}
+
+    def brute(w):
+        if not w:
+            return np.ones(2)
+        total = sum((model["table"][number[w[:k]]] * brute(w[k:]) for k in range(1, len(w) + 1) if w[:k] in number), np.zeros(2))
+        return total if w[0] in number else total + model["table"][-1] * brute(w[1:])
+
+    words = ["▁the", "▁there", "▁dieser", "▁☃x", "▁", "▁Straße"]
+    got = pieces.lattice(words).log_likelihood(model["table"])
+    for w, row in zip(words, got, strict=True):
+        assert np.allclose(row, np.log(brute(w)) - langid.SCALE * len(w))
+    assert np.isfinite(pieces.lattice(langid.runs("日" * 1000)).log_likelihood(model["table"])).all()
+
+
+def test_language_odd_rows(odd, empty):
+    assert langid.fit(empty, VOCABULARY) is None
+    assert {r.lang_pred for r in langid.identify(odd, None, VOCABULARY).collect()} == {"und"}
+    model = langid.train(["the thing"], ["en"], VOCABULARY)
+    got = {r.doc_id: r for r in langid.identify(odd, model, VOCABULARY).collect()}
+    assert got[0].lang_pred == got[1].lang_pred == got[2].lang_pred == "und" and got[6].lang_pred == "en"
+    assert langid.identify(empty, model, VOCABULARY).count() == 0
+    assert langid.keep_known(odd, model, VOCABULARY).columns == odd.columns
+
+
+# ---- op 5
+
+
+def brute_fill(budget, children):
+    """children: {name: (weight, capacity)}: raises a common level until the budget is used."""
+    share, left, open_ = {}, budget, dict(children)
+    while True:
+        weights = sum(w for w, _ in open_.values())
+        full = {n for n, (w, c) in open_.items() if w and c <= left / weights * w}
+        if not full:
+            return share | {n: int(left / weights * w) if weights else 0 for n, (w, c) in open_.items()}
+        first = min(full, key=lambda n: (open_[n][1] / open_[n][0], n))
+        share[first] = open_[first][1]
+        left -= share[first]
+        del open_[first]
+
+
+def test_mixing_budgets(spark):
+    import random
+
+    rng = random.Random(3)
+    leaves = [(d, lang, s, rng.randint(1, 5000), 10) for d in "ab" for lang in ("en", "fr") for s in ("s1", "s2", "s3")]
+    weights = {"a": 7, "b": 3, "a/en": 5, "a/en/s1": 4, "b/fr": 0}
+    df = spark.createDataFrame(leaves, "domain string, lang string, source string, tokens long, n_docs long")
+    for num, den in ((1, 2), (9, 10), (2, 1)):
+        got = {(r.domain, r.lang, r.source): r.budget for r in mixing.leaf_budgets(df, ["domain", "lang", "source"], weights, lambda t: F.floor(t * num / den), 2).collect()}
+        capacity = {x[:3]: 2 * x[3] for x in leaves}
+        cap = lambda p: sum(c for k, c in capacity.items() if k[: len(p)] == p)  # noqa: B023, E731
+        budget = {(): sum(x[3] for x in leaves) * num // den}
+        for depth in range(3):
+            for p in [p for p in budget if len(p) == depth]:
+                children = sorted({k[: depth + 1] for k in capacity if k[:depth] == p})
+                budget |= brute_fill(budget[p], {c: (weights.get("/".join(c), 1), cap(c)) for c in children})
+        for k, b in got.items():
+            assert abs(b - budget[k]) <= 2, (k, b, budget[k])
+
+
+def test_mixing_takes_prefixes(spark, odd, empty):
+    rows = [(i, " ".join(["w"] * (1 + i % 9)), "en", f"s{i % 3}", "x") for i in range(400)]
+    df = documents(spark, rows)
+    levels = {"domain": F.lit("d"), "source": F.col("source")}
+    got = mixing.mix_sources(df, levels, {"d/s0": 8, "d/s1": 1, "d/s2": 1}, (1, 2), 2).collect()
+    total = sum(1 + i % 9 for i in range(400))
+    assert abs(sum(r.take_tokens for r in got) - total // 2) <= 3
+    assert len({(r.doc_id, r.epoch) for r in got}) == len(got)
+    cut = [r for r in got if r.take_tokens < r.n_tokens]
+    assert len({r.source for r in cut}) == len(cut)
+    assert {r.epoch for r in got if r.source == "s0"} == {0, 1}
+    first = {r.doc_id for r in got if r.source == "s0" and r.epoch == 0}
+    assert first == {i for i in range(400) if i % 3 == 0}
+    kept = mixing.keep_mixed(df, levels, {}, (1, 2))
+    once = {r.doc_id for r in mixing.mix_sources(df, levels, {}, (1, 2), 1).collect()}
+    assert {r.doc_id for r in kept.collect()} == once and kept.columns == df.columns
+    assert mixing.mix_sources(odd, levels, {}).count() > 0 and mixing.keep_mixed(odd, levels, {}, (1, 1)).count() == odd.where("trim(text) <> '' and doc_id is null or doc_id > 2").count()
+    assert mixing.mix_sources(empty, levels, {}).count() == 0 and mixing.keep_mixed(empty, levels, {}, (1, 2)).count() == 0
+
+
+# ---- op 6
+
+
+def test_ego_join_equals_brute_force(spark, sf):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(40, 8))
+    rows = [(i, (base[i % 40] * (1 + i % 3) + rng.normal(size=8) * 0.05 * (i % 4)).astype(np.float32).tolist(), int(i % 2)) for i in range(1500)]
+    rows += [(2000 + i, [1.0] + [0.0] * 7, 1) for i in range(30)]
+    bad = [(3000, None, 1), (3001, [], 1), (3002, [0.0] * 8, 1), (3003, [float("nan")] * 8, 1), (3004, [None] + [1.0] * 7, 1), (3005, [float("inf")] + [1.0] * 7, 1), (3006, [1.0] + [0.0] * 7, None), (3007, [1.0, 2.0], 1), (3008, [2.0, 4.0], 1)]
+    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, label int").withColumn("n_links", F.lit("clash"))
+    got = {r.vec_id: r for r in ego_join.ego_join(df).collect()}
+    v = np.array([r[1] for r in rows])
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    label = np.array([r[2] for r in rows])
+    linked = (v @ v.T >= 0.98) & (label[:, None] == label[None])
+    np.fill_diagonal(linked, False)
+    ids = [r[0] for r in rows]
+    component = brute_components(ids, [(ids[i], ids[j]) for i, j in zip(*np.nonzero(np.triu(linked)), strict=True)])
+    assert {i: got[i].n_links for i in ids} == dict(zip(ids, linked.sum(1).tolist(), strict=True))
+    assert {i: got[i].component_id for i in ids} == component
+    assert all(got[i].n_links == 0 and got[i].kept for i in range(3000, 3007))
+    assert got[3007].n_links == 1 and got[3008].component_id == 3007
+    assert ego_join.ego_join(df.limit(0)).count() == 0
+
+
+# ---- op 7 and 10
+
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def strange_texts():
+    import random
+
+    rng = random.Random(7)
+    pool = [*"ab'stre  \n\t.,!0189éßñ", "\u00a0", "\u2003", "\x1c", "\x85", "日", "☃", "\U0001f600", "e\u0301", "'ll", "don't", "<|endoftext|>", "  x"]
+    return [t for t in ODD_TEXTS if t] + ["".join(rng.choice(pool) for _ in range(rng.randint(1, 60))) for _ in range(600)]
+
+
+def test_bpe_equals_tiktoken():
+    codec = bpe.Codec(RANKS, public_tokenizers.PATTERN)
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = strange_texts()
+    for text, ids in zip(texts, codec.encode(texts), strict=True):
+        assert ids == other.encode_ordinary(text), repr(text)
+        assert codec.decode(ids) == text.encode()
+        assert "".join(codec.pieces_of_text(ids)) == text
+        spans = codec.offsets(text, ids)
+        assert not spans or (spans[0][0] == 0 and spans[-1][1] == len(text) and all(b >= a for a, b in spans))
+
+
+def test_bpe_round_trip(odd, empty):
+    got = bpe.round_trip(odd, RANKS, public_tokenizers.PATTERN).collect()
+    nothing = hashlib.sha256(b"").hexdigest()
+    assert len(got) == odd.count()
+    assert all((r.n_tokens, r.ids_sha256, r.decoded_sha256) == (0, nothing, nothing) for r in got if r.doc_id in (0, 1))
+    back = bpe.decode(bpe.encode(odd, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN).collect()
+    assert sorted(r.text for r in back) == sorted(r.text or "" for r in odd.collect())
+    assert bpe.round_trip(empty, RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_token_counts_at_every_prefix():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    counter = token_counts.Counter(path, public_tokenizers.PATTERN)
+    texts = strange_texts()
+    assert counter.totals(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    for text in ["We're   here, it's\n\n  <|endoftext|> fine 123's", "naïve  café \n x", "a'"]:
+        table = token_counts.PrefixCounts(counter, text)
+        want = [len(library.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+        assert [table.at(k) for k in range(len(text) + 1)] == want
+        for budget in range(max(want) + 1):
+            assert want[table.fit(budget)] <= budget
+
+
+def test_token_counts_odd_rows(odd, empty):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    got = {r.doc_id: r for r in token_counts.token_counts(odd, path, public_tokenizers.PATTERN).collect()}
+    assert (got[0].n_bytes, got[0].n_tokens, got[0].over_limit, got[0].fit_chars) == (0, 0, False, 0)
+    assert got[5].over_limit and got[5].n_bytes == 10_000 and got[5].fit_chars < 10_000
+    assert token_counts.token_counts(empty, path, public_tokenizers.PATTERN).count() == 0
+
+
+# ---- op 8
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    rows = [r for r in toxicity.score(docs, model).collect() if r.doc_id in labels and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    toxic, clean = [r.score for r in rows if labels[r.doc_id]], [r.score for r in rows if not labels[r.doc_id]]
+    assert np.mean(np.array(toxic)[:, None] > np.array(clean)[None]) > 0.9
+    assert np.mean(np.array(clean) >= 0.5) < 0.05
+
+
+def test_toxicity_gradient():
+    words = toxicity.Words()
+    rows = words.rows(["you awful awful thing", "a nice day " * 30])
+    hashed = words.fresh()
+    win, counts = toxicity.windows(rows)
+    assert counts.tolist() == [1, 3] and win.shape[1] == toxicity.WINDOW
+    p = {k: v.astype(np.float64) for k, v in toxicity.start_params().items()}
+    y = np.array([1.0, 0, 0, 0])
+
+    def loss(p):
+        x = hashed.inputs(p)
+        out = toxicity.logits(p, {way: toxicity._gates(p, x, way) for way in "fb"}, win)
+        return float(np.mean(np.log1p(np.exp(-np.where(y == 1, out, -out)))))
+
+    grad = toxicity.gradients(p, hashed, win, y)
+    rng = np.random.default_rng(0)
+    for name in ("Wf", "Ub", "cf", "v", "w", "b", "words", "chars"):
+        flat = np.flatnonzero(np.abs(grad[name]) > 1e-4)
+        for k in rng.choice(flat, min(3, len(flat)), replace=False):
+            moved = {n: x.copy() for n, x in p.items()}
+            moved[name].flat[k] += 1e-2
+            up = loss(moved)
+            moved[name].flat[k] -= 2e-2
+            assert (up - loss(moved)) / 2e-2 == pytest.approx(grad[name].flat[k], rel=0.05, abs=2e-4), name
+
+
+def test_toxicity_odd_rows(spark, odd, empty):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity.fit(odd, labels) is None and {r.score for r in toxicity.score(odd, None).collect()} == {0.0}
+    model = toxicity.train(["you idiot"] * 5 + ["a fine day"] * 5, [1] * 5 + [0] * 5)
+    got = toxicity.score(odd, model).collect()
+    assert len(got) == odd.count() and all(0 <= r.score <= 1 for r in got)
+    assert toxicity.score(empty, model).count() == 0 and toxicity.keep_clean(odd, model).columns == odd.columns
+
+
+# ---- op 9
+
+
+def brute_url(url, rules):
+    host = path = ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        end = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
+        host, rest = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:end]), rest[end:]
+        path = rest[: min([rest.find(c) for c in "?#" if c in rest] or [len(rest)])]
+    fits = [r for r in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.split("/", 1)[1])]
+    return host, path, max(fits, key=len) if fits else None
+
+
+def test_urls(spark, sf):
+    odd = [None, "", "no scheme", "http://", "HTTP://EXAMPLE.COM/en/7x?q#f", "a://b://c/d", "http://xexample.com/en/1", "http://example.net/de/81", "http://casino.example/a", "x://com/en/", "http://É.com/en/\nz"]
+    rows = [(i, u) for i, u in enumerate(odd)] + [(100 + r.page_id, r.url) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumn("verdict", F.lit("clash"))
+    got = {r.page_id: r for r in urls.url_filter(df, queries.URL_RULES).collect()}
+    assert len(got) == len(rows)
+    for i, u in rows:
+        host, path, rule = brute_url(u, queries.URL_RULES)
+        assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule), u
+        assert got[i].verdict == (queries.URL_RULES[rule] if rule else got[i].verdict) and got[i].verdict in ("allow", "block")
+    assert urls.url_filter(df.limit(0), queries.URL_RULES).count() == 0
+
+
+def test_url_models_equal_brute_force(spark):
+    rows = [("http://casino.example/a", True)] * 3 + [("http://fine.example/b", False), ("http://fine.example/c", False)]
+    counts = urls.train(spark.createDataFrame(rows, "url string, rejected boolean"))
+    strings = {c: [urls.START + u + urls.STOP for u, r in rows if r == c] for c in (True, False)}
+
+    def brute(strings, context, char):
+        shorter = brute(strings, context[1:], char) if context else 1 / 256
+        follow = [s[i] for s in strings for i in range(max(1, len(context)), len(s)) if s[i - len(context) : i] == context]
+        return (follow.count(char) + len(set(follow)) * shorter) / (len(follow) + len(set(follow))) if follow else shorter
+
+    for c in (True, False):
+        m = urls.Markov(counts[c])
+        for context, char in (("", "a"), ("ttp:/", "/"), ("casin", "o"), ("zz", "e"), ("fine.", "e")):
+            assert m.probability(context, char) == pytest.approx(brute(strings[c], context, char))
+        assert sum(m.probability("ample"[k:], chr(i)) for k in (0,) for i in range(256)) == pytest.approx(1)
+
+
+# ---- shared helpers and queries
+
+
+def test_groups_span_batches():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"k": [1, 1, 2]}), pa.RecordBatch.from_pydict({"k": [2, 2]}), pa.RecordBatch.from_pydict({"k": [2, 3]})]
+    assert [(t["k"][0].as_py(), t.num_rows) for t in common.groups(iter(batches), ["k"])] == [(1, 2), (2, 4), (3, 1)]
+    assert common.cuts([3, 3, 9, 1], 6) == [(0, 2), (2, 3), (3, 4)] and common.cuts([], 5) == []
+
+
+def test_pipeline(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out = corpus_pipeline.run(spark, sf)
+    ids = [r.doc_id for r in out.collect()]
+    assert 0 < len(ids) < docs.count() and len(set(ids)) == len(ids)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "language_id", "ngram_jaccard_join", "source_mix", "byte_bpe"]
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    by_id = {r.doc_id: r for r in out.collect()}
+    assert all(by_id[i].decoded_sha256 == hashlib.sha256(texts[i].encode()).hexdigest() for i in ids)
+    sets = {i: shingles(texts[i]) for i in ids}
+    assert not [1 for a, b in itertools.combinations(ids, 2) if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
