@@ -1,0 +1,311 @@
+"""Queries over documents, benchmark passages, pages and conversations: structure, text measures, grounding."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import grounding, structure
+from ..session import table
+
+
+def _docs(spark, sf):
+    return table(spark, sf, "documents")
+
+
+def scan_dedup_sha256(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with its content hash, the first id with the same content, and whether it repeats one."""
+    d = _docs(spark, sf).select("doc_id", F.sha2("text", 256).alias("sha"))
+    first = d.groupBy("sha").agg(F.min("doc_id").alias("first_id"))
+    return d.join(first, "sha").select("doc_id", "sha", "first_id", (F.col("doc_id") != F.col("first_id")).alias("deduplicated"))
+
+
+def line_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks of all documents: type, offsets and size of every non-blank line."""
+    return structure.line_blocks(_docs(spark, sf)).select("doc_id", F.col("ord").cast("long"), "block_id", "type", F.length("text").cast("long").alias("chars"), F.col("char_start").cast("long"), F.col("char_end").cast("long"))
+
+
+def block_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks, words and lists by document."""
+    b = structure.line_blocks(_docs(spark, sf))
+    return b.groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.count_if(F.col("type") == "list").alias("n_lists"), F.sum(F.size(T.blank_tokens(F.col("text")))).alias("n_words"), F.max_by("block_id", F.struct(F.length("text"), -F.col("ord"))).alias("longest_block"))
+
+
+def heading_infer(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of all documents that are shaped like titles, by source."""
+    lines = _docs(spark, sf).select("source", F.explode(F.split("text", "\n")).alias("line"))
+    titled = T.is_title_shaped(F.trim("line"))
+    return lines.groupBy("source").agg(F.count("*").alias("n_lines"), F.count_if(titled).alias("n_titles"))
+
+
+def section_path(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as sections: system turns are headings of level 1, user turns of level 2; the open ones above each turn."""
+    t = table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("role") == "system", 1).when(F.col("role") == "user", 2).alias("level"))
+    opened = structure.open_headings(t, "conv_id", "turn", deepest=2)
+    return opened.select("conv_id", "turn", F.col("h1").alias("open_1"), F.col("h2").alias("open_2"), structure.parent_heading(2).alias("parent"))
+
+
+def chunk_fixed_budget(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of all documents within the token budget, with what each carries over from the one before."""
+    return structure.chunks(_docs(spark, sf)).select("doc_id", "chunk_id", "token_count", "first_block", "last_block", "carried", F.sha2("text", 256).alias("text_sha"))
+
+
+def token_estimate(spark: SparkSession, sf: str) -> DataFrame:
+    """Estimated tokens by document."""
+    return _docs(spark, sf).select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+def tokens_ascii(spark: SparkSession, sf: str) -> DataFrame:
+    """The four tokenisations' counts by document."""
+    low = F.lower("text")
+    return _docs(spark, sf).select(
+        "doc_id", F.size(T.blank_tokens(F.col("text"))).cast("long").alias("n_blank"), F.size(T.word_tokens(low)).cast("long").alias("n_word"),
+        F.size(T.gate_tokens(low)).cast("long").alias("n_gate"), F.size(T.plan_tokens(F.col("text"), ["the", "of", "and"])).cast("long").alias("n_plan"),
+    )
+
+
+def word_count_nfkd(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of the decomposed and case-folded text, which has no counterpart in SQL."""
+    return _docs(spark, sf).select("doc_id", T.word_count(T.normalise("text")).cast("long").alias("n_words"))
+
+
+def sentence_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences and mean words in one, by language."""
+    s = _docs(spark, sf).select("lang", F.explode(T.sentences(F.col("text"))).alias("s"))
+    words = F.size(T.blank_tokens(F.col("s")))
+    return s.groupBy("lang").agg(F.count("*").alias("n_sentences"), F.round(F.avg(words), 6).alias("mean_words"), F.max(words).cast("long").alias("longest"))
+
+
+def long_word_share(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of words of three or more syllables, by document."""
+    return _docs(spark, sf).select("doc_id", F.round(T.long_word_share(T.word_tokens(F.lower("text"))), 6).alias("long_share"))
+
+
+def readability_band(spark: SparkSession, sf: str) -> DataFrame:
+    """The grade window that each document's sentences and long words fit: the first that both limits allow."""
+    windows = spark.sql("SELECT * FROM VALUES (5, 12.0D, 0.12D), (8, 16.0D, 0.2D), (10, 20.0D, 0.28D), (12, 26.0D, 0.36D) AS t(up_to_grade, most_words, most_long)")
+    d = _docs(spark, sf)
+    words = F.aggregate(T.sentences(F.col("text")), F.lit(0), lambda n, s: n + F.size(T.blank_tokens(s)))
+    m = d.select("doc_id", F.try_divide(words.cast("double"), F.size(T.sentences(F.col("text")))).alias("mean_words"), T.long_word_share(T.word_tokens(F.lower("text"))).alias("long_share"))
+    fits = (m.mean_words <= windows.most_words) & (m.long_share <= windows.most_long)
+    return m.join(F.broadcast(windows), fits, "left").groupBy("doc_id").agg(F.min("up_to_grade").alias("grade"))  # four rows
+
+
+def equation_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines that read as mathematics, by source: of the documents, and of planted probes."""
+    lines = _docs(spark, sf).select("source", F.explode(F.split("text", "\n")).alias("line"))
+    probes = lines.where(F.length("line") < 40).select(F.concat(F.lit("probe-"), "source").alias("source"), F.concat(F.substring("line", 1, 3), F.lit(" = 2×x^2")).alias("line"))
+    return lines.unionByName(probes).groupBy("source").agg(F.count("*").alias("n_lines"), F.count_if(T.is_equation(F.col("line"))).alias("n_equations"))
+
+
+def _claims(spark, sf):
+    """Claims made from benchmark passages and documents: every document's first line against the passage its id names."""
+    passages = table(spark, sf, "benchmark").select(F.col("item_id").alias("chunk_id"), "text")
+    d = _docs(spark, sf)
+    first = F.substring(F.split("text", "\n")[0], 1, 400)
+    n = F.pmod("doc_id", F.lit(44))
+    kind = F.when(F.col("doc_id") % 7 == 0, "predicted").otherwise("extracted")
+    return d.select(F.col("doc_id").alias("claim_id"), "source", kind.alias("kind"), first.alias("text"), n.alias("chunk_id"), F.substring("text", 1, 60).alias("quote"), (F.lit(0.5) + (F.col("doc_id") % 5) / 10).alias("confidence")), passages
+
+
+def contains_verbatim(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold a benchmark passage's opening words, by passage: candidates share a word sequence, then the tokens are compared.
+
+    An equi-join on the hash of eight consecutive tokens finds the candidates, so no document
+    meets a passage with which it shares nothing.
+    """
+    opening = table(spark, sf, "benchmark").select("item_id", F.slice(T.blank_tokens(F.lower("text")), 1, 8).alias("quote")).where(F.size("quote") == 8).withColumn("key", F.xxhash64(F.array_join("quote", " ")))
+    d = _docs(spark, sf).select("doc_id", T.blank_tokens(F.lower("text")).alias("span"))
+    windows = F.array_distinct(F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size("span") - 7, F.lit(1))), lambda i: i + 7 <= F.size("span")), lambda i: F.xxhash64(F.array_join(F.slice("span", i, 8), " "))))
+    near = d.withColumn("key", F.explode(windows)).join(opening, "key").where(T.contains_verbatim(F.col("span"), F.col("quote")))
+    return near.groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+
+
+def lexical_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of each claim's tokens, repetitions counted, that its passage holds."""
+    claims, passages = _claims(spark, sf)
+    j = claims.join(passages.withColumnRenamed("text", "span"), "chunk_id")
+    return j.select("claim_id", F.round(T.lexical_overlap(T.blank_tokens(F.lower("text")), T.blank_tokens(F.lower("span"))), 6).alias("overlap"))
+
+
+def jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Token Jaccard similarity of consecutive turns of a conversation."""
+    from pyspark.sql.window import Window
+
+    t = table(spark, sf, "conversations").select("conv_id", "turn", F.array_distinct(T.blank_tokens(F.lower("text"))).alias("t"))
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return t.withColumn("before", F.lag("t").over(w)).where("before is not null").select("conv_id", "turn", F.round(T.jaccard(F.col("before"), F.col("t")), 6).alias("similarity"))
+
+
+def near_dup_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of a conversation's turns that repeat no earlier kept one, by a fold in order."""
+    t = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns"))
+    lists = F.transform("turns", lambda x: T.blank_tokens(F.lower(x["text"])))
+    return t.select("conv_id", F.round(T.distinct_ratio(lists, 0.5), 6).alias("distinct_ratio"))
+
+
+def evidence_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """What became of each quote: unresolved, short, verbatim, fuzzy or missing, by source."""
+    claims, passages = _claims(spark, sf)
+    found = grounding.audit(claims.select("claim_id", "source", "chunk_id", "quote", "confidence"), passages)
+    return found.groupBy("source", "found").agg(F.count("*").alias("n"), F.round(F.sum("kept_confidence"), 6).alias("confidence"))
+
+
+def contradiction_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """Hints that a claim contradicts its passage, with words of polarity planted by the id."""
+    claims, passages = _claims(spark, sf)
+    planted = F.when(F.col("claim_id") % 3 == 0, " never increases").when(F.col("claim_id") % 3 == 1, " increases").otherwise("")
+    said = F.when(F.col("chunk_id") % 2 == 0, " decreases").otherwise("")
+    j = claims.join(passages.withColumnRenamed("text", "span"), "chunk_id")
+    risk = T.contradiction(T.gate_tokens(F.lower(F.concat("text", planted))), T.gate_tokens(F.lower(F.concat("span", said))))
+    return j.select("claim_id", F.coalesce(risk, F.lit("none")).alias("risk"))
+
+
+def _verdicts(spark, sf):
+    claims, passages = _claims(spark, sf)
+    decided = grounding.prefilter(claims, passages)
+    labels = table(spark, sf, "labels").groupBy(F.col("doc_id").alias("claim_id")).agg(F.max("quality").alias("q"))
+    judge = labels.select("claim_id", F.when(F.col("q") == 1, grounding.SUPPORTED).otherwise(grounding.UNSUPPORTED).alias("judged"))
+    return grounding.judged(decided, judge)
+
+
+def grounding_prefilter(spark: SparkSession, sf: str) -> DataFrame:
+    """Claims decided by words alone and claims left to a judge, by kind."""
+    claims, passages = _claims(spark, sf)
+    c = grounding.prefilter(claims, passages)
+    return c.groupBy("kind", F.coalesce("verdict", F.lit("judge")).alias("verdict")).agg(F.count("*").alias("n"))
+
+
+def grounding_score(spark: SparkSession, sf: str) -> DataFrame:
+    """Grounding by source: claims decided by words, then by recorded verdicts; a missing verdict counts half."""
+    s = grounding.score(_verdicts(spark, sf), ["source"])
+    return s.select("source", "n_claims", "n_supported", F.round("grounding_score", 6).alias("grounding_score"))
+
+
+def grounding_issues(spark: SparkSession, sf: str) -> DataFrame:
+    """Issue codes of all claims that are not supported."""
+    c = _verdicts(spark, sf).withColumn("code", grounding.issue(F.col("kind"), F.col("verdict"))).where("code is not null")
+    return c.groupBy("code").agg(F.count("*").alias("n"), F.count_if("degraded").alias("n_degraded"))
+
+
+def citation_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Quotes by passage with the claims that cite them, in order."""
+    claims, _ = _claims(spark, sf)
+    g = claims.groupBy("chunk_id", F.substring("quote", 1, 12).alias("quote")).agg(F.array_sort(F.collect_list("claim_id")).alias("ids"))
+    return g.select("chunk_id", "quote", F.size("ids").cast("long").alias("n"), F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("referenced_by"))
+
+
+#: Key shapes (fixed values: what the scan looks for).
+SECRETS = {"aws_key": "AKIA[0-9A-Z]{16}", "github_token": "gh[pousr]_[A-Za-z0-9]{36}", "slack_token": "xox[baprs]-[A-Za-z0-9-]{10,}", "private_key": "-----BEGIN [A-Z ]*PRIVATE KEY-----", "google_key": "AIza[0-9A-Za-z_-]{35}", "bearer": "Bearer [A-Za-z0-9._-]{20,}", "password": "(?:password|api_key|secret)[ ]*[=:][ ]*[^ ]{6,}"}
+
+
+def secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with the shape of a secret: the label and the line of its first match, never the secret."""
+    d = _docs(spark, sf)
+    hits = F.array(*[F.struct(F.lit(n).alias("label"), F.regexp_instr("text", F.lit(p)).alias("at")) for n, p in SECRETS.items()])
+    found = d.select("doc_id", "text", F.explode(F.filter(hits, lambda h: h["at"] > 0)).alias("h"))
+    line = F.length(F.substr("text", F.lit(1), F.col("h.at") - 1)) - F.length(F.replace(F.substr("text", F.lit(1), F.col("h.at") - 1), F.lit("\n"), F.lit(""))) + 1
+    return found.select("doc_id", F.col("h.label").alias("label"), line.cast("long").alias("line"))
+
+
+def mime_sniff(spark: SparkSession, sf: str) -> DataFrame:
+    """Kind of each page's content by its first bytes and its name."""
+    p = table(spark, sf, "pages").select("page_id", "url", F.col("html").cast("binary").alias("content"))
+    head, name = F.substring("content", 1, 5), F.lower("url")
+    kind = F.when(head == F.lit(b"%PDF-"), "pdf").when(F.substring("content", 1, 4) == F.lit(b"PK\x03\x04"), "archive").when(name.endswith(".html") | (F.lower(F.substring("content", 1, 9).cast("string")) == "<!doctype"), "html").otherwise("text")
+    return p.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("bytes"))
+
+
+def near_duplicate_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines that stand in more than one document: the text's hash, the documents and the first of them."""
+    lines = _docs(spark, sf).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.length("line") >= 60)
+    return lines.groupBy(F.md5("line").alias("line_md5")).agg(F.count_distinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc")).where("n_docs > 1")
+
+
+_WS = "list_filter(regexp_split_to_array(trim(regexp_replace({0}, '\\s+', ' ', 'g')), ' '), lambda t: t <> '')"
+_W = lambda c: _WS.format(c)
+_OVERLAP = "coalesce(len(list_filter({a}, lambda t: list_contains({b}, t)))::DOUBLE / nullif(len({a}), 0), 0)"
+_NORM = "trim(regexp_replace(translate(lower({0}), '‘’“”–—', '''''\"\"--'), '\\s+', ' ', 'g'))"
+_CLAIMS = """claims AS (SELECT doc_id AS claim_id, source, CASE WHEN doc_id % 7 = 0 THEN 'predicted' ELSE 'extracted' END AS kind,
+  substr(string_split(text, chr(10))[1], 1, 400) AS text, doc_id % 44 AS chunk_id, substr(text, 1, 60) AS quote, 0.5 + (doc_id % 5) / 10.0 AS confidence FROM documents),
+  passages AS (SELECT item_id AS chunk_id, text AS span FROM benchmark)"""
+_G = "regexp_extract_all({0}, '[a-z0-9]+(?:''[a-z0-9]+)?')"
+_list = lambda words: "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+def _risk(c: str, s: str) -> str:
+    neg = _list(T.NEGATORS)
+    polarity = " OR ".join(
+        f"(list_has_any({c},{_list(a.split())}) AND NOT list_has_any({c},{_list(b.split())}) AND list_has_any({s},{_list(b.split())}) AND NOT list_has_any({s},{_list(a.split())}))"
+        f" OR (list_has_any({c},{_list(b.split())}) AND NOT list_has_any({c},{_list(a.split())}) AND list_has_any({s},{_list(a.split())}) AND NOT list_has_any({s},{_list(b.split())}))"
+        for a, b in T.OPPOSITES)
+    window = f"list_filter({s}[i+1:i+6], lambda w: length(w) >= 4)"
+    dropped = f"NOT list_has_any({c},{neg}) AND len(list_filter(range(1, len({s})+1), lambda i: list_contains({neg}, {s}[i]) AND len({window}) >= 2 AND len(list_filter({window}, lambda w: list_contains({c}, w))) >= 0.75 * len({window}))) > 0"
+    return f"CASE WHEN len(list_filter({c}, lambda t: list_contains({neg}, t) AND NOT list_contains({s}, t))) > 0 THEN 'added_negation' WHEN {polarity} THEN 'polarity' WHEN {dropped} THEN 'dropped_negation' END"
+
+
+_PREFILTER = f"""{_CLAIMS}, tok AS (SELECT c.*, p.span IS NULL AS lost, {_W(_NORM.format('c.text'))} AS ct, {_W(_NORM.format('coalesce(p.span, chr(32))'))} AS st,
+  {_G.format(_NORM.format('c.text'))} AS cg, {_G.format(_NORM.format('coalesce(p.span, chr(32))'))} AS sg FROM claims c LEFT JOIN passages p USING (chunk_id)),
+  pre AS (SELECT *, CASE WHEN lost THEN 'unsupported' WHEN kind <> 'predicted' AND {_OVERLAP.format(a='ct', b='st')} >= 0.6 AND ({_risk('cg', 'sg')}) IS NULL THEN 'supported' END AS verdict FROM tok)"""
+_JUDGED = f"""{_PREFILTER}, j AS (SELECT p.*, l.q, coalesce(verdict, CASE WHEN l.q = 1 THEN 'supported' WHEN l.q IS NOT NULL THEN 'unsupported' END, 'partially_supported') AS final
+  FROM pre p LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY 1) l ON l.doc_id = p.claim_id)"""
+_LINES = "unnest(string_split(text, chr(10))) AS line"
+_BLOCKS = """lines AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM documents),
+  b AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS ord FROM lines)"""
+_TITLE = "regexp_matches({0}, '\\p{{L}}{{2,}}') AND regexp_extract({0}, '([\\p{{L}}\\p{{N}}_])', 1) <> '' AND NOT regexp_matches(regexp_extract({0}, '([\\p{{L}}\\p{{N}}_])', 1), '^[a-z]$') AND len(" + _WS + ") <= 14 AND NOT regexp_matches({0}, '[.!?;:,]\\s*$')"
+_SENT = "list_filter(list_transform(regexp_split_to_array(text, '[.!?;]+\\s+|\\n+'), lambda s: trim(s)), lambda s: s <> '')"
+_WT = "regexp_extract_all(lower(text), '[a-z0-9]+(?:[-''][a-z0-9]+)*')"
+_LONG = f"coalesce(len(list_filter({_WT}, lambda w: len(regexp_extract_all(w, '[aeiouy]+')) >= 3))::DOUBLE / nullif(len({_WT}), 0), 0)"
+_EQ = """trim({0}) <> '' AND length(trim({0})) <= 220 AND (starts_with(trim({0}), '$') OR contains({0}, '\\frac') OR contains({0}, '\\vec') OR
+  (length(trim({0})) - length(translate(trim({0}), '%s', '')) > 0 AND len(regexp_extract_all(lower({0}), '\\b(the|is|are|and|of|to|in|that|this|which|when)\\b')) < 2 AND
+  ((length(trim({0})) - length(translate(trim({0}), '%s', '')))::DOUBLE / greatest(len(regexp_extract_all({0}, '\\p{{L}}')), 1) > 0.12 OR (len(""" % (T.MATH, T.MATH) + _WS + """) <= 8 AND contains({0}, '=')))))"""
+_LEVEL = "regexp_matches({0}, '^\\s*(?i:(chapter|section|unit|lesson|part)\\s+)?(\\d+(?:\\.\\d+)*)\\.?\\s+(\\S.*)$') AND (" + _TITLE.replace("{0}", "regexp_extract({0}, '^\\s*(?i:(chapter|section|unit|lesson|part)\\s+)?(\\d+(?:\\.\\d+)*)\\.?\\s+(\\S.*)$', 3)") + ")"
+
+ORACLES: dict[str, str] = {
+    "scan_dedup_sha256": "SELECT doc_id, sha256(text) AS sha, min(doc_id) OVER (PARTITION BY text) AS first_id, doc_id <> min(doc_id) OVER (PARTITION BY text) AS deduplicated FROM documents",
+    "line_blocks": f"""WITH {_BLOCKS} SELECT doc_id, ord::BIGINT AS ord, 'b_' || lpad(ord::VARCHAR, 4, '0') AS block_id,
+      CASE WHEN {_EQ.format('line')} THEN 'equation' WHEN starts_with(line, '#') OR ({_LEVEL.format('line')}) THEN 'heading' WHEN regexp_matches(line, '^\\s*([-*•]|\\d+[.)])\\s+') THEN 'list' ELSE 'paragraph' END AS type,
+      length(CASE WHEN starts_with(line, '#') THEN trim(regexp_replace(line, '^#+', '')) ELSE line END)::BIGINT AS chars,
+      coalesce(sum(length(line) + 1) OVER w, 0)::BIGINT AS char_start, (coalesce(sum(length(line) + 1) OVER w, 0) + length(line))::BIGINT AS char_end
+      FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+    "heading_infer": f"SELECT source, count(*) AS n_lines, count(*) FILTER ({_TITLE.format('trim(line)')}) AS n_titles FROM (SELECT source, {_LINES} FROM documents) GROUP BY 1",
+    "section_path": """WITH t AS (SELECT conv_id, turn, max(CASE WHEN role = 'system' THEN turn END) OVER w AS l1, max(CASE WHEN role = 'user' THEN turn END) OVER w AS l2 FROM conversations
+      WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+      SELECT conv_id, turn, l1 AS open_1, CASE WHEN l2 > coalesce(l1, -1) THEN l2 END AS open_2, greatest(l1, CASE WHEN l2 > coalesce(l1, -1) THEN l2 END) AS parent FROM t""",
+    "token_estimate": "SELECT doc_id, greatest(length(text) // 4, 1)::BIGINT AS tokens FROM documents",
+    "tokens_ascii": f"""SELECT doc_id, len({_W('text')})::BIGINT AS n_blank, len({_WT})::BIGINT AS n_word, len({_G.format('lower(text)')})::BIGINT AS n_gate,
+      len(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: t NOT IN ('the', 'of', 'and')))::BIGINT AS n_plan FROM documents""",
+    "sentence_stats": f"SELECT lang, count(*) AS n_sentences, round(avg(len({_W('s')})), 6) AS mean_words, max(len({_W('s')}))::BIGINT AS longest FROM (SELECT lang, unnest({_SENT}) AS s FROM documents) GROUP BY 1",
+    "long_word_share": f"SELECT doc_id, round({_LONG}, 6) AS long_share FROM documents",
+    "readability_band": f"""WITH m AS (SELECT doc_id, list_sum(list_transform({_SENT}, lambda s: len({_W('s')})))::DOUBLE / nullif(len({_SENT}), 0) AS mean_words, {_LONG} AS long_share FROM documents)
+      SELECT doc_id, min(g) AS grade FROM m LEFT JOIN (VALUES (5, 12.0, 0.12), (8, 16.0, 0.2), (10, 20.0, 0.28), (12, 26.0, 0.36)) w(g, mw, ml) ON mean_words <= mw AND long_share <= ml GROUP BY 1""",
+    "equation_lines": f"""WITH l AS (SELECT source, {_LINES} FROM documents), u AS (SELECT * FROM l UNION ALL SELECT 'probe-' || source, substr(line, 1, 3) || ' = 2×x^2' FROM l WHERE length(line) < 40)
+      SELECT source, count(*) AS n_lines, count(*) FILTER ({_EQ.format('line')}) AS n_equations FROM u GROUP BY 1""",
+    "contains_verbatim": f"""WITH q AS (SELECT item_id, {_W('lower(text)')}[1:8] AS quote FROM benchmark), d AS (SELECT doc_id, ' ' || array_to_string({_W('lower(text)')}, ' ') || ' ' AS span FROM documents)
+      SELECT item_id, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc FROM q JOIN d ON contains(span, ' ' || array_to_string(quote, ' ') || ' ') WHERE len(quote) = 8 GROUP BY 1""",
+    "lexical_overlap": f"WITH {_CLAIMS}, t AS (SELECT claim_id, {_W('lower(text)')} AS a, {_W('lower(span)')} AS b FROM claims JOIN passages USING (chunk_id)) SELECT claim_id, round({_OVERLAP.format(a='a', b='b')}, 6) AS overlap FROM t",
+    "jaccard_pairs": f"""WITH t AS (SELECT conv_id, turn, list_distinct({_W('lower(text)')}) AS t FROM conversations), p AS (SELECT conv_id, turn, t, lag(t) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM t)
+      SELECT conv_id, turn, round(coalesce(len(list_intersect(b, t))::DOUBLE / nullif(len(list_distinct(list_concat(b, t))), 0), 0), 6) AS similarity FROM p WHERE b IS NOT NULL""",
+    "evidence_audit": f"""WITH {_CLAIMS}, n AS (SELECT c.*, p.span IS NULL AS lost, {_NORM.format('c.quote')} AS q, {_NORM.format("coalesce(p.span, '')")} AS s FROM claims c LEFT JOIN passages p USING (chunk_id)),
+      f AS (SELECT *, CASE WHEN lost THEN 'unresolved' WHEN length(q) < 8 THEN 'short' WHEN contains(s, q) THEN 'verbatim' WHEN {_OVERLAP.format(a=_W('q'), b=_W('s'))} >= 0.88 THEN 'fuzzy' ELSE 'missing' END AS found FROM n)
+      SELECT source, found, count(*) AS n, round(sum(CASE WHEN found = 'verbatim' THEN confidence WHEN found = 'fuzzy' THEN least(confidence, 0.7) END::DOUBLE), 6) AS confidence FROM f GROUP BY 1, 2""",
+    "contradiction_gate": f"""WITH {_CLAIMS}, t AS (SELECT claim_id, {_G.format("lower(text || CASE WHEN claim_id % 3 = 0 THEN ' never increases' WHEN claim_id % 3 = 1 THEN ' increases' ELSE '' END)")} AS c,
+      {_G.format("lower(span || CASE WHEN chunk_id % 2 = 0 THEN ' decreases' ELSE '' END)")} AS s FROM claims JOIN passages USING (chunk_id)) SELECT claim_id, coalesce({_risk('c', 's')}, 'none') AS risk FROM t""",
+    "grounding_prefilter": f"WITH {_PREFILTER} SELECT kind, coalesce(verdict, 'judge') AS verdict, count(*) AS n FROM pre GROUP BY 1, 2",
+    "grounding_score": f"""WITH {_JUDGED} SELECT source, count(*) AS n_claims, count(*) FILTER (final = 'supported') AS n_supported,
+      round(avg(CASE final WHEN 'supported' THEN 1.0 WHEN 'partially_supported' THEN 0.5 ELSE 0.0 END::DOUBLE), 6) AS grounding_score FROM j GROUP BY 1""",
+    "grounding_issues": f"""WITH {_JUDGED} SELECT CASE WHEN final = 'unsupported' THEN CASE WHEN kind = 'predicted' THEN 'GROUNDING_MISFILED_PREDICTION' ELSE 'GROUNDING_UNSUPPORTED_CLAIM' END
+      ELSE CASE WHEN kind = 'predicted' THEN 'GROUNDING_LOOSELY_FILED_PREDICTION' ELSE 'GROUNDING_PARTIALLY_SUPPORTED_CLAIM' END END AS code, count(*) AS n, count(*) FILTER (verdict IS NULL AND q IS NULL) AS n_degraded FROM j WHERE final <> 'supported' GROUP BY 1""",
+    "citation_index": f"WITH {_CLAIMS} SELECT chunk_id, substr(quote, 1, 12) AS quote, count(*) AS n, string_agg(claim_id::VARCHAR, ',' ORDER BY claim_id) AS referenced_by FROM claims GROUP BY 1, 2",
+    "mime_sniff": """SELECT CASE WHEN starts_with(html, '%PDF-') THEN 'pdf' WHEN starts_with(html, 'PK' || chr(3) || chr(4)) THEN 'archive' WHEN ends_with(lower(url), '.html') OR starts_with(lower(html), '<!doctype') THEN 'html' ELSE 'text' END AS kind,
+      count(*) AS n, sum(octet_length(encode(html)))::BIGINT AS bytes FROM pages GROUP BY 1""",
+    "near_duplicate_sections": f"SELECT md5(line) AS line_md5, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc FROM (SELECT doc_id, {_LINES} FROM documents) WHERE length(line) >= 60 GROUP BY 1 HAVING count(DISTINCT doc_id) > 1",
+    "secret_scan": "WITH h AS (" + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS label, string_split(text, regexp_extract(text, '{p}'))[1] AS before FROM documents WHERE regexp_matches(text, '{p}')" for n, p in SECRETS.items()) + ") SELECT doc_id, label, (length(before) - length(replace(before, chr(10), '')) + 1)::BIGINT AS line FROM h",
+}
+
+QUERIES = {f.__name__: f for f in (
+    scan_dedup_sha256, line_blocks, block_stats, heading_infer, section_path, chunk_fixed_budget, token_estimate, tokens_ascii, word_count_nfkd, sentence_stats, long_word_share,
+    readability_band, equation_lines, contains_verbatim, lexical_overlap, jaccard_pairs, near_dup_ratio, evidence_audit, contradiction_gate, grounding_prefilter, grounding_score,
+    grounding_issues, citation_index, secret_scan, mime_sniff, near_duplicate_sections,
+)}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that define QUERIES and ORACLES.
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("corpuscle.plans.documents",)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
