@@ -197,7 +197,7 @@ def citation_index(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: Key shapes (fixed values: what the scan looks for).
-SECRETS = {"aws_key": "AKIA[0-9A-Z]{16}", "github_token": "gh[pousr]_[A-Za-z0-9]{36}", "slack_token": "xox[baprs]-[A-Za-z0-9-]{10,}", "private_key": "-----BEGIN [A-Z ]*PRIVATE KEY-----", "google_key": "AIza[0-9A-Za-z_-]{35}", "bearer": "Bearer [A-Za-z0-9._-]{20,}", "password": "(?:password|api_key|secret)[ ]*[=:][ ]*[^ ]{6,}"}
+SECRETS = {"aws_key": "AKIA[0-9A-Z]{16}", "github_token": "gh[pousr]_[A-Za-z0-9]{36}", "slack_token": "xox[baprs]-[A-Za-z0-9-]{10,}", "private_key": "-----BEGIN [A-Z ]*PRIVATE KEY-----", "google_key": "AIza[0-9A-Za-z_-]{35}", "bearer": "Bearer [A-Za-z0-9._-]{20,}", "assignment": "(?:password|api_key|secret|token) *[=:] *[^ ]{6,}"}
 
 
 def secret_scan(spark: SparkSession, sf: str) -> DataFrame:
