@@ -1,4 +1,4 @@
-"""Byte-level BPE by the tokenizers library, one call for each distinct pre-token of a batch.
+"""Byte-level BPE by the tokenizers library, once for each distinct pre-token.
 
 Byte-level BPE merges inside pre-tokens only, so a text's ids are those of its pre-tokens.
 Natural text repeats them: a batch is split with the vocabulary's own pattern, and the library
@@ -31,6 +31,9 @@ def byte_table() -> list[str]:
     return table
 
 
+TO_CHARACTER = dict(enumerate(byte_table()))
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """A rank file: base64 of the token's bytes and its rank on each line."""
     with open(path, "rb") as f:
@@ -61,7 +64,7 @@ class PieceEncoder:
     library whole, whose own split then holds.
     """
 
-    def __init__(self, tokenizer: Tokenizer, pattern: str, special: tuple[str, ...] = (), rare_whole: bool = True, most: int = 400_000):
+    def __init__(self, tokenizer: Tokenizer, pattern: str, special: tuple[str, ...] = (), rare_whole: bool = True, most: int = 600_000):
         self.whole, self.most, self.rare_whole = tokenizer, most, rare_whole
         self.special = frozenset(special)
         body = pattern.replace(r"[^\s", "[^" + SPACE).replace(r"\s", SPACE).replace(r"\S", r"\P{White_Space}")
@@ -83,12 +86,15 @@ class PieceEncoder:
         return out
 
     def learn(self, pieces: set[str]) -> None:
-        """Encodes what is new among the pieces in one call."""
+        """Merges what is new among the pieces: the library's model on the characters that stand for a pre-token's bytes."""
         if len(self.known) + len(pieces) > self.most:
             self.known = {}
-        new = [p for p in pieces if p not in self.known]
-        for p, e in zip(new, self.whole.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[p] = tuple(e.ids)
+        merge, known = self.whole.model.tokenize, self.known
+        for p in pieces.difference(known):
+            if p in self.special:
+                known[p] = tuple(self.whole.encode(p, add_special_tokens=False).ids)
+            else:
+                known[p] = tuple([t.id for t in merge(p.encode("utf-8").decode("latin-1").translate(TO_CHARACTER))])
 
     def encode_pieces(self, texts: list) -> list[list[tuple[int, ...]]]:
         """The ids of every text, by pre-token; a text with rare characters is one piece that the library encodes whole."""
