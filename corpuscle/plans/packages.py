@@ -41,8 +41,8 @@ def _concepts(spark, sf):
 
 
 def anti_untaught(spark: SparkSession, sf: str) -> DataFrame:
-    """Concepts that no item names."""
-    items = _items(spark, sf)
+    """Concepts that no finished item of 45 marks or more names."""
+    items = _items(spark, sf).where("status = 'F' and marks >= 45")
     return _concepts(spark, sf).join(items.select("concept_id").distinct(), "concept_id", "left_anti").select("concept_id", "name")
 
 
@@ -62,8 +62,8 @@ def semi_objective_assessed(spark: SparkSession, sf: str) -> DataFrame:
 def prereq_violations(spark: SparkSession, sf: str) -> DataFrame:
     """Consecutive items of a package whose concept is scheduled in an earlier period than its predecessor's (the first period of a concept counts)."""
     items = _items(spark, sf)
-    period = items.groupBy("package_id", "concept_id").agg(F.min_by("period", "ord").alias("p"))
-    w = Window.partitionBy("package_id").orderBy("ord")
+    period = items.groupBy("package_id", "concept_id").agg(F.min_by("period", F.col("ord") * 1000000 + F.col("period")).alias("p"))
+    w = Window.partitionBy("package_id").orderBy("ord", "concept_id", "period")
     edges = items.select("package_id", F.col("concept_id").alias("to_id"), F.lag("concept_id").over(w).alias("from_id")).where("from_id is not null and from_id <> to_id").distinct()
     a = period.select("package_id", F.col("concept_id").alias("from_id"), F.col("p").alias("p_from"))
     b = period.select("package_id", F.col("concept_id").alias("to_id"), F.col("p").alias("p_to"))
@@ -154,7 +154,7 @@ def sequencing_load_balance(spark: SparkSession, sf: str) -> DataFrame:
 
 def adjacent_rubric_diff(spark: SparkSession, sf: str) -> DataFrame:
     """Share of adjacent lines of a package that differ in level: fewer than two lines give 0."""
-    w = Window.partitionBy("package_id").orderBy("ord")
+    w = Window.partitionBy("package_id").orderBy("ord", "concept_id", "period", "bloom")
     i = _items(spark, sf).withColumn("before", F.lag("bloom").over(w))
     return i.groupBy("package_id").agg(F.round(S.share(F.count_if(F.col("bloom") != F.col("before")), F.count("before"), 0.0), 6).alias("differing"))
 
@@ -180,8 +180,8 @@ def band_partition_dp(spark: SparkSession, sf: str) -> DataFrame:
 
 def apportion_minutes(spark: SparkSession, sf: str) -> DataFrame:
     """Sixty minutes of each package shared out by marks, by largest remainder."""
-    i = _items(spark, sf).select("package_id", "ord", F.col("marks").alias("weight"), F.lit(60).alias("total"))
-    return A.apportion(i, ["package_id"], ["ord"]).select("package_id", "ord", F.col("part").alias("minutes"))
+    i = _items(spark, sf).select("package_id", "ord", "concept_id", "period", F.col("marks").alias("weight"), F.lit(60).alias("total"))
+    return A.apportion(i, ["package_id"], ["ord", "concept_id", "period", "weight"]).select("package_id", "ord", F.col("part").alias("minutes"))
 
 
 def round_robin_slots(spark: SparkSession, sf: str) -> DataFrame:
@@ -273,11 +273,11 @@ _E = """s AS (SELECT l_suppkey * 100 + l_orderkey % 40 AS package_id, l_orderkey
   e AS (SELECT package_id, ord, CASE WHEN ord % 3 = 0 THEN n ELSE c END AS from_id, CASE WHEN ord % 3 = 0 THEN c ELSE n END AS to_id, (ord % 10) / 10.0::DOUBLE AS confidence FROM r WHERE n IS NOT NULL)"""
 
 ORACLES: dict[str, str] = {
-    "anti_untaught": f"WITH {_I} SELECT concept_id, name FROM c WHERE concept_id NOT IN (SELECT concept_id FROM i)",
+    "anti_untaught": f"WITH {_I} SELECT concept_id, name FROM c WHERE concept_id NOT IN (SELECT concept_id FROM i WHERE status = 'F' AND marks >= 45)",
     "dangling_refs": f"WITH {_I} SELECT package_id, count(*) AS n_dangling, min(concept_id) AS first_concept FROM i WHERE concept_id NOT IN (SELECT concept_id FROM c) GROUP BY 1",
     "semi_objective_assessed": f"WITH {_I} SELECT o_orderstatus, count(*) AS n_packages FROM orders WHERE o_orderkey IN (SELECT package_id FROM i JOIN c USING (concept_id) WHERE status = 'F' AND importance = 'core') GROUP BY 1",
-    "prereq_violations": f"""WITH {_I}, p AS (SELECT package_id, concept_id, arg_min(period, ord) AS p FROM i GROUP BY 1, 2),
-      e AS (SELECT DISTINCT * FROM (SELECT package_id, concept_id AS to_id, lag(concept_id) OVER (PARTITION BY package_id ORDER BY ord) AS from_id FROM i) WHERE from_id IS NOT NULL AND from_id <> to_id)
+    "prereq_violations": f"""WITH {_I}, p AS (SELECT package_id, concept_id, arg_min(period, ord * 1000000 + period) AS p FROM i GROUP BY 1, 2),
+      e AS (SELECT DISTINCT * FROM (SELECT package_id, concept_id AS to_id, lag(concept_id) OVER (PARTITION BY package_id ORDER BY ord, concept_id, period) AS from_id FROM i) WHERE from_id IS NOT NULL AND from_id <> to_id)
       SELECT e.package_id, count(*) AS n_edges, count(*) FILTER (a.p > b.p) AS n_violations FROM e JOIN p a ON a.package_id = e.package_id AND a.concept_id = from_id JOIN p b ON b.package_id = e.package_id AND b.concept_id = to_id GROUP BY 1""",
     "dup_concepts": f"WITH {_I} SELECT lower(name) AS key, count(*) AS n, min(concept_id) AS first_id, max(concept_id) AS last_id FROM c GROUP BY 1 HAVING count(*) > 1",
     "dedup_merge_keyed": f"WITH {_I} SELECT name, arg_min(importance, concept_id) AS importance, string_agg(p_size::VARCHAR, ',' ORDER BY concept_id) AS evidence FROM c GROUP BY 1",
@@ -293,13 +293,13 @@ ORACLES: dict[str, str] = {
       FROM i LEFT JOIN c USING (concept_id) GROUP BY 1), m AS (SELECT package_id, coalesce(k::DOUBLE / nullif(n, 0), 1) AS t, coalesce(f::DOUBLE / nullif(k, 0), 1) AS s, coalesce(cm::DOUBLE / nullif(nc, 0), 1) AS cm, CASE WHEN nc > 0 THEN 0.06 ELSE 0 END::DOUBLE AS w FROM a)
       SELECT package_id, round(t, 6) AS taught, round(s, 6) AS assessed, round(cm, 6) AS core_marked, round((t * 0.16::DOUBLE + s * 0.16::DOUBLE + cm * w) / (0.32::DOUBLE + w) * 100, 4) AS score FROM m""",
     "sequencing_load_balance": f"WITH {_I}, p AS (SELECT package_id, period, sum(marks)::BIGINT AS l FROM i GROUP BY 1, 2) SELECT package_id, count(*) AS n_periods, round((max(l) - min(l))::DOUBLE / nullif(avg(l), 0), 6) AS imbalance FROM p GROUP BY 1",
-    "adjacent_rubric_diff": f"WITH {_I}, w AS (SELECT package_id, bloom, lag(bloom) OVER (PARTITION BY package_id ORDER BY ord) AS b FROM i) SELECT package_id, round(coalesce(count(*) FILTER (bloom <> b)::DOUBLE / nullif(count(b), 0), 0), 6) AS differing FROM w GROUP BY 1",
+    "adjacent_rubric_diff": f"WITH {_I}, w AS (SELECT package_id, bloom, lag(bloom) OVER (PARTITION BY package_id ORDER BY ord, concept_id, period, bloom) AS b FROM i) SELECT package_id, round(coalesce(count(*) FILTER (bloom <> b)::DOUBLE / nullif(count(b), 0), 0), 6) AS differing FROM w GROUP BY 1",
     "distinct_terms_once": """WITH t AS (SELECT DISTINCT p_brand, unnest(regexp_split_to_array(lower(p_name || ' ' || p_type || ' ' || p_size), '\\s+')) AS term FROM part)
       SELECT term, min(p_brand) AS brand FROM t WHERE length(term) >= 2 GROUP BY 1 HAVING count(*) = 1""",
     "period_count": f"""WITH {_I}, a AS (SELECT package_id, count(*) AS n, sum(CASE importance WHEN 'core' THEN 1.0 WHEN 'supporting' THEN 0.5 WHEN 'enrichment' THEN 0.25 ELSE 0.5 END::DOUBLE) AS l FROM i LEFT JOIN c USING (concept_id) GROUP BY 1)
       SELECT package_id, greatest(1, least(ceil(l / (20.0::DOUBLE / 12)), 20, greatest(n, 1)))::BIGINT AS periods, greatest(6, least(2 * n + n // 2, 24))::BIGINT AS items FROM a""",
-    "apportion_minutes": f"""WITH {_I}, x AS (SELECT package_id, ord, marks * 60 / sum(marks) OVER (PARTITION BY package_id)::DOUBLE AS e FROM i), f AS (SELECT *, floor(e) AS f, 60 - sum(floor(e)) OVER (PARTITION BY package_id) AS rest FROM x)
-      SELECT package_id, ord, (f + CASE WHEN row_number() OVER (PARTITION BY package_id ORDER BY e - f DESC, ord) <= rest THEN 1 ELSE 0 END)::BIGINT AS minutes FROM f""",
+    "apportion_minutes": f"""WITH {_I}, x AS (SELECT package_id, ord, concept_id, period, marks, marks * 60 / sum(marks) OVER (PARTITION BY package_id)::DOUBLE AS e FROM i), f AS (SELECT *, floor(e) AS f, 60 - sum(floor(e)) OVER (PARTITION BY package_id) AS rest FROM x)
+      SELECT package_id, ord, (f + CASE WHEN row_number() OVER (PARTITION BY package_id ORDER BY e - f DESC, ord, concept_id, period, marks) <= rest THEN 1 ELSE 0 END)::BIGINT AS minutes FROM f""",
     "round_robin_slots": """WITH k AS (SELECT o_custkey AS package_id, o_orderpriority AS kind, count(*) AS n FROM orders GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY n DESC, kind) AS rk FROM k), x AS (SELECT *, unnest(range(1, n + 1)) AS turn FROM r)
       SELECT package_id, kind, turn, row_number() OVER (PARTITION BY package_id ORDER BY turn, rk) AS position FROM x""",
     "clean_edges": f"""WITH {_E}, k AS (SELECT * FROM e WHERE from_id <> to_id AND from_id % 10 <> 3 AND to_id % 10 <> 3 QUALIFY row_number() OVER (PARTITION BY package_id, from_id, to_id ORDER BY ord) = 1)
