@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, ego_join, langid, mixing, ngram_join, quality, token_counts, toxicity, urls
+from . import bpe, chat, common, ego_join, langid, mixing, ngram_join, oracles, quality, token_counts, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,4 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_ego_join, op7_byte_bpe, op8_toxicity, op9_url_filter, op10_token_counts,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": oracles.NGRAM_JOIN,
+    "op3_chat_format": oracles.CHAT_FORMAT,
+    "op5_source_mix": oracles.source_mix(MIX_WEIGHTS, (3, 5), 3, 7),
+    "op6_ego_join": oracles.EGO_JOIN,
+}
