@@ -84,7 +84,7 @@ def history_upsert_lastwins(spark: SparkSession, sf: str) -> DataFrame:
 def benchmark_distribution(spark: SparkSession, sf: str) -> DataFrame:
     """Distribution of the scores of each profile and stage, those not measured left out."""
     d = S.distribution(_history(spark, sf), ["profile", "stage"], "score")
-    return d.select("profile", "stage", "n", *[F.round(c, 2).alias(c) for c in ("median", "min", "max", "p25", "p75")], "sufficient")
+    return d.select("profile", "stage", "n", *[F.round(c, 4).alias(c) for c in ("median", "min", "max", "p25", "p75")], "sufficient")
 
 
 def percentile_nearest_rank(spark: SparkSession, sf: str) -> DataFrame:
@@ -97,7 +97,7 @@ def regression_compare(spark: SparkSession, sf: str) -> DataFrame:
     h = _history(spark, sf)
     current = S.last_wins(h.drop("stage"), ["package_id", "profile"], ["evaluated_at", "run_id"]).select("package_id", "profile", "score")
     c = S.compare(current, h, ["profile"], "score")
-    return c.select("package_id", "profile", F.round("delta", 2).alias("delta"), "change")
+    return c.select("package_id", "profile", F.round("delta", 4).alias("delta"), "change")
 
 
 def trend_series(spark: SparkSession, sf: str) -> DataFrame:
@@ -218,11 +218,11 @@ ORACLES: dict[str, str] = {
     "oldest_claimable": "SELECT o_orderpriority, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderdate + INTERVAL 30 DAY < TIMESTAMP '1998-06-01' GROUP BY 1",
     "suffix_invalidation": "SELECT event_type, count(*) AS n, event_type IN ('click', 'purchase', 'error') AS cleared FROM events GROUP BY 1",
     "history_upsert_lastwins": f"WITH {_H} SELECT package_id, profile, run_id, score FROM h QUALIFY row_number() OVER (PARTITION BY package_id, profile ORDER BY evaluated_at DESC, run_id DESC) = 1",
-    "benchmark_distribution": f"WITH {_H} SELECT profile, stage, count(*) AS n, round(median(score), 2) AS median, round(min(score), 2) AS min, round(max(score), 2) AS max, round({_RANK.format('score', '0.25')}, 2) AS p25, round({_RANK.format('score', '0.75')}, 2) AS p75, count(*) >= 5 AS sufficient FROM h WHERE score IS NOT NULL GROUP BY 1, 2",
+    "benchmark_distribution": f"WITH {_H} SELECT profile, stage, count(*) AS n, round(median(score), 4) AS median, round(min(score), 4) AS min, round(max(score), 4) AS max, round({_RANK.format('score', '0.25')}, 4) AS p25, round({_RANK.format('score', '0.75')}, 4) AS p75, count(*) >= 5 AS sufficient FROM h WHERE score IS NOT NULL GROUP BY 1, 2",
     "percentile_nearest_rank": f"SELECT event_type, {_RANK.format('value', '0.9')} AS p90 FROM events GROUP BY 1",
     "regression_compare": f"""WITH {_H}, c AS (SELECT package_id, profile, score FROM h QUALIFY row_number() OVER (PARTITION BY package_id, profile ORDER BY evaluated_at DESC, run_id DESC) = 1),
       d AS (SELECT profile, count(*) AS n, median(score) AS m FROM h WHERE score IS NOT NULL GROUP BY 1)
-      SELECT package_id, profile, round(score - m, 2) AS delta, CASE WHEN coalesce(n, 0) < 5 OR score IS NULL THEN 'unknown' WHEN score - m <= -5 THEN 'regressed' WHEN score - m >= 5 THEN 'improved' ELSE 'steady' END AS change FROM c LEFT JOIN d USING (profile)""",
+      SELECT package_id, profile, round(score - m, 4) AS delta, CASE WHEN coalesce(n, 0) < 5 OR score IS NULL THEN 'unknown' WHEN score - m <= -5 THEN 'regressed' WHEN score - m >= 5 THEN 'improved' ELSE 'steady' END AS change FROM c LEFT JOIN d USING (profile)""",
     "trend_series": f"""WITH {_H}, n AS (SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY evaluated_at DESC, run_id DESC) AS rank FROM h WHERE score IS NOT NULL QUALIFY rank <= 5)
       SELECT package_id, run_id, score, row_number() OVER w AS position, round(score - lag(score) OVER w, 2) AS change FROM n WINDOW w AS (PARTITION BY package_id ORDER BY rank DESC)""",
     "weighted_score_nullskip": f"WITH {_S} SELECT package_id, stage, n_metrics, n_scored, round(score, 9) AS score FROM s",
