@@ -32,7 +32,7 @@ from .graph import connected_components
 U = np.uint64
 P, P_INV = U(0x9E3779B97F4A7C15), U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 #: Bytes hashed at a time, unless one text alone is longer.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 
 def band_plan(threshold: float = 0.8, recall: float = 0.9999, rows: int = 5) -> tuple[int, int]:
@@ -290,8 +290,13 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     key = df[id_col].cast("long")
     dropped = found.where("not kept").select("_near_id").distinct()
     repeated = materialize(found.where("kept and _near_id is not null").groupBy("_near_id").count().where("count > 1").select("_near_id"), "repeated")
-    left = df.join(dropped, key == F.col("_near_id"), "left_anti")
+    # As in the join itself: a bounded list of id buckets lets most rows stay where they are scanned, and only the
+    # rows of the buckets in question meet the exact lists.
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 20))
+    buckets = F.broadcast(dropped.unionByName(repeated).select(bucket(F.col("_near_id")).alias("_near_bucket")).distinct())
+    far = df.join(buckets, bucket(key) == F.col("_near_bucket"), "left_anti")
+    left = df.join(buckets, bucket(key) == F.col("_near_bucket"), "left_semi").join(dropped, key == F.col("_near_id"), "left_anti")
     if repeated.isEmpty():
-        return left
+        return far.unionByName(left)
     once = left.join(repeated, key == F.col("_near_id"), "left_anti")
-    return once.unionByName(left.join(repeated, key == F.col("_near_id"), "left_semi").dropDuplicates([id_col]))
+    return far.unionByName(once).unionByName(left.join(repeated, key == F.col("_near_id"), "left_semi").dropDuplicates([id_col]))
