@@ -176,7 +176,7 @@ def train(texts: list[str], langs: list[str], vocabulary: str, rounds: int = 3,
 class Identifier:
     """Predicts the language of texts; the likelihoods of words met before are kept."""
 
-    def __init__(self, model: dict, vocabulary: str, most: int = 600_000):
+    def __init__(self, model: dict, vocabulary: str, most: int = 250_000):
         self.langs, self.table, self.pieces, self.most = model["langs"], model["table"], Pieces(vocabulary), most
         self._clear()
 
@@ -187,7 +187,7 @@ class Identifier:
     def _learn(self, words: list[bytes]) -> None:
         cut = [runs(w.decode("utf-8", "replace")) for w in words]
         flat = [r for c in cut for r in c]
-        out = np.concatenate([self.pieces.lattice(flat[i : i + 20_000]).log_likelihood(self.table) for i in range(0, len(flat), 20_000)])
+        out = np.concatenate([self.pieces.lattice(flat[i : i + 10_000]).log_likelihood(self.table) for i in range(0, len(flat), 10_000)])
         whole = np.add.reduceat(out, np.concatenate([[0], np.cumsum([len(c) for c in cut])[:-1]]), axis=0)
         self.scores = np.concatenate([self.scores, whole.astype(np.float32)])
 
@@ -221,13 +221,19 @@ class Identifier:
 def fit(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 300, most_chars: int = 30_000) -> dict | None:
     """Learns from a bounded sample of rows with a language that are not held out.
 
-    The sample: of each language the per_lang ids with the lowest hashes among texts of at most
+    The sample: of each language per_lang ids by hash among texts of at most
     most_chars characters, whole. None without such rows.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     able = rows.where(trainable(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= most_chars))
+    # A share of about four times per_lang ids by hash first, so that no language's ids meet in one task.
+    slots = 1 << 20
+    ids = able.select("id", "lang").distinct()
+    share = {r.lang: min(slots, slots * 4 * per_lang // r.n + 1) for r in ids.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    upto = F.create_map(*[F.lit(x) for kv in sorted(share.items()) for x in kv])[F.col("lang")] if share else F.lit(0)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = materialize(able.select("id", "lang").distinct().withColumn("rank", rank).where(F.col("rank") <= per_lang).select("id", "lang"), "sample")
+    few = ids.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(slots)) < upto)
+    chosen = materialize(few.withColumn("rank", rank).where(F.col("rank") <= per_lang).select("id", "lang"), "sample")
     docs = sorted({(r.id, r.lang, r.text) for r in able.join(chosen, ["id", "lang"]).collect()})
     return train([d[2] for d in docs], [d[1] for d in docs], vocabulary)
 
@@ -254,7 +260,7 @@ def identify(df: DataFrame, model: dict | None, vocabulary: str, id_col: str = "
 
         return run
 
-    return map_texts(texts, make, "id long, lang_pred string, score double", 1_000_000).withColumnRenamed("id", id_col)
+    return map_texts(texts, make, "id long, lang_pred string, score double", 500_000).withColumnRenamed("id", id_col)
 
 
 def keep_known(df: DataFrame, model: dict | None, vocabulary: str, least: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -272,4 +278,4 @@ def keep_known(df: DataFrame, model: dict | None, vocabulary: str, least: float
 
         return run
 
-    return filter_texts(df, make, text_col)
+    return filter_texts(df, make, text_col, 500_000)

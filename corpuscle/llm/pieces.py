@@ -64,7 +64,7 @@ class PieceEncoder:
     library whole, whose own split then holds.
     """
 
-    def __init__(self, tokenizer: Tokenizer, pattern: str, special: tuple[str, ...] = (), rare_whole: bool = True, most: int = 600_000):
+    def __init__(self, tokenizer: Tokenizer, pattern: str, special: tuple[str, ...] = (), rare_whole: bool = True, most: int = 250_000):
         self.whole, self.most, self.rare_whole = tokenizer, most, rare_whole
         self.special = frozenset(special)
         body = pattern.replace(r"[^\s", "[^" + SPACE).replace(r"\s", SPACE).replace(r"\S", r"\P{White_Space}")
