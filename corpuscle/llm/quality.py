@@ -112,7 +112,7 @@ def divergence(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
 
 def quality_rules(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    most_char: float = 0.3, most_word: float = 0.6, least_chars: int = 200, least_words: int = 100,
+    most_char: float = 0.3, most_word: float = 0.29, least_chars: int = 200, least_words: int = 150,
 ) -> DataFrame:
     """The base counts and verdicts of each whole text.
 
