@@ -1,0 +1,79 @@
+"""Catalogues of measures: each a part, a whole and a weight; all of a package's in one aggregation, then in long form."""
+
+from __future__ import annotations
+
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+class Measure(NamedTuple):
+    """score = 100 * part / whole, both SQL aggregates over a package's rows.
+
+    empty: the score where there is no whole; None means not measurable, which counts for nothing
+    (its weight becomes 0) but lowers the stage's confidence.
+    """
+
+    stage: str
+    name: str
+    weight: float
+    part: str
+    whole: str
+    empty: float | None = None
+
+
+#: Measures over the items of a package: kind, bloom, marks, status, concept_id, known, importance, period, ord.
+ITEM_MEASURES = (
+    Measure("planner", "concept_scheduling", 2.0, "count(known)", "count(*)"),
+    Measure("planner", "time_budget", 1.5, "least(sum(marks), 240)", "240"),
+    Measure("lessons", "period_coverage", 2.0, "count(distinct period)", "least(count(*), 20)"),
+    Measure("lessons", "activity_ref_integrity", 2.0, "count(*) FILTER (WHERE known IS NOT NULL AND status = 'F')", "count(*) FILTER (WHERE status = 'F')"),
+    Measure("activities", "type_variety", 1.5, "count(distinct kind)", "least(4, count(*))"),
+    Measure("activities", "concept_linkage", 2.0, "count(DISTINCT concept_id) FILTER (WHERE known IS NOT NULL)", "count(DISTINCT concept_id)"),
+    Measure("activities", "timing_fit", 1.0, "count(*) FILTER (WHERE marks BETWEEN 8 AND 45)", "count(*)"),
+    Measure("assessments", "answer_key", 3.0, "count(*) FILTER (WHERE status = 'F')", "count(*)"),
+    Measure("assessments", "mcq_integrity", 2.0, "count(*) FILTER (WHERE kind = 'mcq' AND marks <= 40)", "count(*) FILTER (WHERE kind = 'mcq')"),
+    Measure("assessments", "objective_coverage", 2.5, "count(DISTINCT concept_id) FILTER (WHERE importance = 'core' AND status = 'F')", "count(DISTINCT concept_id) FILTER (WHERE importance = 'core')"),
+    Measure("assessments", "bloom_spread", 1.5, "least(count(DISTINCT bloom), 3)", "least(3, count(*))"),
+    Measure("assessments", "marks_consistency", 1.0, "count(*) FILTER (WHERE marks > 0)", "count(*)", 100.0),
+    Measure("gaps", "misconception_alignment", 0.5, "count(*) FILTER (WHERE importance = 'core' AND marks < 20)", "count(*) FILTER (WHERE marks < 20)"),
+    Measure("gaps", "remediation", 2.5, "count(*) FILTER (WHERE kind = 'short_answer' AND known IS NOT NULL)", "count(*) FILTER (WHERE kind = 'short_answer')"),
+    Measure("outcomes", "learning_gain", 1.0, "0", "0"),
+)
+
+#: Rubric dimensions: their measures' weights are shares of the dimension's.
+RUBRIC = (
+    Measure("bloom", "recall_ceiling", 0.25, "least(sum(marks) FILTER (WHERE bloom NOT IN ('remember', 'understand')) * 2, sum(marks))", "sum(marks)"),
+    Measure("bloom", "higher_order_floor", 0.25, "least(sum(marks) FILTER (WHERE bloom IN ('analyze', 'evaluate', 'create')) * 5, sum(marks))", "sum(marks)"),
+    Measure("bloom", "credible_claims", 0.15, "count(*) FILTER (WHERE kind = 'mcq' AND bloom IN ('remember', 'understand', 'apply'))", "count(*) FILTER (WHERE kind = 'mcq')", 100.0),
+    Measure("coverage", "taught", 0.16, "count(DISTINCT concept_id) FILTER (WHERE known IS NOT NULL)", "count(DISTINCT concept_id)", 100.0),
+    Measure("coverage", "assessed", 0.16, "count(DISTINCT concept_id) FILTER (WHERE status = 'F')", "count(DISTINCT concept_id)", 100.0),
+    Measure("coverage", "core_marked", 0.06, "count(*) FILTER (WHERE importance = 'core' AND marks >= 10)", "count(*) FILTER (WHERE importance = 'core')"),
+    Measure("sequencing", "periods_used", 0.25, "count(DISTINCT period)", "least(count(*), 6)"),
+    Measure("content_fidelity", "concept_reference_integrity", 0.35, "count(known)", "count(*)", 0.0),
+)
+
+
+def evaluate(rows: DataFrame, by: list[str], measures: tuple[Measure, ...]) -> DataFrame:
+    """(by, stage, measure, score, weight, confidence): one aggregation over rows for all measures; score is null where not measurable."""
+    parts = [F.expr(m.part).cast("double").alias(f"p{i}") for i, m in enumerate(measures)] + [F.expr(m.whole).cast("double").alias(f"w{i}") for i, m in enumerate(measures)]
+    if by:
+        a = rows.groupBy(*by).agg(*parts)
+    else:
+        a = rows.agg(*parts)
+
+    def row(i: int, m: Measure):
+        score = F.coalesce(F.try_divide(F.coalesce(F.col(f"p{i}"), F.lit(0.0)) * 100, F.col(f"w{i}")), F.lit(m.empty).cast("double"))
+        score = F.when(score.isNotNull(), F.least(F.greatest(score, F.lit(0.0)), F.lit(100.0)))
+        return F.struct(F.lit(m.stage).alias("stage"), F.lit(m.name).alias("measure"), score.alias("score"), F.when(score.isNull(), 0.0).otherwise(m.weight).alias("weight"))
+
+    long = a.select(*by, F.explode(F.array(*[row(i, m) for i, m in enumerate(measures)])).alias("m")).select(*by, "m.*")
+    return long.withColumn("confidence", F.lit(1.0))
+
+
+def sql_of(measures: tuple[Measure, ...], source: str, by: str) -> str:
+    """The same in SQL: a SELECT for each measure over the CTE `source`."""
+    one = "SELECT {by}, '{m.stage}' AS stage, '{m.name}' AS measure, least(greatest(coalesce(coalesce(({m.part})::DOUBLE, 0) * 100 / nullif(({m.whole})::DOUBLE, 0), {empty}::DOUBLE), 0), 100) AS s0, coalesce(({m.part})::DOUBLE, 0) * 100 / nullif(({m.whole})::DOUBLE, 0) IS NULL AND {empty} IS NULL AS missing, {m.weight}::DOUBLE AS w0 FROM {source} GROUP BY {by}"
+    rows = " UNION ALL ".join(one.format(by=by, m=m, source=source, empty="NULL" if m.empty is None else m.empty) for m in measures)
+    return f"SELECT {by}, stage, measure, CASE WHEN NOT missing THEN s0 END AS score, CASE WHEN missing THEN 0 ELSE w0 END::DOUBLE AS weight FROM ({rows})"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import allocation as A
-from ..operators import graphs
+from ..operators import catalogue, graphs
 from ..operators import scoring as S
 from ..session import table
 
@@ -263,6 +263,24 @@ def markdown_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("o_custkey", F.concat(F.lit("# Customer "), F.col("o_custkey").cast("string"), F.lit("\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n")).alias("markdown"))
 
 
+def _measured(spark, sf):
+    known = _concepts(spark, sf).select("concept_id", F.col("concept_id").alias("known"), "importance")
+    return _items(spark, sf).join(known, "concept_id", "left")
+
+
+def stage_measures(spark: SparkSession, sf: str) -> DataFrame:
+    """The catalogue of stage measures of every package in long form; what cannot be measured has no score and no weight."""
+    m = catalogue.evaluate(_measured(spark, sf), ["package_id"], catalogue.ITEM_MEASURES)
+    return m.select("package_id", "stage", "measure", F.round("score", 6).alias("score"), "weight")
+
+
+def rubric_dimensions(spark: SparkSession, sf: str) -> DataFrame:
+    """Rubric dimensions of every package: the weighted mean of the measures that apply."""
+    m = catalogue.evaluate(_measured(spark, sf), ["package_id"], catalogue.RUBRIC)
+    d = S.stage_scores(m, ["package_id", "stage"])
+    return d.select("package_id", "stage", "n_metrics", "n_scored", F.round("score", 7).alias("score"))
+
+
 _I = """i AS (SELECT l_orderkey AS package_id, l_linenumber AS ord, l_partkey AS concept_id, l_suppkey AS period,
   CASE l_returnflag WHEN 'A' THEN 'mcq' WHEN 'N' THEN 'short_answer' ELSE 'long_answer' END AS kind,
   CASE WHEN l_quantity < 10 THEN 'remember' WHEN l_quantity < 20 THEN 'understand' WHEN l_quantity < 30 THEN 'apply' WHEN l_quantity < 40 THEN 'analyze' ELSE 'evaluate' END AS bloom,
@@ -308,6 +326,8 @@ ORACLES: dict[str, str] = {
       SELECT package_id, from_id AS concept_id, count(*) AS reach FROM t GROUP BY 1, 2""",
     "gap_severity_topk": """WITH g AS (SELECT o_custkey AS package_id, o_orderkey AS gap_id, CASE WHEN o_orderpriority LIKE '1%' THEN 'high' WHEN o_orderpriority LIKE '2%' OR o_totalprice > 300000 THEN 'medium' ELSE 'low' END AS severity, o_orderstatus = 'F' AS observed FROM orders)
       SELECT package_id, gap_id, severity, row_number() OVER (PARTITION BY package_id ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, observed DESC, gap_id) AS rank FROM g QUALIFY rank <= 10""",
+    "stage_measures": f"WITH {_I}, z AS (SELECT i.*, c.concept_id AS known, importance FROM i LEFT JOIN c USING (concept_id)) SELECT package_id, stage, measure, round(score, 6) AS score, weight FROM ({catalogue.sql_of(catalogue.ITEM_MEASURES, 'z', 'package_id')})",
+    "rubric_dimensions": f"WITH {_I}, z AS (SELECT i.*, c.concept_id AS known, importance FROM i LEFT JOIN c USING (concept_id)) SELECT package_id, stage, count(*) AS n_metrics, count(score) AS n_scored, round(sum(score * weight) / nullif(sum(CASE WHEN score IS NOT NULL THEN weight END), 0), 7) AS score FROM ({catalogue.sql_of(catalogue.RUBRIC, 'z', 'package_id')}) GROUP BY 1, 2",
     "mutation_delta": f"""WITH {_I}, m AS (SELECT package_id, count(c.concept_id)::DOUBLE / count(*) AS a, (count(c.concept_id) FILTER (ord % 2 <> 0))::DOUBLE / count(*) AS b FROM i LEFT JOIN c USING (concept_id) GROUP BY 1)
       SELECT package_id, round(a, 6) AS baseline, round(b, 6) AS damaged, a - b >= 0.05 AS noticed FROM m""",
     "markdown_rollup": "SELECT o_custkey, '# Customer ' || o_custkey || chr(10) || string_agg('- ' || o_orderkey || ' (' || o_orderpriority || ')', chr(10) ORDER BY o_orderkey) AS markdown FROM orders GROUP BY 1",
@@ -316,5 +336,5 @@ ORACLES: dict[str, str] = {
 QUERIES = {f.__name__: f for f in (
     anti_untaught, dangling_refs, semi_objective_assessed, prereq_violations, dup_concepts, dedup_merge_keyed, timing_mismatch, default_lookup_fallback, blueprint_counts, blueprint_full_outer_drift,
     marks_consistency, bloom_mark_share, kind_mix_drift, coverage_metrics, sequencing_load_balance, adjacent_rubric_diff, distinct_terms_once, period_count, band_partition_dp, apportion_minutes,
-    round_robin_slots, clean_edges, cycle_edges, broken_cycles, topo_levels, downstream_load, gap_severity_topk, mutation_delta, markdown_rollup,
+    round_robin_slots, clean_edges, cycle_edges, broken_cycles, topo_levels, downstream_load, gap_severity_topk, mutation_delta, markdown_rollup, stage_measures, rubric_dimensions,
 )}
