@@ -25,12 +25,15 @@ BLANK = regex.compile(r"\p{White_Space}*")
 class PrefixCounts:
     """The counts at the ends of a text's pre-tokens, and at any prefix."""
 
-    def __init__(self, counter: Counter, text: str):
+    def __init__(self, counter: Counter, text: str, pieces: list[str] | None = None):
+        """pieces: the text's pre-tokens, if they are split and learned already."""
         self.counter, self.text = counter, text
-        self.pieces = counter.encoder.split(text)
-        counter.encoder.learn(set(self.pieces))
-        self.ends = list(accumulate(map(len, self.pieces)))
-        self.counts = list(accumulate(map(counter.tokens, self.pieces)))
+        if pieces is None:
+            pieces = counter.encoder.split(text)
+            counter.encoder.learn(set(pieces))
+        self.pieces = pieces
+        self.ends = list(accumulate(map(len, pieces)))
+        self.counts = list(accumulate(map(counter.tokens, pieces)))
 
     def total(self) -> int:
         return self.counts[-1] if self.counts else 0
@@ -70,9 +73,15 @@ class Counter:
     def tokens(self, piece: str) -> int:
         return len(self.encoder.known[piece])
 
+    def tables(self, texts: list) -> list[PrefixCounts | int]:
+        """The prefix counts of every text; of a text with rare characters, which the library splits itself, the total only."""
+        split = [self.encoder.split(t) if self.encoder.plain(t) else None for t in texts]
+        self.encoder.learn({p for s in split if s for p in s})
+        out = [len(self.encoder.whole.encode(t, add_special_tokens=False).ids) if s is None else PrefixCounts(self, t, s) for t, s in zip(texts, split, strict=True)]
+        return out
+
     def totals(self, texts: list) -> list[int]:
-        """The last prefix count of every text."""
-        return [sum(map(len, pieces)) for pieces in self.encoder.encode_pieces(texts)]
+        return [t if isinstance(t, int) else t.total() for t in self.tables([t or "" for t in texts])]
 
 
 def token_counts(df: DataFrame, path: str, pattern: str, budget: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -88,16 +97,17 @@ def token_counts(df: DataFrame, path: str, pattern: str, budget: int = 1024, id_
         counter = Counter(path, pattern)
 
         def run(ids: list, texts: list) -> dict:
-            totals = counter.totals(texts)
-            fit = []
-            for t, n in zip(texts, totals, strict=True):
-                fit.append(len(t or "") if n <= budget else prefix_fit(counter, t, budget))
-            return {"id": ids, "n_bytes": [len(t.encode("utf-8")) if t else 0 for t in texts], "n_tokens": totals, "over_limit": [n > budget for n in totals], "fit_chars": fit}
+            texts = [t or "" for t in texts]
+            totals, fit = [], []
+            for text, table in zip(texts, counter.tables(texts), strict=True):
+                n = table if isinstance(table, int) else table.total()
+                totals.append(n)
+                if n <= budget:
+                    fit.append(len(text))
+                else:
+                    fit.append((PrefixCounts(counter, text) if isinstance(table, int) else table).fit(budget))
+            return {"id": ids, "n_bytes": [len(t.encode("utf-8")) for t in texts], "n_tokens": totals, "over_limit": [n > budget for n in totals], "fit_chars": fit}
 
         return run
 
-    return map_texts(id_and_text(df, id_col, text_col), make, "id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long", 1_000_000).withColumnRenamed("id", id_col)
-
-
-def prefix_fit(counter: Counter, text: str, budget: int) -> int:
-    return PrefixCounts(counter, text).fit(budget)
+    return map_texts(id_and_text(df, id_col, text_col), make, "id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long", 500_000).withColumnRenamed("id", id_col)
