@@ -1,11 +1,10 @@
 """URL filters: host and path rules, then a ratio of two character language models.
 
 The models are smoothed variable-order Markov models of accepted and of rejected URLs: counts
-of every context of up to ORDER characters, of which only contexts with a fixed share
-of all characters are kept, so that their number is bounded whatever the data; Witten-Bell
-interpolation falls back to shorter contexts where a longer one is not kept. A URL's
-score is the difference of its log likelihoods by character; the threshold is calibrated
-on all labelled URLs.
+of every context of up to ORDER characters, kept whole as a table that grows with the
+corpus and never reaches the driver; Witten-Bell interpolation falls back to shorter contexts
+where a class has not met a longer one. A URL's score is the difference of its log
+likelihoods by character; the threshold is calibrated on all labelled URLs.
 """
 
 from __future__ import annotations
@@ -15,12 +14,18 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import cuts, materialize
 
 ORDER = 5
+#: Characters of the URLs that are scored together (one longer URL is a chunk of its own).
+CHUNK_CHARS = 100_000
 START, STOP = "\x02", "\x03"
 #: Words whose presence between a URL's delimiters marks it as rejected for training (fixed values).
 REJECTED_WORDS = ("adult", "ads", "bet", "bets", "casino", "loans", "pills", "poker", "porn", "sex", "spam", "track", "tracker", "viagra", "xxx")
@@ -52,20 +57,58 @@ def seed_label(url: Column) -> Column:
     return F.coalesce(F.lower(url).rlike(r"(?:^|[^a-z])(?:" + "|".join(REJECTED_WORDS) + r")(?:[^a-z]|$)"), F.lit(False))
 
 
+def _grams(url: str) -> list[str]:
+    """Every character of the URL and its end, each after its context: the ORDER characters before it, or as many as there are."""
+    s = START + url + STOP
+    return [s[max(0, i - ORDER) : i + 1] for i in range(1, len(s))]
+
+
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        seen: Counter = Counter()
-        for url, rejected, n in zip(batch["url"], batch["rejected"], batch["n"], strict=True):
-            s = START + url + STOP
-            for i in range(1, len(s)):
-                for k in range(min(ORDER, i) + 1):
-                    seen[rejected, s[i - k : i], s[i]] += n
-        if seen:
-            yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["rejected", "context", "next", "n"])
+        good, bad = Counter(), Counter()
+        for url, n_good, n_bad in zip(batch["url"], batch["good"], batch["bad"], strict=True):
+            for gram in _grams(url):
+                good[gram] += n_good
+                bad[gram] += n_bad
+        if good:
+            yield pd.DataFrame([(g[:-1], g[-1], n, bad[g]) for g, n in good.items()], columns=["context", "next", "good", "bad"])
+
+
+def pair_counts(once: DataFrame) -> DataFrame:
+    """(context, next, good, bad) of every context of up to ORDER characters, from distinct (url, good, bad); nothing is pruned.
+
+    Tasks count the longest contexts only; the shorter ones' counts are sums over their extensions.
+    """
+    longest = once.mapInPandas(_count, "context string, next string, good long, bad long").groupBy("context", "next").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    ends = F.transform(F.sequence(F.lit(1), F.length("context") + 1), lambda k: F.substr("context", k))
+    return longest.select(F.explode(ends).alias("context"), "next", "good", "bad").groupBy("context", "next").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+
+
+def probabilities(once: DataFrame) -> DataFrame:
+    """(gram, good, bad): both classes' P(next | context) of every gram that URLs of `once` (url, good, bad) hold.
+
+    Order by order each pair takes the probability after its context without the first character, by an
+    equi-join. Windows and join keys hold as many rows as there are different characters at most.
+    """
+    w = Window.partitionBy("context")
+    counts = pair_counts(once).select("context", "next", *[x.alias(f"{c}_{n}") for c in ("good", "bad") for n, x in (("n", F.col(c)), ("total", F.sum(c).over(w)), ("kinds", F.count_if(F.col(c) > 0).over(w)))])
+    counts = materialize(counts, "pairs")
+    out = shorter = None
+    for k in range(ORDER + 1):
+        level = counts.where(F.length("context") == k)
+        if shorter is None:
+            level = level.withColumns({"good": F.lit(1 / 256), "bad": F.lit(1 / 256)})
+        else:
+            level = level.withColumn("rest", F.substr("context", F.lit(2))).join(shorter.withColumnRenamed("context", "rest"), ["rest", "next"])
+        smooth = {c: F.when(F.col(f"{c}_total") > 0, (F.col(f"{c}_n") + F.col(f"{c}_kinds") * F.col(c)) / (F.col(f"{c}_total") + F.col(f"{c}_kinds"))).otherwise(F.col(c)) for c in ("good", "bad")}
+        shorter = materialize(level.select("context", "next", *[p.alias(c) for c, p in smooth.items()]), f"order{k}")
+        whole = shorter if k == ORDER else shorter.where(F.col("context").startswith(START))  # a shorter context ends a gram only at a URL's start
+        out = whole if out is None else out.unionByName(whole)
+    return out.select(F.concat("context", "next").alias("gram"), "good", "bad")
 
 
 class Markov:
-    """P(next | context) by Witten-Bell interpolation over the kept contexts."""
+    """P(next | context) by Witten-Bell interpolation over one class's counts, on one machine; probabilities() gives the same as a table."""
 
     def __init__(self, counts: dict[str, dict[str, int]]):
         self.counts = counts
@@ -88,37 +131,68 @@ class Markov:
         return sum(math.log(self.probability(s[max(0, i - ORDER) : i], s[i])) for i in range(1, len(s)))
 
 
-def train(labelled: DataFrame, most_contexts: int = 20_000) -> dict[bool, dict[str, dict[str, int]]]:
-    """Counts of both classes from (url, rejected) over all rows.
-
-    A pair of context and next character is kept if it makes up 1 / most_contexts of its class's
-    characters (or occurs once, while there are fewer than that), so each order keeps most_contexts
-    pairs at most and the driver gets (ORDER + 1) * 2 * most_contexts rows at most.
-    """
-    once = labelled.groupBy("url", "rejected").agg(F.count("*").alias("n"))  # repeated URLs are counted once, with their number
-    counts = materialize(once.mapInPandas(_count, "rejected boolean, context string, next string, n long").groupBy("rejected", "context", "next").agg(F.sum("n").alias("n")), "ngrams")
-    totals = {r.rejected: r.n for r in counts.where("context = ''").groupBy("rejected").agg(F.sum("n").alias("n")).collect()}
+def train(labelled: DataFrame) -> dict[bool, dict[str, dict[str, int]]]:
+    """All counts of both classes from (url, rejected), for Markov: a small table's only, as they are collected. url_filter() leaves them in tables."""
     out: dict[bool, dict[str, dict[str, int]]] = {}
-    for rejected, total in sorted(totals.items()):
-        model = out.setdefault(rejected, {})
-        for r in counts.where((F.col("rejected") == rejected) & (F.col("n") * most_contexts >= total)).collect():
-            model.setdefault(r.context, {})[r.next] = r.n
+    for r in pair_counts(_once(labelled)).collect():
+        for rejected, n in ((False, r.good), (True, r.bad)):
+            if n:
+                out.setdefault(rejected, {}).setdefault(r.context, {})[r.next] = n
     return out
 
 
-def scored(urls: DataFrame, counts: dict, url_col: str = "url") -> DataFrame:
-    """Adds `ratio`: the log likelihood under the rejected model less that under the accepted one, by character; 0 if a class is missing."""
-    if len(counts) < 2:
-        return urls.withColumn("ratio", F.lit(0.0))
-    shared = urls.sparkSession.sparkContext.broadcast(counts)  # bounded by train()
+def _once(rows: DataFrame) -> DataFrame:
+    """(url, good, bad): each different URL with its number of rows by class; null URLs are in no class and count as empty texts."""
+    there = F.col("url").isNotNull()
+    return rows.groupBy(F.coalesce("url", F.lit("")).alias("url")).agg(F.count_if(there & ~F.col("rejected")).alias("good"), F.count_if(there & F.col("rejected")).alias("bad"))
 
-    @F.pandas_udf("double")
-    def ratio(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        good, bad = Markov(shared.value[False]), Markov(shared.value[True])
+
+def _chunked(rows: DataFrame) -> DataFrame:
+    """Rows with the number of a chunk of CHUNK_CHARS characters of URLs; to be materialized, as it depends on how batches fall."""
+    at = rows.columns.index("url")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
-            yield batch.map(lambda u: (bad.log_likelihood(u) - good.log_likelihood(u)) / (len(u) + 1))
+            sizes = pc.fill_null(pc.utf8_length(batch.column(at)), 0).to_pylist()
+            for start, stop in cuts([n + 1 for n in sizes], CHUNK_CHARS):
+                part = batch.slice(start, stop - start)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([chunk] * part.num_rows, pa.int64())], names=[*part.schema.names, "chunk"])
+                chunk += 1
+
+    return rows.mapInArrow(run, rows.withColumn("chunk", F.lit(0).cast("long")).schema)
+
+
+def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different grams of each chunk in a batch."""
+    for batch in batches:
+        by_chunk: dict[int, set] = {}
+        for chunk, url in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            by_chunk.setdefault(chunk, set()).update(_grams(url or ""))
+        for chunk, grams in by_chunk.items():
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk] * len(grams), pa.int64()), "gram": pa.array(list(grams), pa.string())})
+
+
+def scored(rows: DataFrame) -> DataFrame:
+    """Adds `ratio` to materialized (url, rejected, chunk, ...): the log likelihood under the rejected model less that under the accepted one, by character; 0 if a class is missing.
+
+    A chunk asks once for each gram that it holds, however often, so that a gram of all URLs is joined with
+    as many rows as there are chunks; then each chunk's URLs meet the chunk's probabilities.
+    """
+    if rows.where("url is not null").select("rejected").distinct().count() < 2:
+        return rows.drop("chunk").withColumn("ratio", F.lit(0.0))
+    known = rows.select("chunk", "url").mapInArrow(_wanted, "chunk long, gram string").join(probabilities(_once(rows)), "gram")
+
+    def ratio(urls: pa.Table, model: pa.Table) -> pa.Table:
+        good, bad = ({g: math.log(p) for g, p in zip(model["gram"].to_pylist(), model[c].to_pylist(), strict=True)} for c in ("good", "bad"))
+        out = []
+        for url in urls["url"].to_pylist():
+            grams = _grams(url or "")
+            out.append((sum(map(bad.__getitem__, grams)) - sum(map(good.__getitem__, grams))) / len(grams))
+        return urls.drop_columns(["chunk"]).append_column("ratio", pa.array(out, pa.float64()))
 
-    return urls.withColumn("ratio", ratio(F.coalesce(F.col(url_col), F.lit(""))))
+    schema = rows.drop("chunk").withColumn("ratio", F.lit(0.0)).schema
+    return rows.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(ratio, schema)
 
 
 def calibrate(rows: DataFrame, steps: int = 200) -> float:
@@ -152,9 +226,8 @@ def url_filter(df: DataFrame, rules: dict[str, str], id_col: str = "page_id", ur
     empty table gives an empty result.
     """
     urls = df.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
-    labelled = urls.where("url is not null").select("url", seed_label(F.col("url")).alias("rejected"))
     rows = urls.select("id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), seed_label(F.col("url")).alias("rejected"))
-    rows = materialize(scored(rows, train(labelled)), "ratios")
+    rows = materialize(scored(materialize(_chunked(rows), "urls")), "ratios")
     threshold = calibrate(rows.where("url is not null"))
     rule = matching_rule(F.col("host"), F.col("path"), rules)
     verdict = F.lit(None).cast("string")

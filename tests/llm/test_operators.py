@@ -449,6 +449,26 @@ def test_url_models_equal_brute_force(spark):
         assert sum(m.probability("ample"[k:], chr(i)) for k in (0,) for i in range(256)) == pytest.approx(1)
 
 
+def test_url_ratios_prune_no_context(spark):
+    """60,000 characters a class: with only pairs of 1/20,000 of them kept, all that occur once or twice were lost."""
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 8))
+    rows = [f"http://{word()}.example/{word()}/{'casino' if i % 2 else 'fine'}/{word()}" for i in range(3000)] + [None, "", "http://é.example/"] + ["http://casino.example/"] * 5
+    labels = [bool(u and "casino" in u) for u in rows]
+    counts = {False: {}, True: {}}
+    for u, rejected in zip(rows, labels, strict=True):
+        s = urls.START + u + urls.STOP if u is not None else ""
+        for i in range(1, len(s)):
+            for k in range(min(urls.ORDER, i) + 1):
+                follow = counts[rejected].setdefault(s[i - k : i], {})
+                follow[s[i]] = follow.get(s[i], 0) + 1
+    good, bad = urls.Markov(counts[False]), urls.Markov(counts[True])
+    got = {r.page_id: r.ratio for r in urls.url_filter(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), {}).collect()}
+    assert len(got) == len(rows)
+    for i, u in enumerate(rows):
+        assert got[i] == pytest.approx((bad.log_likelihood(u or "") - good.log_likelihood(u or "")) / (len(u or "") + 1), abs=1e-9), u
+
+
 # ---- shared helpers and queries
 
 
