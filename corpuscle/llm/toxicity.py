@@ -12,6 +12,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,10 @@ from .common import filter_texts, id_and_text, map_texts, trainable
 WINDOW, STRIDE = 48, 32
 WORD_ROWS, TRIGRAM_ROWS = 1 << 15, 1 << 12
 WORD_DIM, CHAR_DIM, HIDDEN = 8, 8, 8
+#: Characters of a model word; longer runs become several.
+LONGEST = 40
+#: White space that bytes.split() leaves (and marks without width), punctuation, and what is between them.
+PARTS = regex.compile(r"(?P<white>[\s\p{Z}\x00-\x1f\x7f-\x9f\u200b\ufeff]+)|(?P<marks>[\p{P}\p{S}]+)|[^\s\p{Z}\p{P}\p{S}\x00-\x1f\x7f-\x9f\u200b\ufeff]+")
 EDGES = "\"'`.,;:!?()[]{}<>*#$%&|-_=+~^/\\@“”‘’«»…"
 
 Params = dict[str, np.ndarray]
@@ -29,6 +34,33 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def _plain(word: str) -> str:
+    low = word.lower()
+    return low.strip(EDGES) or low
+
+
+def pieces(run: bytes) -> list[bytes]:
+    """A run as model words: itself, or if it is longer than LONGEST its parts between white space and punctuation, cut every LONGEST characters.
+
+    Marks that hashing strips stay with the part before them, others are parts of their own: only white space is lost.
+    """
+    text = run.decode("utf-8", "surrogatepass")
+    if len(_plain(text)) <= LONGEST:
+        return [run]
+    parts: list[str] = []
+    joins = False  # the last part is a word that marks may follow
+    for m in PARTS.finditer(text):
+        if m["white"]:
+            joins = False
+        elif joins and m["marks"] and not m["marks"].strip(EDGES):
+            parts[-1] += m["marks"]
+            joins = False
+        else:
+            parts.append(m[0])
+            joins = not m["marks"]
+    return [p[i : i + LONGEST].encode("utf-8", "surrogatepass") for p in parts for i in range(0, len(p), LONGEST)]
+
+
 class Words:
     """Rows of the words met so far; row 0 is the padding. New words' hashes are handed out once, by fresh()."""
 
@@ -41,12 +73,17 @@ class Words:
         self.new: list[bytes] = [b""]
 
     def rows(self, texts: list) -> list[np.ndarray]:
-        """The rows of every text's words (runs without ASCII white space); null texts have none."""
+        """The rows of every text's words (runs without ASCII white space, long ones in pieces); null texts have none."""
         if len(self.row) > self.most:
             self.clear()
         row, split = self.row, [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
-        for words in split:
-            for w in set(words).difference(row):
+        for k, words in enumerate(split):
+            new = set(words).difference(row)
+            parts = {w: pieces(w) for w in new if len(w) > LONGEST}
+            if parts:
+                split[k] = words = [p for w in words for p in parts.get(w, (w,))]
+                new = set(words).difference(row)
+            for w in new:
                 row[w] = len(row) + 1
                 self.new.append(w)
         return [np.fromiter(map(row.__getitem__, words), dtype=np.int32, count=len(words)) for words in split]
@@ -66,7 +103,7 @@ class Hashed:
     @classmethod
     def of(cls, words: list[bytes]) -> Hashed:
         low = b"\n".join(words).decode("utf-8", "replace").lower().split("\n")
-        plain = [(w.strip(EDGES) or w)[:40].encode("utf-8", "surrogatepass") for w in low]
+        plain = [(w.strip(EDGES) or w).encode("utf-8", "surrogatepass") for w in low]
         word = np.fromiter((zlib.crc32(w) % WORD_ROWS for w in plain), dtype=np.int32, count=len(plain))
         raw = np.frombuffer(b"".join(b"<%s>" % w for w in plain), dtype=np.uint8).astype(np.uint32)
         size = np.array([len(w) for w in plain], dtype=np.int64)  # trigrams of <w>; none if w is empty

@@ -469,6 +469,26 @@ def test_url_ratios_prune_no_context(spark):
         assert got[i] == pytest.approx((bad.log_likelihood(u or "") - good.log_likelihood(u or "")) / (len(u or "") + 1), abs=1e-9), u
 
 
+def test_toxicity_reads_long_runs_whole():
+    def hashes(text):
+        words = toxicity.Words()
+        rows = words.rows([text])[0]
+        return words.fresh().word[rows].tolist()
+
+    clean, bad = [f"word{i}" for i in range(12)], [f"vile{i}" for i in range(6)]
+    for sep in "\u00a0\u3000\u2009\u200b,-_":
+        assert hashes(sep.join(clean + bad)) == hashes(" ".join(clean + bad)), sep
+    run = ("天地玄黄宇宙洪荒" * 20 + "、" + "é" * 90).encode()
+    assert b"".join(toxicity.pieces(run)) == run and max(len(p.decode()) for p in toxicity.pieces(run)) == toxicity.LONGEST
+    assert toxicity.pieces(b"-" * 100) == [b"-" * 40, b"-" * 40, b"-" * 20] and toxicity.pieces(b"short,word") == [b"short,word"]
+    rng = np.random.default_rng(3)
+    texts = [" ".join([*rng.choice(clean, 60), *(rng.choice(bad, 4) if i % 2 else []), *rng.choice(clean, 20)]) for i in range(120)]
+    scorer = toxicity.Scorer(toxicity.train(texts, [i % 2 for i in range(120)]))
+    deep = clean * 9 + bad + clean
+    got = scorer(["\u00a0".join(deep), " ".join(deep), "\u00a0".join(clean * 9), "_".join(deep)])
+    assert got[0] == pytest.approx(got[1]) and got[3] == pytest.approx(got[1]) and got[0] > 0.5 > got[2]
+
+
 # ---- shared helpers and queries
 
 
