@@ -201,14 +201,18 @@ def _edges(spark, sf):
 
 
 def _nodes(edges):
-    ids = edges.select("package_id", F.col("from_id").alias("concept_id")).unionByName(edges.select("package_id", F.col("to_id").alias("concept_id"))).distinct()
-    return ids.where("concept_id % 10 <> 3")
+    return edges.select("package_id", F.col("from_id").alias("concept_id")).unionByName(edges.select("package_id", F.col("to_id").alias("concept_id"))).distinct()
+
+
+def _known(edges):
+    """The nodes less every tenth, so that cleaning finds unknown ends."""
+    return _nodes(edges).where("concept_id % 10 <> 3")
 
 
 def clean_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Edges that remain after self loops, unknown ends and repetitions go, by package."""
     e = _edges(spark, sf)
-    return graphs.clean_edges(e, _nodes(e)).groupBy("package_id").agg(F.count("*").alias("n_edges"), F.sum("ord").alias("ords"), F.round(F.sum("confidence"), 6).alias("confidence"))
+    return graphs.clean_edges(e, _known(e)).groupBy("package_id").agg(F.count("*").alias("n_edges"), F.sum("ord").alias("ords"), F.round(F.sum("confidence"), 6).alias("confidence"))
 
 
 def cycle_edges(spark: SparkSession, sf: str) -> DataFrame:

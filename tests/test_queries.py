@@ -46,3 +46,23 @@ def test_entry_survives_without_the_training_operators(tmp_path):
     code = "import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op1') for k in e.queries()))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120, env={**os.environ, "PYTHONPATH": str(tmp_path)})
     assert out.returncode == 0 and out.stdout.split() == [str(len(registry.QUERIES)), "False"], out.stderr
+
+
+def test_graph_queries_use_all_nodes(spark, sf):
+    from corpuscle.plans import packages
+
+    graphs = {}
+    for r in packages._edges(spark, sf).collect():
+        graphs.setdefault(r.package_id, set()).update({(r.from_id, r.to_id)} if r.from_id != r.to_id else set())
+    want = {}
+    for p, pairs in graphs.items():
+        left, before = pairs, None
+        while left != before:
+            before = left
+            left = {(a, b) for a, b in left if a in {y for _, y in left} and b in {x for x, _ in left}}
+        want[p] = len(left)
+    assert {r.package_id: r.n_edges for r in packages.cycle_edges(spark, sf).collect()} == {p: n for p, n in want.items() if n}
+    assert {r.package_id: r.n_edges for r in packages.broken_cycles(spark, sf).collect()} == {p: len(x) for p, x in graphs.items() if x}
+    nodes = {(r.package_id, c) for r in packages._edges(spark, sf).collect() for c in (r.from_id, r.to_id)}
+    assert any(c % 10 == 3 for _, c in nodes)
+    assert {(r.package_id, r.concept_id) for r in packages.topo_levels(spark, sf).collect()} == nodes
