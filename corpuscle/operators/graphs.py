@@ -24,15 +24,15 @@ def clean_edges(edges: DataFrame, concepts: DataFrame) -> DataFrame:
     return e.groupBy(*EDGE).agg(F.min(F.struct("ord", "confidence")).alias("x")).select(*EDGE, "x.ord", "x.confidence")
 
 
-def cyclic_edges(edges: DataFrame, materialize, rounds: int = 50) -> DataFrame:
+def cyclic_edges(edges: DataFrame, materialize) -> DataFrame:
     """Edges (package_id, from_id, to_id) that remain after peeling nodes that nothing precedes or follows: those on or between cycles.
 
-    Every round is two semi-joins over all packages at once; it stops when no edge goes, or
-    after `rounds`. materialize(df) cuts the lineage.
+    Every round is two semi-joins over all packages at once; it stops when no edge goes,
+    however long the chains are. materialize(df) cuts the lineage.
     """
     left = materialize(edges.select("package_id", "from_id", "to_id").distinct())
     n = left.count()
-    for _ in range(rounds):
+    while n:
         targets, sources = left.select("package_id", F.col("to_id").alias("from_id")).distinct(), left.select("package_id", F.col("from_id").alias("to_id")).distinct()
         left = materialize(left.join(targets, ["package_id", "from_id"], "left_semi").join(sources, ["package_id", "to_id"], "left_semi"))
         now = left.count()
@@ -125,15 +125,15 @@ def topological_order(concepts: DataFrame, edges: DataFrame) -> DataFrame:
     return concepts.groupBy("package_id").cogroup(edges.groupBy("package_id")).applyInPandas(order, schema)
 
 
-def downstream(edges: DataFrame, materialize, rounds: int = 30) -> DataFrame:
+def downstream(edges: DataFrame, materialize) -> DataFrame:
     """(package_id, concept_id, reach): how many other concepts a concept leads to, over any number of steps.
 
     Semi-naive closure over all packages at once: each round joins only the pairs that the last
-    one found, until it finds none (or after `rounds`, for chains of up to that length).
+    one found, until it finds none.
     """
     step = edges.select("package_id", "from_id", "to_id").where("from_id <> to_id").distinct()
     known = new = materialize(step)
-    for _ in range(rounds):
+    while True:
         longer = new.select("package_id", "from_id", F.col("to_id").alias("via")).join(step.select("package_id", F.col("from_id").alias("via"), "to_id"), ["package_id", "via"])
         new = materialize(longer.select("package_id", "from_id", "to_id").where("from_id <> to_id").distinct().join(known, ["package_id", "from_id", "to_id"], "left_anti"))
         if new.isEmpty():

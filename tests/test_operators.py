@@ -75,6 +75,13 @@ def test_cycles(spark):
     assert {(r.from_id, r.to_id) for r in cyclic.collect()} == {("a", "b"), ("b", "c"), ("c", "a")}
 
 
+def test_long_chains_have_no_round_limit(spark):
+    chain = [(f"n{i:03}", f"n{i + 1:03}", "prerequisite_of", 1.0) for i in range(110)]
+    assert graphs.cyclic_edges(edges(spark, chain), _scratch).count() == 0
+    reach = {r.concept_id: r.reach for r in graphs.downstream(edges(spark, chain[:36]), _scratch).collect()}
+    assert reach == {f"n{i:03}": 36 - i for i in range(36)}
+
+
 def test_topological_order_and_reach(spark):
     nodes = spark.createDataFrame([(1, c, i) for i, c in enumerate("dcbaxy")], "package_id int, concept_id string, rank int")
     e = edges(spark, [("a", "b", "p", 1.0), ("b", "c", "p", 1.0), ("a", "d", "p", 1.0), ("x", "y", "p", 1.0), ("y", "x", "p", 1.0)])
