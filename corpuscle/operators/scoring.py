@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import scratch
+
 BANDS = {"exemplary": 90.0, "strong": 75.0, "adequate": 60.0, "weak": 40.0, "failing": 0.0}
 LEAST_HISTORY, TOLERANCE = 5, 5.0
 
@@ -40,18 +42,45 @@ def last_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return best.select(*key, *[F.col(f"x.{c}").alias(c) for c in rest])
 
 
-def nearest_rank(values: Column, q: float) -> Column:
-    """Aggregate: the value at index round-half-even(q (n - 1)) of the sorted values."""
-    ordered = F.sort_array(F.collect_list(values))
-    return F.element_at(ordered, (F.bround(q * (F.size(ordered) - 1)) + 1).cast("int"))
+def _at(rows: DataFrame, by: list[str], value: str, places: dict) -> DataFrame:
+    """(by, n, min, max, a column for each place): values at places(n) of the sorted values there are.
+
+    Different values and their counts are dealt out in ranges of (by, value); running counts go over the
+    ranges, then inside each, so that no task holds a group. Nothing is collected.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    placed = scratch(counts.repartitionByRange(*by, "_v").withColumn("_part", F.spark_partition_id()))  # the ranges depend on samples: dealt out once
+    group = Window.partitionBy(*by)
+    starts = placed.groupBy(*by, "_part").agg(F.sum("_n").alias("_t"))
+    before = F.coalesce(F.sum("_t").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = starts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_part").alias("_from"), before.alias("_start"), F.sum("_t").over(group).alias("_total"))
+    same = F.col("_part") == F.col("_from")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    inside = F.sum("_n").over(Window.partitionBy(*by, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    there = placed.withColumn("_upto", inside).join(starts, same).withColumn("_upto", F.col("_start") + F.col("_upto"))
+    found = [F.min(F.when((F.col("_upto") - F.col("_n") <= place(F.col("_total"))) & (place(F.col("_total")) < F.col("_upto")), F.col("_v"))).alias(c) for c, place in places.items()]
+    return there.groupBy(*by).agg(F.sum("_n").alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"), *found)
+
+
+def _rank(q: float):
+    return lambda n: F.bround(q * (n - 1)).cast("long")
+
+
+def nearest_rank(rows: DataFrame, by: list[str], value: str, q: float, name: str) -> DataFrame:
+    """(by, name): the value at index round-half-even(q (n - 1)) of the sorted values; null for a group without values."""
+    found = _at(rows, by, value, {name: _rank(q)}).select(*[F.col(c).alias(f"_by_{c}") for c in by], name)
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return rows.select(*by).distinct().join(found, same, "left").select(*by, name)
 
 
 def distribution(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """n, median, min, max, p25 and p75 (nearest rank) of the values there are; sufficient from five on."""
-    v = F.col(value)
-    return rows.where(v.isNotNull()).groupBy(*by).agg(
-        F.count("*").alias("n"), F.median(v).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"), nearest_rank(v, 0.25).alias("p25"), nearest_rank(v, 0.75).alias("p75"),
-    ).withColumn("sufficient", F.col("n") >= LEAST_HISTORY)
+    middle = {"_low": lambda n: F.floor((n - 1) / 2), "_high": lambda n: F.ceil((n - 1) / 2)}
+    d = _at(rows, by, value, {"p25": _rank(0.25), "p75": _rank(0.75), **middle})
+    return d.select(*by, "n", (0.5 * F.col("_low") + 0.5 * F.col("_high")).alias("median"), "min", "max", "p25", "p75", (F.col("n") >= LEAST_HISTORY).alias("sufficient"))
 
 
 def compare(current: DataFrame, history: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -89,7 +89,7 @@ def benchmark_distribution(spark: SparkSession, sf: str) -> DataFrame:
 
 def percentile_nearest_rank(spark: SparkSession, sf: str) -> DataFrame:
     """The 90th percentile of event values by the nearest rank, half to even."""
-    return _events(spark, sf).groupBy("event_type").agg(S.nearest_rank(F.col("value"), 0.9).alias("p90"))
+    return S.nearest_rank(_events(spark, sf), ["event_type"], "value", 0.9, "p90")
 
 
 def regression_compare(spark: SparkSession, sf: str) -> DataFrame:

@@ -13,19 +13,10 @@ from pyspark.sql.window import Window
 from ..operators import allocation as A
 from ..operators import catalogue, graphs
 from ..operators import scoring as S
+from ..session import scratch as _scratch
 from ..session import table
 
 
-def _scratch(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of an iteration: a reliable checkpoint in the shared folder, or in a folder of its own where none is set."""
-    import tempfile
-
-    context = df.sparkSession.sparkContext
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="corpuscle-"))
-    return df.checkpoint()
-
-
 def _items(spark, sf):
     kind = F.when(F.col("l_returnflag") == "A", "mcq").when(F.col("l_returnflag") == "N", "short_answer").otherwise("long_answer")
     level = F.when(F.col("l_quantity") < 10, "remember").when(F.col("l_quantity") < 20, "understand").when(F.col("l_quantity") < 30, "apply").when(F.col("l_quantity") < 40, "analyze").otherwise("evaluate")

@@ -31,3 +31,13 @@ def build_session(app: str = "corpuscle", cores: str | int = "*", **conf: str) -
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read by Spark so that any Hadoop path works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(df: DataFrame) -> DataFrame:
+    """Cuts the lineage of an iteration: a reliable checkpoint in the shared folder, or in a folder of its own where none is set."""
+    import tempfile
+
+    context = df.sparkSession.sparkContext
+    if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="corpuscle-"))
+    return df.checkpoint()

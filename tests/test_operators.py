@@ -133,6 +133,21 @@ def test_grounding(spark):
     assert {r.claim_id: r.c for r in codes.collect()}[2] == "GROUNDING_LOOSELY_FILED_PREDICTION"
 
 
+def test_ranks_gather_no_group(spark):
+    rng = random.Random(8)
+    rows = [(g, rng.choice([None, 0.5, 1.5, rng.random(), -rng.random()])) for g in ("a", "b", None) for _ in range(rng.randint(200, 400))] + [("one", 3.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    by = {g: sorted(x for h, x in rows if h == g and x is not None) for g, _ in rows}
+    ranks = scoring.nearest_rank(df, ["g"], "x", 0.9, "p90")
+    assert {r.g: r.p90 for r in ranks.collect()} == {g: xs[round(0.9 * (len(xs) - 1))] if xs else None for g, xs in by.items()}
+    spread = scoring.distribution(df, ["g"], "x")
+    got = {r.g: (r.n, r.median, r.min, r.max, r.p25, r.p75, r.sufficient) for r in spread.collect()}
+    assert got == {g: (len(xs), pytest.approx(float(np.median(xs))), xs[0], xs[-1], xs[round(0.25 * (len(xs) - 1))], xs[round(0.75 * (len(xs) - 1))], len(xs) >= 5) for g, xs in by.items() if xs}
+    for d in (ranks, spread):
+        plan = d._jdf.queryExecution().optimizedPlan().toString()
+        assert not any(f"{name}(" in plan for name in ("collect_list", "median", "percentile"))
+
+
 def test_scores_skip_what_was_not_measured(spark):
     m = spark.createDataFrame([("a", 80.0, 1.0, 1.0), ("a", None, 5.0, 1.0), ("a", 40.0, 1.0, 0.5), ("b", None, 1.0, 1.0)], "s string, score double, weight double, confidence double")
     got = {r.s: r for r in scoring.stage_scores(m, ["s"]).collect()}
