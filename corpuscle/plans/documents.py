@@ -138,11 +138,15 @@ def jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return t.withColumn("before", F.lag("t").over(w)).where("before is not null").select("conv_id", "turn", F.round(T.jaccard(F.col("before"), F.col("t")), 6).alias("similarity"))
 
 
+#: The token overlap from which the reference counts two texts as the same.
+NEAR_DUPLICATE = 0.85
+
+
 def near_dup_ratio(spark: SparkSession, sf: str) -> DataFrame:
     """Share of a conversation's turns that repeat no earlier kept one, by a fold in order."""
     t = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns"))
     lists = F.transform("turns", lambda x: T.blank_tokens(F.lower(x["text"])))
-    return t.select("conv_id", F.round(T.distinct_ratio(lists, 0.5), 6).alias("distinct_ratio"))
+    return t.select("conv_id", F.round(T.distinct_ratio(lists, NEAR_DUPLICATE), 6).alias("distinct_ratio"))
 
 
 def evidence_audit(spark: SparkSession, sf: str) -> DataFrame:

@@ -66,3 +66,13 @@ def test_graph_queries_use_all_nodes(spark, sf):
     nodes = {(r.package_id, c) for r in packages._edges(spark, sf).collect() for c in (r.from_id, r.to_id)}
     assert any(c % 10 == 3 for _, c in nodes)
     assert {(r.package_id, r.concept_id) for r in packages.topo_levels(spark, sf).collect()} == nodes
+
+
+def test_turns_under_the_threshold_are_distinct(spark, sf, monkeypatch):
+    from corpuscle.plans import documents
+
+    words = [f"w{i}" for i in range(20)]
+    turns = [(1, 0, words), (1, 1, words[:15]), (2, 0, words), (2, 1, words[:18])]  # similarities 0.75 and 0.9
+    df = spark.createDataFrame([(c, t, " ".join(w)) for c, t, w in turns], "conv_id long, turn long, text string")
+    monkeypatch.setattr(documents, "table", lambda *_: df)
+    assert {r.conv_id: r.distinct_ratio for r in documents.near_dup_ratio(spark, sf).collect()} == {1: 1.0, 2: 0.5}
