@@ -5,6 +5,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -46,11 +47,17 @@ class Codec:
         return list(zip(char_of_byte[starts].tolist(), (char_of_byte[ends - 1] + 1).tolist(), strict=True)) if len(ids) else []
 
 
+@lru_cache(maxsize=2)
+def codec_of(rank_path: str, pattern: str) -> Codec:
+    """One codec, and what it remembers, for all tasks of a worker process."""
+    return Codec(rank_path, pattern)
+
+
 def encode(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, ids, starts, ends): the ids of each text and their character offsets. Null and empty texts have none."""
 
     def make():
-        codec = Codec(rank_path, pattern)
+        codec = codec_of(rank_path, pattern)
 
         def run(ids: list, texts: list) -> dict:
             found = codec.encode(texts)
@@ -68,7 +75,7 @@ def decode(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id",
 
     @F.pandas_udf("string")
     def text_of(column):
-        codec = Codec(rank_path, pattern)
+        codec = codec_of(rank_path, pattern)
         return column.map(lambda ids: None if ids is None else codec.decode(ids).decode("utf-8", "replace"))
 
     return df.select(id_col, text_of(ids_col).alias("text"))
@@ -84,7 +91,7 @@ def round_trip(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_i
     """
 
     def make():
-        codec = Codec(rank_path, pattern)
+        codec = codec_of(rank_path, pattern)
 
         def run(ids: list, texts: list) -> dict:
             n, of_ids, of_bytes = [], [], []
