@@ -32,6 +32,7 @@ def byte_table() -> list[str]:
 
 
 TO_CHARACTER = dict(enumerate(byte_table()))
+is_blank = regex.compile(SPACE + "+").fullmatch
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -118,4 +119,4 @@ def special_strings(path: str) -> tuple[str, ...]:
         return tuple(t["content"] for t in json.load(f).get("added_tokens", []))
 
 
-__all__ = ["PieceEncoder", "byte_table", "read_ranks", "special_strings", "tokenizer_of_ranks"]
+__all__ = ["TO_CHARACTER", "PieceEncoder", "byte_table", "is_blank", "read_ranks", "special_strings", "tokenizer_of_ranks"]
