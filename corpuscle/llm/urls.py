@@ -1,10 +1,11 @@
 """URL filters: host and path rules, then a ratio of two character language models.
 
-The models are smoothed variable-order Markov models of accepted and of rejected URLs: counts
-of every context of up to ORDER characters, kept whole as a table that grows with the
-corpus and never reaches the driver; Witten-Bell interpolation falls back to shorter contexts
-where a class has not met a longer one. A URL's score is the difference of its log
-likelihoods by character; the threshold is calibrated on all labelled URLs.
+The models are smoothed variable-order Markov models of accepted and of rejected URLs, which are
+those that a rule allows or blocks. They count every context of up to ORDER characters, kept whole as
+a table that grows with the corpus and never reaches the driver; Witten-Bell interpolation falls back
+to shorter contexts where a class has not met a longer one. A URL's score is the difference of its
+log likelihoods by character. One in five of the ruled URLs, by hash, is held out from the counts, and
+the threshold is calibrated on those.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -27,9 +27,6 @@ ORDER = 5
 #: Characters of the URLs that are scored together (one longer URL is a chunk of its own).
 CHUNK_CHARS = 100_000
 START, STOP = "\x02", "\x03"
-#: Words whose presence between a URL's delimiters marks it as rejected for training (fixed values).
-REJECTED_WORDS = ("adult", "ads", "bet", "bets", "casino", "loans", "pills", "poker", "porn", "sex", "spam", "track", "tracker", "viagra", "xxx")
-
 
 def host_of(url: Column) -> Column:
     """After the first :// up to /, ?, # or the end, ASCII capitals lowered; empty without ://, and for null."""
@@ -52,9 +49,9 @@ def matching_rule(host: Column, path: Column, rules: dict[str, str]) -> Column:
     return found
 
 
-def seed_label(url: Column) -> Column:
-    """True for URLs that training counts as rejected: one of REJECTED_WORDS stands between delimiters."""
-    return F.coalesce(F.lower(url).rlike(r"(?:^|[^a-z])(?:" + "|".join(REJECTED_WORDS) + r")(?:[^a-z]|$)"), F.lit(False))
+def held_back(url: Column) -> Column:
+    """Ruled URLs that are not counted, but calibrate the threshold: crc32 of the URL mod 5 is 0."""
+    return F.crc32(url.cast("binary")) % 5 == 0
 
 
 def _grams(url: str) -> list[str]:
@@ -63,35 +60,36 @@ def _grams(url: str) -> list[str]:
     return [s[max(0, i - ORDER) : i + 1] for i in range(1, len(s))]
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A batch's different grams with the times that accepted and rejected URLs hold them; 0 and 0 for those of other URLs alone."""
     for batch in batches:
         good, bad = Counter(), Counter()
-        for url, n_good, n_bad in zip(batch["url"], batch["good"], batch["bad"], strict=True):
-            for gram in _grams(url):
+        for url, n_good, n_bad in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for gram in _grams(url or ""):
                 good[gram] += n_good
                 bad[gram] += n_bad
         if good:
-            yield pd.DataFrame([(g[:-1], g[-1], n, bad[g]) for g, n in good.items()], columns=["context", "next", "good", "bad"])
+            yield pa.RecordBatch.from_pydict({"context": [g[:-1] for g in good], "next": [g[-1] for g in good], "good": pa.array(good.values(), pa.int64()), "bad": pa.array([bad[g] for g in good], pa.int64())})
 
 
-def pair_counts(once: DataFrame) -> DataFrame:
-    """(context, next, good, bad) of every context of up to ORDER characters, from distinct (url, good, bad); nothing is pruned.
+def pair_counts(rows: DataFrame) -> DataFrame:
+    """(context, next, good, bad) of every context of up to ORDER characters, from (url, good, bad); nothing is pruned.
 
-    Tasks count the longest contexts only; the shorter ones' counts are sums over their extensions.
+    Tasks count, where the URLs are scanned, the longest contexts only; the shorter ones' counts are sums over their extensions.
     """
-    longest = once.mapInPandas(_count, "context string, next string, good long, bad long").groupBy("context", "next").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    longest = rows.select("url", "good", "bad").mapInArrow(_count, "context string, next string, good long, bad long").groupBy("context", "next").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     ends = F.transform(F.sequence(F.lit(1), F.length("context") + 1), lambda k: F.substr("context", k))
     return longest.select(F.explode(ends).alias("context"), "next", "good", "bad").groupBy("context", "next").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
 
 
-def probabilities(once: DataFrame) -> DataFrame:
-    """(gram, good, bad): both classes' P(next | context) of every gram that URLs of `once` (url, good, bad) hold.
+def probabilities(rows: DataFrame) -> DataFrame:
+    """(gram, good, bad): both classes' P(next | context) of every gram that URLs of rows (url, good, bad) hold.
 
     Order by order each pair takes the probability after its context without the first character, by an
     equi-join. Windows and join keys hold as many rows as there are different characters at most.
     """
     w = Window.partitionBy("context")
-    counts = pair_counts(once).select("context", "next", *[x.alias(f"{c}_{n}") for c in ("good", "bad") for n, x in (("n", F.col(c)), ("total", F.sum(c).over(w)), ("kinds", F.count_if(F.col(c) > 0).over(w)))])
+    counts = pair_counts(rows).select("context", "next", *[x.alias(f"{c}_{n}") for c in ("good", "bad") for n, x in (("n", F.col(c)), ("total", F.sum(c).over(w)), ("kinds", F.count_if(F.col(c) > 0).over(w)))])
     counts = materialize(counts, "pairs")
     out = shorter = None
     for k in range(ORDER + 1):
@@ -131,22 +129,16 @@ class Markov:
         return sum(math.log(self.probability(s[max(0, i - ORDER) : i], s[i])) for i in range(1, len(s)))
 
 
-def train(labelled: DataFrame) -> dict[bool, dict[str, dict[str, int]]]:
-    """All counts of both classes from (url, rejected), for Markov: a small table's only, as they are collected. url_filter() leaves them in tables."""
+def train(rows: DataFrame) -> dict[bool, dict[str, dict[str, int]]]:
+    """All counts of both classes (rejected or not) from (url, good, bad), for Markov: a small table's only, as they are collected. url_filter() leaves them in tables."""
     out: dict[bool, dict[str, dict[str, int]]] = {}
-    for r in pair_counts(_once(labelled)).collect():
+    for r in pair_counts(rows).collect():
         for rejected, n in ((False, r.good), (True, r.bad)):
             if n:
                 out.setdefault(rejected, {}).setdefault(r.context, {})[r.next] = n
     return out
 
 
-def _once(rows: DataFrame) -> DataFrame:
-    """(url, good, bad): each different URL with its number of rows by class; null URLs are in no class and count as empty texts."""
-    there = F.col("url").isNotNull()
-    return rows.groupBy(F.coalesce("url", F.lit("")).alias("url")).agg(F.count_if(there & ~F.col("rejected")).alias("good"), F.count_if(there & F.col("rejected")).alias("bad"))
-
-
 def _chunked(rows: DataFrame) -> DataFrame:
     """Rows with the number of a chunk of CHUNK_CHARS characters of URLs; to be materialized, as it depends on how batches fall."""
     at = rows.columns.index("url")
@@ -174,14 +166,14 @@ def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def scored(rows: DataFrame) -> DataFrame:
-    """Adds `ratio` to materialized (url, rejected, chunk, ...): the log likelihood under the rejected model less that under the accepted one, by character; 0 if a class is missing.
+    """Adds `ratio` to materialized (url, good, bad, chunk, ...): the log likelihood under the rejected model less that under the accepted one, by character; 0 if a class is missing.
 
     A chunk asks once for each gram that it holds, however often, so that a gram of all URLs is joined with
     as many rows as there are chunks; then each chunk's URLs meet the chunk's probabilities.
     """
-    if rows.where("url is not null").select("rejected").distinct().count() < 2:
+    if rows.where("good + bad > 0").select("good").distinct().count() < 2:
         return rows.drop("chunk").withColumn("ratio", F.lit(0.0))
-    known = rows.select("chunk", "url").mapInArrow(_wanted, "chunk long, gram string").join(probabilities(_once(rows)), "gram")
+    known = rows.select("chunk", "url").mapInArrow(_wanted, "chunk long, gram string").join(probabilities(rows), "gram")
 
     def ratio(urls: pa.Table, model: pa.Table) -> pa.Table:
         good, bad = ({g: math.log(p) for g, p in zip(model["gram"].to_pylist(), model[c].to_pylist(), strict=True)} for c in ("good", "bad"))
@@ -196,15 +188,15 @@ def scored(rows: DataFrame) -> DataFrame:
 
 
 def calibrate(rows: DataFrame, steps: int = 200) -> float:
-    """The ratio above which a URL is rejected: the 1/steps mark with the best balanced accuracy on (ratio, rejected), the highest of equals.
+    """The ratio above which a URL is rejected: the 1/steps mark with the best balanced accuracy on (ratio, rejected), the highest of equals; 0 if a class is missing.
 
     Ratios are cut to -10 .. 10, so the driver gets 2 * 20 * steps counts at most.
     """
     bins = rows.groupBy(F.floor(F.greatest(F.least("ratio", F.lit(10.0)), F.lit(-10.0)) * steps).cast("int").alias("bin"), "rejected").agg(F.count("*").alias("n")).collect()
     total = {c: sum(r.n for r in bins if r.rejected == c) for c in (False, True)}
     if not (total[False] and total[True]):
-        return float("inf")
-    best, mark = -1.0, float("inf")
+        return 0.0
+    best, mark = -1.0, 0.0
     good, bad = 0, total[True]  # accepted below, rejected from the mark on
     for b in sorted({r.bin for r in bins}):
         value = good / total[False] + bad / total[True]
@@ -221,17 +213,21 @@ def url_filter(df: DataFrame, rules: dict[str, str], id_col: str = "page_id", ur
     rules: verdict ("allow" or "block") by "host/path". verdict: the longest fitting rule's, else
     "block" if the models' ratio reaches the calibrated threshold, else "allow". A null URL, or
     one without ://, has an empty host and path, which no rule fits; its text (null: empty) is
-    judged by the models. Without URLs of both seed classes the models allow everything. One
-    row per input row, repeated rows and null ids included; other columns are ignored; an
-    empty table gives an empty result.
+    judged by the models. Unless rules both allow and block some URLs that are not held back, the
+    ratios are 0 and the models allow everything. One row per input row, repeated rows and null ids
+    included; other columns are ignored; an empty table gives an empty result.
     """
     urls = df.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
-    rows = urls.select("id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), seed_label(F.col("url")).alias("rejected"))
+    urls = urls.select("id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    urls = urls.withColumn("rule", matching_rule(F.col("host"), F.col("path"), rules))
+    said = F.lit(None).cast("string")
+    for name, verdict in rules.items():
+        said = F.when(F.col("rule") == name, F.lit(verdict)).otherwise(said)
+    urls = urls.withColumn("said", said)
+    counted = lambda verdict: F.coalesce((F.col("said") == verdict) & ~held_back(F.col("url")), F.lit(False)).cast("long")
+    rows = urls.withColumns({"good": counted("allow"), "bad": counted("block")})
     rows = materialize(scored(materialize(_chunked(rows), "urls")), "ratios")
-    threshold = calibrate(rows.where("url is not null"))
-    rule = matching_rule(F.col("host"), F.col("path"), rules)
-    verdict = F.lit(None).cast("string")
-    for name, said in rules.items():
-        verdict = F.when(F.col("rule") == name, F.lit(said)).otherwise(verdict)
+    able = not rows.where("ratio <> 0").isEmpty()
+    threshold = calibrate(rows.where(F.col("said").isNotNull() & held_back(F.col("url"))).select("ratio", (F.col("said") == "block").alias("rejected"))) if able else float("inf")
     method = F.when(F.col("ratio") >= threshold, F.lit("block")).otherwise(F.lit("allow"))
-    return rows.withColumn("rule", rule).select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce(verdict, method).alias("verdict"), "ratio")
+    return rows.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("said", method).alias("verdict"), "ratio")
