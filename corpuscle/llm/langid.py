@@ -2,15 +2,17 @@
 
 The vocabulary is fixed and public (the normal pieces of a sentencepiece model). A language
 gives each piece a probability, learned by expectation maximisation over all segmentations
-of training words. The likelihood of a word is the sum over its segmentations of
+of training words. The likelihood of a word, however long, is the sum over its segmentations of
 the product of their pieces' probabilities, by the forward algorithm; pieces do not cross white
 space, so a text's is the product over its words. Distinct words are scored once per
-worker, all words of a batch and all languages at a time.
+worker, all short words of a batch and all languages at a time.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import regex
@@ -23,10 +25,12 @@ from .common import filter_texts, id_and_text, map_texts, materialize, trainable
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
 MARK = "▁"
-#: A longer word is scored as runs of so many characters.
-RUN = 64
+#: Longer words are not batched, but scored on their own.
+LONG = 64
 #: Log probability of a character without a piece, alike in all languages; and a scale by character against underflow.
 UNKNOWN, SCALE = -12.0, 2.5
+#: Texts of fewer characters are not held against a language's floor; deviations, and log likelihood, that a floor is below the mean at least.
+SHORT, MARGIN, LEAST_MARGIN = 200, 8.0, 0.4
 LETTER = regex.compile(r"\p{L}")
 UND = "und"
 
@@ -75,8 +79,56 @@ class Pieces:
         return Lattice(self, words)
 
 
+class LongWord:
+    """All pieces in one word: by end, the starts and pieces of those that end there. Sums are kept as logarithms, so that no length overflows."""
+
+    def __init__(self, pieces: Pieces, word: str):
+        chars = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(U) + U(1)
+        self.size = len(chars)
+        power = [U(pow(int(BASE), k, 2**64)) for k in range(pieces.longest + 1)]
+        ends, starts, found = [], [], []
+        window = np.zeros(self.size, dtype=U)  # the hash of the last `length` characters at each end
+        for length in range(1, min(pieces.longest, self.size) + 1):
+            window[length - 1 :] += chars[: self.size - length + 1] * power[length - 1]
+            piece = pieces.find(window[length - 1 :])
+            at = np.arange(len(piece)) if length == 1 else np.flatnonzero(piece >= 0)  # characters without a piece of their own stand for themselves
+            ends.append(at + length)
+            starts.append(at)
+            found.append(piece[at])
+        ends, starts, found = (np.concatenate(x) for x in (ends, starts, found))
+        order = np.argsort(ends, kind="stable")
+        self.ends, self.starts, self.found = ends[order], starts[order], found[order]
+        self.cut = np.searchsorted(self.ends, np.arange(1, self.size + 2))
+
+    def forward(self, table: np.ndarray) -> np.ndarray:
+        """Logarithms of the sums over segmentations up to each character (size + 1, models)."""
+        out = np.zeros((self.size + 1, table.shape[1]))
+        p = table[self.found]
+        for end in range(1, self.size + 1):
+            e = slice(self.cut[end - 1], self.cut[end])
+            out[end] = out[end - 1] + np.log((np.exp(out[self.starts[e]] - out[end - 1]) * p[e]).sum(0))
+        return out
+
+    def log_likelihood(self, table: np.ndarray) -> np.ndarray:
+        return self.forward(table)[-1] - SCALE * self.size
+
+    def expected(self, table: np.ndarray, weight: float) -> np.ndarray:
+        """Expected counts of the pieces under one model."""
+        upto = self.forward(table)[:, 0]
+        back = np.full(self.size + 1, -np.inf)
+        back[-1] = 0.0
+        p = np.log(table[self.found, 0])
+        for end in range(self.size, 0, -1):
+            e = slice(self.cut[end - 1], self.cut[end])
+            if back[end] > -np.inf:  # else no segmentation goes on from here
+                s = self.starts[e]
+                back[s] = np.logaddexp(back[s], back[end] + p[e])
+        share = np.exp(upto[self.starts] + p + back[self.ends] - upto[-1])
+        return np.bincount(np.where(self.found < 0, len(table) - 1, self.found), weight * share, len(table))[:-1]
+
+
 class Lattice:
-    """All pieces in all words (of at most RUN characters): edges (word, start, end, piece), by end and length."""
+    """All pieces in all words of a batch: edges (word, start, end, piece), by end and length."""
 
     def __init__(self, pieces: Pieces, words: list[str]):
         self.pieces, n = pieces, len(words)
@@ -145,39 +197,38 @@ def _table(pieces: Pieces, probabilities: np.ndarray) -> np.ndarray:
     return np.concatenate([scaled, np.full((1, scaled.shape[1]), np.exp(UNKNOWN + SCALE))])
 
 
-def runs(word: str) -> list[str]:
-    """The marked word, cut into runs of RUN characters."""
-    word = MARK + word
-    return [word[i : i + RUN] for i in range(0, len(word), RUN)]
-
-
 def train(texts: list[str], langs: list[str], vocabulary: str, rounds: int = 3, smoothing: float = 0.05) -> dict | None:
     """Piece probabilities of every language: {"langs", "table" (pieces + 1, languages)}; None without a text."""
     names = sorted(set(langs))
     if not names:
         return None
-    pieces, columns = Pieces(vocabulary), []
+    pieces, columns = pieces_of(vocabulary), []
     for name in names:
-        counts = Counter(w for t, lang in zip(texts, langs, strict=True) if lang == name for w in t.split())
-        weights: Counter = Counter()
-        for word, n in counts.items():
-            for run in runs(word):
-                weights[run] += n
-        lattice = pieces.lattice(list(weights))
-        weight = np.array(list(weights.values()), dtype=np.float64)
+        counts = Counter(MARK + w for t, lang in zip(texts, langs, strict=True) if lang == name for w in t.split())
+        short = [w for w in counts if len(w) <= LONG]
+        lattice, weight = pieces.lattice(short), np.array([counts[w] for w in short], dtype=np.float64)
+        long = [(LongWord(pieces, w), n) for w, n in counts.items() if len(w) > LONG]
         p = np.full((len(pieces.names), 1), 1 / len(pieces.names))
-        for _ in range(rounds if len(weight) else 0):
-            c = lattice.expected(_table(pieces, p), weight)
+        for _ in range(rounds if counts else 0):
+            table = _table(pieces, p)
+            c = sum((w.expected(table, n) for w, n in long), lattice.expected(table, weight) if short else np.zeros(len(pieces.names)))
             p = ((c + smoothing) / (c.sum() + smoothing * len(c)))[:, None]
         columns.append(p)
     return {"langs": names, "table": _table(pieces, np.concatenate(columns, axis=1))}
 
 
+@lru_cache(maxsize=2)
+def pieces_of(vocabulary: str) -> Pieces:
+    """The vocabulary's tables, built once in a process."""
+    return Pieces(vocabulary)
+
+
 class Identifier:
     """Predicts the language of texts; the likelihoods of words met before are kept."""
 
     def __init__(self, model: dict, vocabulary: str, most: int = 250_000):
-        self.langs, self.table, self.pieces, self.most = model["langs"], model["table"], Pieces(vocabulary), most
+        self.langs, self.table, self.pieces, self.most = model["langs"], model["table"], pieces_of(vocabulary), most
+        self.floor = model.get("floor")
         self._clear()
 
     def _clear(self) -> None:
@@ -185,11 +236,15 @@ class Identifier:
         self.scores = np.zeros((0, len(self.langs)), dtype=np.float32)
 
     def _learn(self, words: list[bytes]) -> None:
-        cut = [runs(w.decode("utf-8", "replace")) for w in words]
-        flat = [r for c in cut for r in c]
-        out = np.concatenate([self.pieces.lattice(flat[i : i + 10_000]).log_likelihood(self.table) for i in range(0, len(flat), 10_000)])
-        whole = np.add.reduceat(out, np.concatenate([[0], np.cumsum([len(c) for c in cut])[:-1]]), axis=0)
-        self.scores = np.concatenate([self.scores, whole.astype(np.float32)])
+        marked = [MARK + w.decode("utf-8", "replace") for w in words]
+        short = [i for i, w in enumerate(marked) if len(w) <= LONG]
+        out = np.empty((len(words), len(self.langs)))
+        for i in range(0, len(short), 10_000):
+            out[short[i : i + 10_000]] = self.pieces.lattice([marked[k] for k in short[i : i + 10_000]]).log_likelihood(self.table)
+        for i, w in enumerate(marked):
+            if len(w) > LONG:
+                out[i] = LongWord(self.pieces, w).log_likelihood(self.table)
+        self.scores = np.concatenate([self.scores, out.astype(np.float32)])
 
     def log_likelihoods(self, texts: list) -> np.ndarray:
         if len(self.row) > self.most:
@@ -208,74 +263,116 @@ class Identifier:
                 out[i] = self.scores[np.fromiter(map(row.__getitem__, words), dtype=np.int64, count=len(words))].sum(0, dtype=np.float64)
         return out
 
-    def __call__(self, texts: list) -> tuple[list[str], list[float]]:
-        """Predicted languages and their posterior probabilities under equal priors."""
+    def __call__(self, texts: list) -> tuple[list[str], list[float], list[float]]:
+        """Predicted languages, their posterior probabilities under equal priors, and their log likelihoods by character."""
         ll = self.log_likelihoods(texts)
         post = np.exp(ll - ll.max(1, keepdims=True))
         post /= post.sum(1, keepdims=True)
         best = post.argmax(1)
         lettered = [t is not None and LETTER.search(t) is not None for t in texts]
-        return [self.langs[b] if ok else UND for b, ok in zip(best, lettered, strict=True)], [float(post[i, b]) if ok else 0.0 for i, (b, ok) in enumerate(zip(best, lettered, strict=True))]
+        chars = [len(t) if t else 1 for t in texts]
+        return (
+            [self.langs[b] if ok else UND for b, ok in zip(best, lettered, strict=True)],
+            [float(post[i, b]) if ok else 0.0 for i, (b, ok) in enumerate(zip(best, lettered, strict=True))],
+            [float(ll[i, b]) / n for i, (b, n) in enumerate(zip(best, chars, strict=True))],
+        )
 
+    def known(self, texts: list, least: float) -> np.ndarray:
+        """Texts with a language whose score is `least` or more and that their language explains as well as the worst of its own, with a margin."""
+        langs, scores, fits = self(texts)
+        floor = dict(zip(self.langs, self.floor, strict=True)) if self.floor is not None else {}
+        return np.array([n != UND and s >= least and (len(t) < SHORT or f >= floor.get(n, -np.inf)) for t, n, s, f in zip(texts, langs, scores, fits, strict=True)], dtype=bool)
 
-def fit(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 300, most_chars: int = 30_000) -> dict | None:
+
+def sample_of(rows: DataFrame, group: str, per_group: int, total_chars: int) -> DataFrame:
+    """(id, group, text): of each group at most per_group ids by hash, as far as their texts' characters before them stay under total_chars.
+
+    A row's text is whole; of rows that repeat an id one stays. So per_group texts, and total_chars
+    and one text more, bound what a group has, however large the table or its texts.
+    """
+    # A share of about four times per_group ids by hash first, so that no group's ids meet in one task.
+    slots = 1 << 20
+    ids = rows.groupBy("id", group).agg(F.max(F.length("text")).alias("chars"))
+    share = materialize(ids.groupBy(group).agg(F.least(F.lit(slots), F.floor(F.lit(slots) * 4 * per_group / F.count("*")) + 1).alias("upto")), "share")  # written, so that Spark knows its size
+    few = ids.join(share, group).where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(slots)) < F.col("upto"))
+    order = Window.partitionBy(group).orderBy(F.xxhash64("id"), "id")
+    before = F.sum("chars").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    ranked = few.withColumn("rank", F.row_number().over(order)).withColumn("before", F.coalesce(before, F.lit(0)))
+    chosen = materialize(ranked.where((F.col("rank") <= per_group) & (F.col("before") < total_chars)).select("id", group), "sample")
+    return rows.join(chosen, ["id", group]).groupBy("id", group).agg(F.max("text").alias("text"))
+
+
+def fit(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 300, total_chars: int = 3_000_000) -> dict | None:
     """Learns from a bounded sample of rows with a language that are not held out.
 
-    The sample: of each language per_lang ids by hash among texts of at most
-    most_chars characters, whole. None without such rows.
+    The sample: of each language at most per_lang ids by hash, whole texts, as far as those before
+    them have under total_chars characters. Four in five of the sample teach the pieces; the fifth
+    sets `floor`, the least log likelihood by character that counts as the language. A
+    language is a column of the model, which grows with the languages. None without such rows.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    able = rows.where(trainable(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= most_chars))
-    # A share of about four times per_lang ids by hash first, so that no language's ids meet in one task.
-    slots = 1 << 20
-    ids = able.select("id", "lang").distinct()
-    share = {r.lang: min(slots, slots * 4 * per_lang // r.n + 1) for r in ids.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    upto = F.create_map(*[F.lit(x) for kv in sorted(share.items()) for x in kv])[F.col("lang")] if share else F.lit(0)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    few = ids.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(slots)) < upto)
-    chosen = materialize(few.withColumn("rank", rank).where(F.col("rank") <= per_lang).select("id", "lang"), "sample")
-    docs = sorted({(r.id, r.lang, r.text) for r in able.join(chosen, ["id", "lang"]).collect()})
-    return train([d[2] for d in docs], [d[1] for d in docs], vocabulary)
+    able = rows.where(trainable(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    docs = sorted((r.lang, zlib.crc32(str(r.id).encode()), r.id, r.text) for r in sample_of(able, "lang", per_lang, total_chars).collect())
+    if not docs:
+        return None
+    model = train([d[3] for d in docs], [d[0] for d in docs], vocabulary)
+    model["floor"] = _floors(docs, vocabulary)
+    return model
+
+
+def _floors(docs: list[tuple], vocabulary: str) -> list[float]:
+    """By language: the mean log likelihood by character of texts that a model did not learn from, less MARGIN of its deviations; -inf without two such texts."""
+    apart = train([d[3] for i, d in enumerate(docs) if i % 5], [d[0] for i, d in enumerate(docs) if i % 5], vocabulary)
+    names = sorted({d[0] for d in docs})
+    if apart is None or apart["langs"] != names:
+        return [-np.inf] * len(names)
+    held = [d for i, d in enumerate(docs) if i % 5 == 0 and len(d[3]) >= SHORT]
+    ll = Identifier(apart, vocabulary).log_likelihoods([d[3] for d in held]) if held else np.zeros((0, len(names)))
+    out = []
+    for k, name in enumerate(names):
+        own = np.array([row[k] / len(d[3]) for d, row in zip(held, ll, strict=True) if d[0] == name])
+        out.append(float(own.mean() - max(MARGIN * own.std(), LEAST_MARGIN)) if len(own) > 1 else -np.inf)
+    return out
 
 
 def identify(df: DataFrame, model: dict | None, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, lang_pred, score) of each whole text.
+    """(id_col, lang_pred, score, fit) of each whole text.
 
     lang_pred is a learned language, or "und" (score 0) if the text is null or has no letter,
     or if model is None; ties go to the first by name. score is the posterior probability
-    of lang_pred. One row per input row, repeated rows and null ids included; other columns
+    of lang_pred, fit the log likelihood by character under it (null if model is None). One row per input row, repeated rows and null ids included; other columns
     are ignored; an empty table gives an empty result.
     """
     texts = id_and_text(df, id_col, text_col)
     if model is None:
-        return texts.select(F.col("id").alias(id_col), F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return texts.select(F.col("id").alias(id_col), F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("fit"))
     shared = df.sparkSession.sparkContext.broadcast(model)  # the vocabulary's size times the number of languages
 
     def make():
         identifier = Identifier(shared.value, vocabulary)
 
         def run(ids: list, texts: list) -> dict:
-            lang, score = identifier(texts)
-            return {"id": ids, "lang_pred": lang, "score": score}
+            lang, score, fits = identifier(texts)
+            return {"id": ids, "lang_pred": lang, "score": score, "fit": fits}
 
         return run
 
-    return map_texts(texts, make, "id long, lang_pred string, score double", 500_000).withColumnRenamed("id", id_col)
+    return map_texts(texts, make, "id long, lang_pred string, score double, fit double", 500_000).withColumnRenamed("id", id_col)
 
 
 def keep_known(df: DataFrame, model: dict | None, vocabulary: str, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of df, all columns as they are, with a language whose score is `least` or more; all of them if model is None."""
+    """The rows of df, all columns as they are, in a known language; all of them if model is None.
+
+    Known: the best language's score is `least` or more and, for texts of SHORT characters or more, its log
+    likelihood by character is no less than the model's floor for it: among any number of languages
+    one is the best, so the score alone rejects hardly any text that none of them explains.
+    """
     if model is None:
         return df
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
         identifier = Identifier(shared.value, vocabulary)
-
-        def run(texts: list) -> np.ndarray:
-            langs, scores = identifier(texts)
-            return np.array([lang != UND and score >= least for lang, score in zip(langs, scores, strict=True)], dtype=bool)
-
-        return run
+        return lambda texts: identifier.known(texts, least)
 
     return filter_texts(df, make, text_col, 500_000)
