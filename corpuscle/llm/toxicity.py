@@ -15,10 +15,11 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import filter_texts, id_and_text, map_texts, trainable
 
-WINDOW, STRIDE = 48, 32
+WINDOW, STRIDE = 48, 24
 WORD_ROWS, TRIGRAM_ROWS = 1 << 15, 1 << 12
 WORD_DIM, CHAR_DIM, HIDDEN = 8, 8, 8
 #: Characters of a model word; longer runs become several.
@@ -150,14 +151,15 @@ def windows(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out) if out else np.zeros((0, WINDOW), np.int32)), counts
 
 
-def start_params(seed: int = 5) -> Params:
-    """Random but for the first input, a word's log-odds: states, attention and logit start out rising with it."""
+def start_params(seed: int = 5, prior: bool = True) -> Params:
+    """Random; with prior but for the first input, a word's log-odds: states, attention and logit start out rising with it."""
     rng = np.random.default_rng(seed)
     d, h = WORD_DIM + CHAR_DIM, HIDDEN
     p = {"words": rng.normal(0, 0.1, (WORD_ROWS, WORD_DIM)), "chars": rng.normal(0, 0.1, (TRIGRAM_ROWS, CHAR_DIM)), "v": rng.normal(0.5, 0.1, 2 * h), "w": rng.normal(0.5, 0.1, 2 * h), "b": np.array([-1.0])}
     for way in "fb":
         p |= {f"W{way}": rng.normal(0, 0.3, (d, 3 * h)), f"U{way}": rng.normal(0, 0.3, (h, 3 * h)), f"c{way}": np.zeros(3 * h)}
-        p[f"W{way}"][0, 2 * h :] = 0.7
+        if prior:
+            p[f"W{way}"][0, 2 * h :] = 0.7
     return {k: x.astype(np.float32) for k, x in p.items()}
 
 
@@ -256,7 +258,7 @@ def _evidence(hashed: Hashed, rows: list[np.ndarray], y: np.ndarray) -> tuple[np
     return np.clip(odds * total / (total + 10), -3, 3).astype(np.float32), total
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 4, steps: int = 80, batch: int = 128, rate: float = 0.01, decay: float = 1e-3, least: int = 3, seed: int = 5) -> dict | None:
+def train(texts: list[str], labels: list[int], epochs: int = 4, steps: int = 80, batch: int = 128, rate: float = 0.01, decay: float = 1e-3, least: int = 3, seed: int = 5, prior: bool = True) -> dict | None:
     """Fits the network by Adam, for `epochs` rounds and `steps` batches at least; None unless both labels occur.
 
     Words that fewer than `least` texts hold have no embedding of their own: only their
@@ -270,9 +272,10 @@ def train(texts: list[str], labels: list[int], epochs: int = 4, steps: int = 80,
     hashed = words.fresh()
     win, counts = windows(rows)
     first = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    p = start_params(seed)
+    p = start_params(seed, prior)
     odds, holders = _evidence(hashed, rows, y)
-    p["words"][:, 0] = odds
+    if prior:
+        p["words"][:, 0] = odds
     known = (holders >= least)[:, None]
     p["words"] *= known
     by_row = odds[hashed.word]
@@ -338,13 +341,14 @@ class Scorer:
         return _sigmoid(np.clip(self.scale[0] * best.astype(np.float64) + self.scale[1], -30, 30))
 
 
-def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: tuple[int, int] = (1600, 800), most_chars: int = 30_000) -> dict | None:
+def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: tuple[int, int] = (1600, 800), total_chars: int = 12_000_000) -> dict | None:
     """Trains on a bounded sample of labelled rows that are not held out.
 
-    The sample: of each label the per_class ids with the lowest hashes, and of their texts
-    those of at most most_chars characters, whole. So at most sum(per_class) * most_chars
-    characters reach the driver, however large the tables are. A document that is labelled
-    twice counts as toxic if one label says so. None if a label is missing.
+    The sample: of each label the per_class ids with the lowest hashes, their texts whole, as far as
+    those before them have under total_chars characters. So sum(per_class) texts, and of each label
+    total_chars characters and one text more, reach the driver at most, however large the tables
+    and their texts are. A document that is labelled twice counts as toxic if one label says so; of rows
+    that repeat an id one text counts. None if a label is missing.
     """
     marked = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").where(trainable(F.col("id")))
     marked = marked.groupBy("id").agg(F.max("label").alias("label"))
@@ -353,8 +357,9 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
         one = marked.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(n)
         sample = one if sample is None else sample.unionByName(one)
     # At most sum(per_class) rows of two numbers: a proven bound.
-    docs = id_and_text(df, id_col, text_col).where(F.length("text") <= most_chars).join(F.broadcast(sample), "id")
-    rows = sorted({(r.id, r.text, r.label) for r in docs.collect()})
+    docs = id_and_text(df, id_col, text_col).join(F.broadcast(sample), "id").groupBy("id", "label").agg(F.max("text").alias("text"))
+    before = F.sum(F.length("text")).over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, -1))
+    rows = sorted((r.id, r.text or "", r.label) for r in docs.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < total_chars).drop("before").collect())
     return train([r[1] for r in rows], [r[2] for r in rows])
 
 
