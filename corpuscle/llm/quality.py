@@ -2,30 +2,25 @@
 
 A document's histograms of character classes and of common words are compared with those
 of each language, summed over all documents of the language that pass the base rules, by the
-Jensen-Shannon distance. A document far from every language is dropped; texts too short
-for a histogram to mean anything are judged by the base rules alone.
+Jensen-Shannon distance. A language's common words are those in most of its documents. A document far
+from every language is dropped; texts too short for a histogram to mean anything are judged by the
+base rules alone.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import map_texts, materialize
 
 SYMBOLS = "#*$%&|<>"
-#: Frequent function words (fixed values: public stop-word knowledge of six languages).
-COMMON_WORDS = {
-    "de": "der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden",
-    "en": "the of and to in a is that for it as was with be by on not he his are this at from or",
-    "es": "de la que el en y a los se del las un por con no una su para es al lo como más o",
-    "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se avec",
-    "it": "di e il la che in un a per è una non del sono le con si da dei al come i più gli",
-    "pt": "de a o que e do da em um para com não uma os no se na por mais as dos como mas ao",
-}
-VOCABULARY = sorted({w for words in COMMON_WORDS.values() for w in words.split()})
-OTHER = "(other)"
 #: Character classes: small and capital ASCII letters, other letters, digits, blanks, punctuation, the symbols, the rest.
 CLASSES = ("small", "capital", "letter", "digit", "blank", "point", "symbol", "rest")
 
@@ -73,10 +68,15 @@ def repeated_words(ids: np.ndarray) -> int:
     return int(covered.sum())
 
 
-def measure(text: str | None) -> tuple[int, int, int, int, int, list[int], list[int]]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, counts of character classes and of common words."""
+def forms(vocabulary: list[str]) -> list[tuple[bytes, ...]]:
+    """How each common word is written: as it is, or with a capital."""
+    return [tuple({w.encode(), w.capitalize().encode()}) for w in vocabulary]
+
+
+def measure(text: str | None, common_forms: list[tuple[bytes, ...]]) -> tuple[int, int, int, int, int, list[int], list[int]]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, counts of character classes and of common words (the last: other words)."""
     if not text:
-        return 0, 0, 0, 0, 0, [0] * len(CLASSES), [0] * (len(VOCABULARY) + 1)
+        return 0, 0, 0, 0, 0, [0] * len(CLASSES), [0] * (len(common_forms) + 1)
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
     number: dict[bytes, int] = {}
@@ -86,9 +86,9 @@ def measure(text: str | None) -> tuple[int, int, int, int, int, list[int], list[
     kinds = np.bincount(kinds, minlength=len(CLASSES))
     lines = [line for line in raw.split(b"\n") if not line.isspace() and line]
     often = np.bincount(ids, minlength=len(number)) if words else ids
-    common = [0] * (len(VOCABULARY) + 1)
-    for k, forms in enumerate(FORMS):
-        for w in forms:
+    common = [0] * (len(common_forms) + 1)
+    for k, written in enumerate(common_forms):
+        for w in written:
             i = number.get(w)
             if i is not None:
                 common[k] += int(often[i])
@@ -96,7 +96,29 @@ def measure(text: str | None) -> tuple[int, int, int, int, int, list[int], list[
     return len(words), len(text) - int(kinds[CLASSES.index("blank")]), int(kinds[CLASSES.index("symbol")]), len(lines) - len(set(lines)), repeated_words(ids), kinds.tolist(), common
 
 
-FORMS = [tuple({w.encode(), w.capitalize().encode()}) for w in VOCABULARY]
+def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """By batch and language, in how many documents each word (in lower case) stands."""
+    for batch in batches:
+        held: dict[str, Counter] = {}
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            held.setdefault(lang, Counter()).update(set(text.lower().encode("utf-8", "surrogatepass").split()))
+        for lang, counts in held.items():
+            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(counts), "word": pa.array([w.decode("utf-8", "replace") for w in counts], pa.string()), "n": pa.array(counts.values(), pa.int64())})
+
+
+def common_words(rows: DataFrame, per_lang: int) -> dict[str, list[str]]:
+    """The per_lang words that stand in most documents of each language, ties by the word; from all of (lang, text).
+
+    Each batch sends a word once with its number of documents; the best of a language are
+    picked by a window that Spark limits before its shuffle. per_lang words of each language reach the driver.
+    """
+    pairs = rows.where("lang is not null and text is not null").select("lang", "text").mapInArrow(_document_counts, "lang string, word string, n long")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "word"))
+    best = pairs.groupBy("lang", "word").agg(F.sum("n").alias("n")).withColumn("rank", rank).where(F.col("rank") <= per_lang)
+    out: dict[str, list[str]] = {}
+    for r in best.orderBy("lang", "rank").collect():
+        out.setdefault(r.lang, []).append(r.word)
+    return out
 
 
 def divergence(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
@@ -110,9 +132,14 @@ def divergence(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.where(total[:, 0] > 0, np.sqrt(np.maximum(d, 0)), 0.0)
 
 
+#: Distance of the common-word histograms up to which a text is near a language.
+MOST_WORD = 0.29
+
+
 def quality_rules(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    most_char: float = 0.3, most_word: float = 0.29, least_chars: int = 200, least_words: int = 150,
+    most_char: float = 0.3, most_word: float = MOST_WORD, least_chars: int = 200, least_words: int = 150,
+    common_per_lang: int = 26, least_docs: int = 20,
 ) -> DataFrame:
     """The base counts and verdicts of each whole text.
 
@@ -122,17 +149,22 @@ def quality_rules(
     within most_char by character classes (for texts of least_chars word characters or more) and
     within most_word by common words (of least_words words or more).
 
-    References are the summed counts of all documents of a language that pass the base rules;
-    only languages with a list of common words have one, so there are a few at most. Without
-    any reference the base rules decide alone. Null and empty texts have no words and fail.
-    One row per input row, repeated rows and null ids included; other columns are ignored; an
-    empty table gives an empty result.
+    References are the summed counts of all documents of a language that pass the base rules, for each
+    language with least_docs of them; its common words are learned from all its documents. A
+    document of a language without a reference, and every document if there is none, is judged
+    by the base rules alone; one without a language is compared with all references. Null and empty
+    texts have no words and fail. One row per input row, repeated rows and null ids included; other
+    columns are ignored; an empty table gives an empty result.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
 
+    lists = common_words(rows, common_per_lang)
+    vocabulary = sorted({w for words in lists.values() for w in words})
+    written = forms(vocabulary)
+
     def make():
         def run(ids: list, texts: list) -> dict:
-            found = [measure(t) for t in texts]
+            found = [measure(t, written) for t in texts]
             names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "common")
             return {"id": ids} | {n: [f[k] for f in found] for k, n in enumerate(names)}
 
@@ -141,13 +173,14 @@ def quality_rules(
     counts = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
     seen = map_texts(rows, make, f"id long, lang string, {counts}, chars array<long>, common array<long>", 2_000_000)
     seen = materialize(seen.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))), "measured")
-    sums = [F.sum(F.col(c)[i]).alias(f"{c}{i}") for c, n in (("chars", len(CLASSES)), ("common", len(VOCABULARY) + 1)) for i in range(n)]
-    known = seen.where(F.col("lang").isin(*COMMON_WORDS) & ~F.col("base_failed"))
-    # One row for each language that has a list of common words: six at most.
-    references = {r.lang: (np.array([r[f"chars{i}"] for i in range(len(CLASSES))], float), np.array([r[f"common{i}"] for i in range(len(VOCABULARY) + 1)], float)) for r in known.groupBy("lang").agg(*sums).orderBy("lang").collect()}
+    sums = [F.sum(F.col(c)[i]).alias(f"{c}{i}") for c, n in (("chars", len(CLASSES)), ("common", len(vocabulary) + 1)) for i in range(n)]
+    known = seen.where(F.col("lang").isNotNull() & ~F.col("base_failed"))
+    # One row for each language.
+    sums = known.groupBy("lang").agg(F.count("*").alias("n"), *sums).where(F.col("n") >= least_docs).orderBy("lang").collect()
+    references = {r.lang: (np.array([r[f"chars{i}"] for i in range(len(CLASSES))], float), np.array([r[f"common{i}"] for i in range(len(vocabulary) + 1)], float)) for r in sums}
 
     @F.pandas_udf("char_distance double, word_distance double, nearest string, near boolean")
-    def judge(chars, common, word_chars, n_words):
+    def judge(chars, common, word_chars, n_words, lang):
         import pandas as pd
 
         n = len(chars)
@@ -160,9 +193,9 @@ def quality_rules(
         excess = np.maximum(np.where(word_chars.to_numpy()[:, None] >= least_chars, by_char / most_char, 0), np.where(n_words.to_numpy()[:, None] >= least_words, by_word / most_word, 0))
         best = (excess + 1e-6 * (by_char + by_word)).argmin(1)
         at = np.arange(n), best
-        return pd.DataFrame({"char_distance": by_char[at], "word_distance": by_word[at], "nearest": [list(references)[i] for i in best], "near": excess[at] <= 1})
+        return pd.DataFrame({"char_distance": by_char[at], "word_distance": by_word[at], "nearest": [list(references)[i] for i in best], "near": (excess[at] <= 1) | (lang.notna() & ~lang.isin(list(references)))})
 
-    out = seen.withColumn("judged", judge("chars", "common", "word_chars", "n_words"))
+    out = seen.withColumn("judged", judge("chars", "common", "word_chars", "n_words", "lang"))
     return out.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & F.col("judged.near")).alias("kept"), "judged.char_distance", "judged.word_distance", "judged.nearest",
