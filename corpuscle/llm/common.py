@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,14 +17,22 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a new one in local mode (tests), else an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_corpuscle_shared", None)
     if not folder:
-        folder = getattr(spark, "_corpuscle_shared", None) or tempfile.mkdtemp(prefix="corpuscle-")
-        spark._corpuscle_shared = folder
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = spark._corpuscle_shared = tempfile.mkdtemp(prefix="corpuscle-")
     return folder.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     """Removes a scratch table when the driver ends, through the file system that holds it."""
     try:
@@ -43,9 +50,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     columns prunable, and gives the optimizer true sizes.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -145,10 +151,6 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.concat_tables(held) if len(held) > 1 else held[0]
 
 
-def dirname(path: str) -> str:
-    return os.path.dirname(os.path.abspath(path))
-
-
 class Forest:
     """Union-find over the rows of one block, with the smallest row as root."""
 

@@ -245,7 +245,8 @@ def ngram_jaccard_join(
     # Only (id, band hash) is shuffled for every class; signatures join the few members of shared buckets.
     hashes = classes.select(F.col("key"), F.col("n_words"), F.explode("bands").alias("hash"))
     chunks = F.ceil(F.greatest(F.col("m") / block_members, F.col("w") / block_words)).cast("int")
-    buckets = hashes.groupBy("hash").agg(F.count("*").alias("m"), F.sum("n_words").alias("w")).where("m > 1").select("hash", chunks.alias("chunks"))
+    buckets = materialize(hashes.groupBy("hash").agg(F.count("*").alias("m"), F.sum("n_words").alias("w")).where("m > 1").select("hash", chunks.alias("chunks")), "buckets")
+    # Written first, so that Spark can split the partition of a hash that very many classes share.
     shared = hashes.select("key", "hash").join(buckets, "hash")
     chunk = F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")
     members = (
@@ -269,15 +270,11 @@ def ngram_jaccard_join(
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     components = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "copy_id")
     named = classes.select("key", "copy_id", "size").join(links, "key", "left").join(components, "copy_id", "left")
-    out = sigs.select("id", "key", "n_words").join(named, "key", "left")
-    return out.select(
-        F.col("id").alias(id_col),
-        F.coalesce("component", "copy_id", "id").alias("class_id"),
-        F.coalesce("copy_id", "id").alias("copy_id"),
-        (F.coalesce("links", F.lit(0)) + F.coalesce("size", F.lit(1)) - 1).cast("long").alias("n_links"),
-        F.col("n_words"),
-        F.coalesce(F.col("id") == F.coalesce("component", "copy_id", "id"), F.lit(True)).alias("kept"),
-    )
+    # Written first, so that Spark can split the partition of a class with very many copies.
+    named = materialize(named.select("key", "copy_id", F.coalesce("component", "copy_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).cast("long").alias("n_links")), "named")
+    out = whole.select("id", "key", "n_words").join(named, "key").select("id", "class_id", "copy_id", "n_links", "n_words")
+    alone = sigs.where("key is null or id is null").select("id", F.col("id").alias("class_id"), F.col("id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"), "n_words")
+    return out.unionByName(alone).select(F.col("id").alias(id_col), "class_id", "copy_id", "n_links", "n_words", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
