@@ -40,7 +40,7 @@ WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(length('{chat.TURN}' || {_escaped('role', True)} || chr(10) || {_escaped('text')} || '{chat.END}'))::BIGINT AS formatted_chars
+  sum(length('{chat.TURN}' || {_escaped('role', True)} || chr(10) || {_escaped('text')} || '{chat.END}'))::BIGINT AS formatted_chars, 0::BIGINT AS n_attachments, 0::BIGINT AS expanded_tokens
 FROM t GROUP BY 1"""
 
 
@@ -50,16 +50,24 @@ def source_mix(weights: dict[str, int], fraction: tuple[int, int], epochs: int,
     n, d = fraction
     keys = ["domain", "lang", "source"]
     parts = []
+    for depth in range(3, 0, -1):
+        own, path = ", ".join(keys[:depth]), " || '/' || ".join(keys[:depth])
+        source, cap = (f"c{depth + 1}", "sum(cap)") if depth < 3 else ("leaf", f"sum({epochs} * tokens)")
+        parts.append(f"""
+g{depth} AS (SELECT {own}, {path} AS p, {cap}::BIGINT AS cap, sum(tokens)::BIGINT AS tokens FROM {source} GROUP BY {own}),
+c{depth} AS (SELECT g{depth}.* EXCLUDE (cap, p), coalesce(w, 1)::BIGINT AS weight, CASE WHEN coalesce(w, 1) > 0 THEN cap ELSE 0 END AS cap FROM g{depth} LEFT JOIN (VALUES {known}) k(p, w) USING (p))""")
     for depth in range(1, 4):
         own, up = ", ".join(keys[:depth]), ", ".join(keys[: depth - 1])
-        path = " || '/' || ".join(keys[:depth])
         by = f"PARTITION BY {up} " if up else ""
-        budget = "b.budget" if up else f"((sum(sum(tokens)) OVER () // {d}) * {n} + (sum(sum(tokens)) OVER () % {d}) * {n} // {d})::BIGINT"
+        name = keys[depth - 1]
+        budget = f"SELECT c{depth}.*, b.budget FROM c{depth} JOIN s{depth - 1} b USING ({up})" if up else f"SELECT *, least((sum(tokens) OVER () // {d}) * {n} + (sum(tokens) OVER () % {d}) * {n} // {d}, sum(cap) OVER ())::BIGINT AS budget FROM c1"
         parts.append(f"""
-n{depth} AS (SELECT {', '.join('leaf.' + k for k in keys[:depth])}, sum({epochs} * tokens)::BIGINT AS cap, {'min(b.budget)' if up else budget} AS budget FROM leaf {f'JOIN s{depth - 1} b USING ({up})' if up else ''} GROUP BY {', '.join('leaf.' + k for k in keys[:depth])}),
-q{depth} AS (SELECT *, coalesce(w, 1)::BIGINT AS weight, cap / coalesce(w, 1)::DOUBLE AS ratio FROM n{depth} LEFT JOIN (VALUES {known}) k(p, w) ON p = {path}),
-f{depth} AS (SELECT *, coalesce(sum(cap) OVER o, 0)::DOUBLE + ratio * (sum(weight) OVER ({by}) - coalesce(sum(weight) OVER o, 0))::DOUBLE <= budget AS filled FROM q{depth} WINDOW o AS ({by}ORDER BY ratio, {keys[depth - 1]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-s{depth} AS (SELECT {own}, CASE WHEN filled THEN cap ELSE least(floor(coalesce((budget - coalesce(sum(CASE WHEN filled THEN cap ELSE 0 END) OVER ({by}), 0))::DOUBLE / nullif(sum(CASE WHEN filled THEN 0 ELSE weight END) OVER ({by}), 0), 0) * weight)::BIGINT, cap) END AS budget FROM f{depth})""")
+n{depth} AS (SELECT *, CASE WHEN weight > 0 THEN cap / weight::DOUBLE ELSE 'inf'::DOUBLE END AS ratio FROM ({budget})),
+f{depth} AS (SELECT *, weight > 0 AND cap::HUGEINT * (sum(weight) OVER ({by}) - coalesce(sum(weight) OVER o, 0)) <= (budget - coalesce(sum(cap) OVER o, 0)) * weight AS filled FROM n{depth} WINDOW o AS ({by}ORDER BY ratio, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+r{depth} AS (SELECT *, (budget - sum(CASE WHEN filled THEN cap ELSE 0 END) OVER ({by}))::BIGINT AS rest, nullif(sum(CASE WHEN filled THEN 0 ELSE weight END) OVER ({by}), 0)::BIGINT AS open FROM f{depth}),
+x{depth} AS (SELECT *, CASE WHEN filled THEN cap ELSE coalesce(rest // open * weight + rest % open * weight // open, 0) END AS low, CASE WHEN filled THEN 0 ELSE rest % open * weight % open END AS part FROM r{depth}),
+y{depth} AS (SELECT *, budget - sum(low) OVER ({by}) AS spare, row_number() OVER ({by}ORDER BY (NOT filled AND weight > 0) DESC, part DESC NULLS LAST, {name}) AS turn FROM x{depth}),
+s{depth} AS (SELECT {own}, least(low + CASE WHEN NOT filled AND weight > 0 AND turn <= spare THEN 1 ELSE 0 END, cap)::BIGINT AS budget FROM y{depth})""")
     return f"""
 WITH docs AS (SELECT doc_id, CASE WHEN substr(md5(source), 1, 1) < '6' THEN 'web' WHEN substr(md5(source), 1, 1) < 'b' THEN 'books' ELSE 'code' END AS domain, lang, source, len(regexp_extract_all(text, '{WORD}'))::BIGINT AS n_tokens FROM documents),
 leaf AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM docs WHERE n_tokens > 0 GROUP BY 1, 2, 3), {','.join(parts)},
