@@ -7,13 +7,11 @@ stage's learning and statistics use the documents that it gets.
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corpuscle.llm import bpe, langid, mixing, ngram_join, toxicity
-from corpuscle.llm.common import shared_folder
+from corpuscle.llm.common import scratch_path
 from corpuscle.llm.queries import MIX_WEIGHTS, mix_levels
 
 #: Documents whose language is less certain than this are rejected.
@@ -62,10 +60,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each result written to the shared folder and read again."""
+    """All stages over documents, each result written to the shared folder and read again; the folder's tables go when the driver ends."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        path = f"{shared_folder(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
