@@ -44,14 +44,55 @@ def test_open_headings_equal_a_stack(spark):
             assert got[d, i] == want
 
 
-def test_pack_bounds_overlap():
-    block = lambda i, text, kind="paragraph", level=None: {"ord": i, "type": kind, "level": level, "text": text}
+def brute_spans(sizes, sections, atoms, target):
+    """Block by block: what a chunk holds so far decides whether the next one joins it."""
+    tokens = lambda n: max(1, n // 4)
+    out, open_, chars = [], [], 0
+    for i, n in enumerate(sizes):
+        if open_ and (sections[i] or tokens(chars) + tokens(n) > target):
+            out.append((open_[0], i))
+            open_, chars = [], 0
+        open_.append(i)
+        chars += n + 1
+        if atoms[i] and tokens(chars) >= target:
+            out.append((open_[0], i + 1))
+            open_, chars = [], 0
+    return out + ([(open_[0], len(sizes))] if open_ else [])
+
+
+def test_chunk_spans_equal_brute_force():
+    rng = random.Random(5)
+    for _ in range(400):
+        n, target = rng.randint(0, 40), rng.choice([1, 5, 20, 60])
+        sizes = [rng.choice([1, 3, 9, 30, 120, 400]) for _ in range(n)]
+        sections, atoms = [rng.random() < 0.1 for _ in range(n)], [rng.random() < 0.3 for _ in range(n)]
+        assert structure.chunk_spans(np.array(sizes, dtype=np.int64), np.array(sections, dtype=bool), np.array(atoms, dtype=bool), target) == brute_spans(sizes, sections, atoms, target)
+
+
+def test_chunk_texts_carry_their_overlap():
     long = " ".join(["word"] * 300)
-    out = structure.pack([block(0, long), block(1, long), block(2, "Section", "heading", 1), block(3, long), block(4, "  ")], target=400)
-    assert [(c["first_block"], c["last_block"]) for c in out] == [(0, 0), (1, 1), (2, 3)]
+    out = structure.chunk_texts([long, long, "Section", long, "  ", "Part"], ["paragraph", "paragraph", "heading", "paragraph", "paragraph", "heading"], [None, None, 1, None, None, 3], target=400)
+    assert [(c["first_block"], c["last_block"]) for c in out] == [(0, 0), (1, 1), (2, 5)]
     assert 0 < out[1]["carried"] <= 480 and out[2]["carried"] == 0 and out[0]["carried"] == 0
-    assert structure.pack([]) == [] and structure.overlap_tail("short") == ""
-    assert out[0]["text"].endswith(structure.overlap_tail(long + "\n"))
+    assert structure.chunk_texts([], [], []) == [] and structure.overlap_tail("short") == "" and structure.overlap_tail("") == ""
+    assert out[0]["text"].endswith(structure.overlap_tail(long + "\n")) and out[1]["text"] == structure.overlap_tail(long + "\n") + "\n" + long
+    assert [c["section_path"] for c in out] == [[], [], ["Section"]]
+    again = structure.chunk_texts(["A", "b " * 900, "C", "d " * 900, "e " * 900], ["heading", "paragraph", "heading", "paragraph", "paragraph"], [1, None, 3, None, None], target=400)
+    assert [(c["first_block"], c["section_path"]) for c in again] == [(0, ["A"]), (1, ["A"]), (2, ["A", "C"]), (3, ["A", "C"]), (4, ["A", "C"])]
+
+
+def test_seams_and_tables_and_pages(spark):
+    df = spark.createDataFrame([("abc def", "xx abc"), ("abc", "zzz"), ("", "a"), ("aa", "aaa")], "t string, b string")
+    assert [r.n for r in df.select(structure.seam_length(F.col("t"), F.col("b")).alias("n")).collect()] == [3, 0, 0, 2]
+    t = spark.createDataFrame([([["h1", "h2"], ["a"], ["b", None, "c"]],)], "rows array<array<string>>")
+    assert t.select(structure.normalise_table(F.col("rows")).alias("r")).first().r == [["h1", "h2"], ["a", ""], ["b", ""]]
+    f = spark.createDataFrame([(1, 0, 10.04, "aaaa"), (1, 1, 12.0, "bbbbbb"), (1, 2, 10.0, "cc"), (2, 0, 9.0, "x"), (2, 1, 8.0, "y")], "doc_id int, ord int, size double, text string")
+    assert {r.doc_id: r.body_size for r in structure.body_font(f).collect()} == {1: 10.0, 2: 9.0}
+    pages = spark.createDataFrame([(1, 1, "dense", 80, 90.0, 0.9), (1, 2, None, 80, 90.0, 0.9), (1, 3, None, 10, 90.0, 0.2), (1, 4, None, 50, 2.0, 0.9), (1, 5, None, 0, 0.0, 1.0)], "doc_id int, page int, kind string, chars int, area double, image_share double")
+    assert sorted(r.page for r in structure.scanned_pages(pages).collect()) == [1, 5]
+    b = spark.createDataFrame([(1, i, "heading" if i % 2 else "paragraph", f"t{i} " + "x" * 50) for i in range(100)], "doc_id int, ord int, type string, text string")
+    got = structure.document_sample(b, headings=3, chars=100).first()
+    assert [h[:3] for h in got.headings] == ["t1 ", "t3 ", "t5 "] and got.sample.startswith("t0 ") and len(got.sample) == 105
 
 
 EDGES = "package_id int, ord int, from_id string, to_id string, relation string, confidence double"
