@@ -13,31 +13,61 @@ WEIGHT = {SUPPORTED: 1.0, PARTLY: 0.5, UNSUPPORTED: 0.0}
 LEAST_QUOTE, FUZZY, FUZZY_CONFIDENCE = 8, 0.88, 0.7
 
 
+def tokenised(rows: DataFrame, text: str, prefix: str) -> DataFrame:
+    """Adds prefix_norm, prefix_tokens (between blanks) and prefix_gates of a text column, made once a row.
+
+    They come out of a generator, behind which Spark doesn't repeat an expression: in a
+    function over array elements a text would otherwise be split anew for every element.
+    """
+    norm = T.simple_normalise(F.col(text))
+    made = F.struct(norm.alias("norm"), T.blank_tokens(norm).alias("tokens"), T.gate_tokens(norm).alias("gates"))
+    out = rows.withColumn("_made", F.explode(F.array(made)))
+    return out.select(*rows.columns, *[F.col(f"_made.{c}").alias(f"{prefix}_{c}") for c in ("norm", "tokens", "gates")])
+
+
+def shingle_keys(tokens: Column, n: int) -> Column:
+    """Hashes of the different runs of n tokens; none of a shorter list."""
+    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(tokens, i, n), " "))))
+
+
+def nearest_chunk(claims: DataFrame, chunks: DataFrame, n: int = 5) -> DataFrame:
+    """Adds to tokenised claims (claim_id, claim_tokens, ...) the chunk_id that shares most runs of n tokens, the smallest of equals; null if none does.
+
+    chunks (chunk_id, span_tokens). Candidates meet by an equi-join on hashed runs, so a claim meets
+    no chunk with which it shares nothing.
+    """
+    a = claims.select("claim_id", F.explode(shingle_keys(F.col("claim_tokens"), n)).alias("key"))
+    b = chunks.select("chunk_id", F.explode(shingle_keys(F.col("span_tokens"), n)).alias("key"))
+    shared = a.join(b, "key").groupBy("claim_id", "chunk_id").agg(F.count("*").alias("n"))
+    best = shared.groupBy("claim_id").agg(F.max_by("chunk_id", F.struct("n", -F.col("chunk_id"))).alias("chunk_id"))
+    return claims.join(best, "claim_id", "left")
+
+
 def audit(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Evidence (claim_id, chunk_id, quote, confidence) with `found` (unresolved, short, verbatim, fuzzy, missing) and the confidence kept.
+    """Tokenised evidence (claim_id, chunk_id, confidence, claim_norm, claim_tokens: the quote's) with `found` (unresolved, short, verbatim, fuzzy, missing) and the confidence kept.
 
-    A quote of fewer than 8 characters proves nothing; one whose tokens are at least 88 % there is
-    fuzzy and keeps a confidence of 0.7 at most.
+    chunks (chunk_id, span_norm, span_tokens). A quote of fewer than 8 characters proves nothing; one whose
+    tokens are at least 88 % there is fuzzy and keeps a confidence of 0.7 at most.
     """
-    e = evidence.join(chunks.select("chunk_id", F.col("text").alias("span")), "chunk_id", "left")
-    quote, span = T.simple_normalise(F.col("quote")), T.simple_normalise(F.col("span"))
-    overlap = T.lexical_overlap(T.blank_tokens(quote), T.blank_tokens(span))
-    found = F.when(F.col("span").isNull(), "unresolved").when(F.length(quote) < LEAST_QUOTE, "short").when(F.contains(span, quote), "verbatim").when(overlap >= FUZZY, "fuzzy").otherwise("missing")
+    e = evidence.join(chunks.select("chunk_id", "span_norm", "span_tokens"), "chunk_id", "left")
+    overlap = F.coalesce(T.lexical_overlap(F.col("claim_tokens"), F.col("span_tokens")), F.lit(0.0))
+    found = F.when(F.col("span_norm").isNull(), "unresolved").when(F.length("claim_norm") < LEAST_QUOTE, "short").when(F.contains("span_norm", "claim_norm"), "verbatim").when(F.col("overlap") >= FUZZY, "fuzzy").otherwise("missing")
     kept = F.when(F.col("found") == "verbatim", F.col("confidence")).when(F.col("found") == "fuzzy", F.least("confidence", F.lit(FUZZY_CONFIDENCE)))
-    return e.withColumn("found", found).withColumn("overlap", overlap).withColumn("kept_confidence", kept).drop("span")
+    return e.withColumn("overlap", overlap).withColumn("found", found).withColumn("kept_confidence", kept).drop("span_norm", "span_tokens")
 
 
 def prefilter(claims: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Claims (claim_id, kind, text, chunk_id) with overlap, risk and `verdict`: decided by words alone, or null for a judge.
+    """Tokenised claims (claim_id, kind, chunk_id, claim_tokens, claim_gates) with overlap, risk and `verdict`: decided by words alone, or null for a judge.
 
-    Unresolved chunks mean unsupported. Predictions always go to the judge; an extracted claim
-    is supported if 60 % of its tokens are in the span and nothing hints at a contradiction.
+    chunks (chunk_id, span_tokens, span_gates). Unresolved chunks mean unsupported. Predictions always go to
+    the judge; an extracted claim is supported if 60 % of its tokens are in the span and nothing
+    hints at a contradiction.
     """
-    c = claims.join(chunks.select("chunk_id", F.col("text").alias("span")), "chunk_id", "left")
-    claim, span = T.simple_normalise(F.col("text")), T.simple_normalise(F.col("span"))
-    c = c.withColumn("overlap", T.lexical_overlap(T.blank_tokens(claim), T.blank_tokens(span))).withColumn("risk", T.contradiction(T.gate_tokens(claim), T.gate_tokens(span)))
-    verdict = F.when(F.col("span").isNull(), UNSUPPORTED).when((F.col("kind") != "predicted") & (F.col("overlap") >= TAU_HIGH) & F.col("risk").isNull(), SUPPORTED)
-    return c.withColumn("verdict", verdict).drop("span")
+    c = claims.join(chunks.select("chunk_id", "span_tokens", "span_gates"), "chunk_id", "left")
+    c = c.withColumn("overlap", F.coalesce(T.lexical_overlap(F.col("claim_tokens"), F.col("span_tokens")), F.lit(0.0))).withColumn("risk", T.contradiction(F.col("claim_gates"), F.col("span_gates")))
+    verdict = F.when(F.col("span_tokens").isNull(), UNSUPPORTED).when((F.col("kind") != "predicted") & (F.col("overlap") >= TAU_HIGH) & F.col("risk").isNull(), SUPPORTED)
+    return c.withColumn("verdict", verdict).drop("span_tokens", "span_gates")
 
 
 def judged(claims: DataFrame, verdicts: DataFrame) -> DataFrame:

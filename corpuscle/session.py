@@ -34,10 +34,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of an iteration: a reliable checkpoint in the shared folder, or in a folder of its own where none is set."""
+    """Cuts the lineage of an iteration: a reliable checkpoint in the folder named in spark.checkpoint.dir. Where none is set, one of its own in local mode, else an error."""
     import tempfile
 
     context = df.sparkSession.sparkContext
     if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="corpuscle-"))
     return df.checkpoint()
