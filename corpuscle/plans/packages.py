@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import allocation as A
-from ..operators import catalogue, graphs
+from ..operators import graphs
 from ..operators import scoring as S
 from ..session import scratch as _scratch
 from ..session import table
@@ -26,9 +26,10 @@ def _items(spark, sf):
     )
 
 
-def _concepts(spark, sf):
+def _concepts(spark, sf, known: bool = False):
+    """All parts as concepts; known: without every tenth, so that references to them dangle."""
     importance = F.when(F.col("p_size") >= 35, "core").when(F.col("p_size") >= 15, "supporting").otherwise("enrichment")
-    return table(spark, sf, "part").where("p_partkey % 10 <> 3").select(F.col("p_partkey").alias("concept_id"), F.col("p_name").alias("name"), importance.alias("importance"), "p_size")
+    return table(spark, sf, "part").where("p_partkey % 10 <> 3" if known else "true").select(F.col("p_partkey").alias("concept_id"), F.col("p_name").alias("name"), importance.alias("importance"), "p_size")
 
 
 def anti_untaught(spark: SparkSession, sf: str) -> DataFrame:
@@ -39,7 +40,7 @@ def anti_untaught(spark: SparkSession, sf: str) -> DataFrame:
 
 def dangling_refs(spark: SparkSession, sf: str) -> DataFrame:
     """References from items to concepts that do not exist, by package."""
-    return _items(spark, sf).join(_concepts(spark, sf).select("concept_id"), "concept_id", "left_anti").groupBy("package_id").agg(F.count("*").alias("n_dangling"), F.min("concept_id").alias("first_concept"))
+    return _items(spark, sf).join(_concepts(spark, sf, known=True).select("concept_id"), "concept_id", "left_anti").groupBy("package_id").agg(F.count("*").alias("n_dangling"), F.min("concept_id").alias("first_concept"))
 
 
 def semi_objective_assessed(spark: SparkSession, sf: str) -> DataFrame:
@@ -242,7 +243,7 @@ def gap_severity_topk(spark: SparkSession, sf: str) -> DataFrame:
 def mutation_delta(spark: SparkSession, sf: str) -> DataFrame:
     """A damaged copy of every package scored beside the original: variants are rows of one corpus, and the drop is what a check must see."""
     items = _items(spark, sf)
-    known = _concepts(spark, sf).select("concept_id").withColumn("known", F.lit(1))
+    known = _concepts(spark, sf, known=True).select("concept_id").withColumn("known", F.lit(1))
     damaged = items.withColumn("concept_id", F.when(F.col("ord") % 2 == 0, F.lit(-1)).otherwise(F.col("concept_id")))
     both = items.withColumn("variant", F.lit("baseline")).unionByName(damaged.withColumn("variant", F.lit("dangling")))
     s = both.join(known, "concept_id", "left").groupBy("package_id", "variant").agg(S.share(F.count("known"), F.count("*")).alias("score"))
@@ -258,36 +259,19 @@ def markdown_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("o_custkey", F.concat(F.lit("# Customer "), F.col("o_custkey").cast("string"), F.lit("\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n")).alias("markdown"))
 
 
-def _measured(spark, sf):
-    known = _concepts(spark, sf).select("concept_id", F.col("concept_id").alias("known"), "importance")
-    return _items(spark, sf).join(known, "concept_id", "left")
-
-
-def stage_measures(spark: SparkSession, sf: str) -> DataFrame:
-    """The catalogue of stage measures of every package in long form; what cannot be measured has no score and no weight."""
-    m = catalogue.evaluate(_measured(spark, sf), ["package_id"], catalogue.ITEM_MEASURES)
-    return m.select("package_id", "stage", "measure", F.round("score", 6).alias("score"), "weight")
-
-
-def rubric_dimensions(spark: SparkSession, sf: str) -> DataFrame:
-    """Rubric dimensions of every package: the weighted mean of the measures that apply."""
-    m = catalogue.evaluate(_measured(spark, sf), ["package_id"], catalogue.RUBRIC)
-    d = S.stage_scores(m, ["package_id", "stage"])
-    return d.select("package_id", "stage", "n_metrics", "n_scored", F.round("score", 7).alias("score"))
-
-
 _I = """i AS (SELECT l_orderkey AS package_id, l_linenumber AS ord, l_partkey AS concept_id, l_suppkey AS period,
   CASE l_returnflag WHEN 'A' THEN 'mcq' WHEN 'N' THEN 'short_answer' ELSE 'long_answer' END AS kind,
   CASE WHEN l_quantity < 10 THEN 'remember' WHEN l_quantity < 20 THEN 'understand' WHEN l_quantity < 30 THEN 'apply' WHEN l_quantity < 40 THEN 'analyze' ELSE 'evaluate' END AS bloom,
   l_quantity::BIGINT AS marks, l_linestatus AS status FROM lineitem),
-  c AS (SELECT p_partkey AS concept_id, p_name AS name, CASE WHEN p_size >= 35 THEN 'core' WHEN p_size >= 15 THEN 'supporting' ELSE 'enrichment' END AS importance, p_size FROM part WHERE p_partkey % 10 <> 3)"""
+  c AS (SELECT p_partkey AS concept_id, p_name AS name, CASE WHEN p_size >= 35 THEN 'core' WHEN p_size >= 15 THEN 'supporting' ELSE 'enrichment' END AS importance, p_size FROM part)"""
+_KNOWN = f"{_I}, d AS (SELECT * FROM c WHERE concept_id % 10 <> 3)"
 _E = """s AS (SELECT l_suppkey * 100 + l_orderkey % 40 AS package_id, l_orderkey, l_linenumber, l_partkey AS c FROM lineitem),
   r AS (SELECT package_id, c, row_number() OVER w AS ord, lead(c) OVER w AS n FROM s WINDOW w AS (PARTITION BY package_id ORDER BY l_orderkey, l_linenumber, c)),
   e AS (SELECT package_id, ord, CASE WHEN ord % 3 = 0 THEN n ELSE c END AS from_id, CASE WHEN ord % 3 = 0 THEN c ELSE n END AS to_id, (ord % 10) / 10.0::DOUBLE AS confidence FROM r WHERE n IS NOT NULL)"""
 
 ORACLES: dict[str, str] = {
     "anti_untaught": f"WITH {_I} SELECT concept_id, name FROM c WHERE concept_id NOT IN (SELECT concept_id FROM i WHERE status = 'F' AND marks >= 45)",
-    "dangling_refs": f"WITH {_I} SELECT package_id, count(*) AS n_dangling, min(concept_id) AS first_concept FROM i WHERE concept_id NOT IN (SELECT concept_id FROM c) GROUP BY 1",
+    "dangling_refs": f"WITH {_KNOWN} SELECT package_id, count(*) AS n_dangling, min(concept_id) AS first_concept FROM i WHERE concept_id NOT IN (SELECT concept_id FROM d) GROUP BY 1",
     "semi_objective_assessed": f"WITH {_I} SELECT o_orderstatus, count(*) AS n_packages FROM orders WHERE o_orderkey IN (SELECT package_id FROM i JOIN c USING (concept_id) WHERE status = 'F' AND importance = 'core') GROUP BY 1",
     "prereq_violations": f"""WITH {_I}, p AS (SELECT package_id, concept_id, arg_min(period, ord * 1000000 + period) AS p FROM i GROUP BY 1, 2),
       e AS (SELECT DISTINCT * FROM (SELECT package_id, concept_id AS to_id, lag(concept_id) OVER (PARTITION BY package_id ORDER BY ord, concept_id, period) AS from_id FROM i) WHERE from_id IS NOT NULL AND from_id <> to_id)
@@ -321,9 +305,7 @@ ORACLES: dict[str, str] = {
       SELECT package_id, from_id AS concept_id, count(*) AS reach FROM t GROUP BY 1, 2""",
     "gap_severity_topk": """WITH g AS (SELECT o_custkey AS package_id, o_orderkey AS gap_id, CASE WHEN o_orderpriority LIKE '1%' THEN 'high' WHEN o_orderpriority LIKE '2%' OR o_totalprice > 300000 THEN 'medium' ELSE 'low' END AS severity, o_orderstatus = 'F' AS observed FROM orders)
       SELECT package_id, gap_id, severity, row_number() OVER (PARTITION BY package_id ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, observed DESC, gap_id) AS rank FROM g QUALIFY rank <= 10""",
-    "stage_measures": f"WITH {_I}, z AS (SELECT i.*, c.concept_id AS known, importance FROM i LEFT JOIN c USING (concept_id)) SELECT package_id, stage, measure, round(score, 6) AS score, weight FROM ({catalogue.sql_of(catalogue.ITEM_MEASURES, 'z', 'package_id')})",
-    "rubric_dimensions": f"WITH {_I}, z AS (SELECT i.*, c.concept_id AS known, importance FROM i LEFT JOIN c USING (concept_id)) SELECT package_id, stage, count(*) AS n_metrics, count(score) AS n_scored, round(sum(score * weight) / nullif(sum(CASE WHEN score IS NOT NULL THEN weight END), 0), 7) AS score FROM ({catalogue.sql_of(catalogue.RUBRIC, 'z', 'package_id')}) GROUP BY 1, 2",
-    "mutation_delta": f"""WITH {_I}, m AS (SELECT package_id, count(c.concept_id)::DOUBLE / count(*) AS a, (count(c.concept_id) FILTER (ord % 2 <> 0))::DOUBLE / count(*) AS b FROM i LEFT JOIN c USING (concept_id) GROUP BY 1)
+    "mutation_delta": f"""WITH {_KNOWN}, m AS (SELECT package_id, count(d.concept_id)::DOUBLE / count(*) AS a, (count(d.concept_id) FILTER (ord % 2 <> 0))::DOUBLE / count(*) AS b FROM i LEFT JOIN d USING (concept_id) GROUP BY 1)
       SELECT package_id, round(a, 6) AS baseline, round(b, 6) AS damaged, a - b >= 0.05 AS noticed FROM m""",
     "markdown_rollup": "SELECT o_custkey, '# Customer ' || o_custkey || chr(10) || string_agg('- ' || o_orderkey || ' (' || o_orderpriority || ')', chr(10) ORDER BY o_orderkey) AS markdown FROM orders GROUP BY 1",
 }
@@ -331,5 +313,5 @@ ORACLES: dict[str, str] = {
 QUERIES = {f.__name__: f for f in (
     anti_untaught, dangling_refs, semi_objective_assessed, prereq_violations, dup_concepts, dedup_merge_keyed, timing_mismatch, default_lookup_fallback, blueprint_counts, blueprint_full_outer_drift,
     marks_consistency, bloom_mark_share, kind_mix_drift, coverage_metrics, sequencing_load_balance, adjacent_rubric_diff, distinct_terms_once, period_count, band_partition_dp, apportion_minutes,
-    round_robin_slots, clean_edges, cycle_edges, broken_cycles, topo_levels, downstream_load, gap_severity_topk, mutation_delta, markdown_rollup, stage_measures, rubric_dimensions,
+    round_robin_slots, clean_edges, cycle_edges, broken_cycles, topo_levels, downstream_load, gap_severity_topk, mutation_delta, markdown_rollup,
 )}
