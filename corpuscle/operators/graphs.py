@@ -43,29 +43,31 @@ def cyclic_edges(edges: DataFrame, materialize) -> DataFrame:
 
 
 def _cycle(follow: dict) -> list | None:
-    """One cycle as a list of edges, by depth-first search in the nodes' order."""
-    state: dict = {}
+    """One cycle as a list of edges, by depth-first search from the nodes in order.
+
+    A node whose followers include one that is open closes a cycle with the first such; else
+    its last follower is entered first.
+    """
+    done: set = set()
     for root in follow:
-        if root in state:
-            continue
-        path, todo = [], [(root, iter(follow[root]))]
-        state[root] = "open"
-        path.append(root)
+        path: list = []
+        todo = [(root, 0)]
         while todo:
-            node, rest = todo[-1]
-            for nxt in rest:
-                if state.get(nxt) == "open":
-                    loop = [*path[path.index(nxt) :], nxt]
-                    return list(zip(loop, loop[1:], strict=False))
-                if nxt not in state and nxt in follow:
-                    state[nxt] = "open"
-                    path.append(nxt)
-                    todo.append((nxt, iter(follow[nxt])))
-                    break
-            else:
-                state[node] = "done"
-                path.pop()
-                todo.pop()
+            node, depth = todo.pop()
+            if node in done or node in path:
+                continue
+            done.update(path[depth:])
+            del path[depth:]
+            if node in done:
+                continue
+            path.append(node)
+            ahead = follow.get(node, ())
+            closing = next((n for n in ahead if n in path), None)
+            if closing is not None:
+                loop = [*path[path.index(closing) :], closing]
+                return list(zip(loop, loop[1:], strict=False))
+            todo += [(n, depth + 1) for n in ahead]
+        done.update(path)
     return None
 
 
@@ -86,7 +88,8 @@ def break_cycles(edges: DataFrame) -> DataFrame:
             loop = _cycle(follow)
             if loop is None:
                 return group
-            on = live[[pair in set(loop) for pair in zip(live.from_id, live.to_id, strict=True)]]
+            pairs = set(loop)
+            on = live[[pair in pairs for pair in zip(live.from_id, live.to_id, strict=True)]]
             group.loc[on.confidence.idxmin(), "dropped"] = True
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edges.schema.fields) + ", dropped boolean"
@@ -96,11 +99,14 @@ def break_cycles(edges: DataFrame) -> DataFrame:
 def topological_order(concepts: DataFrame, edges: DataFrame) -> DataFrame:
     """(package_id, concept_id, position): prerequisites first, ties by the concept's rank; what a cycle strands comes last by rank.
 
-    concepts (package_id, concept_id, rank) and edges (package_id, from_id, to_id) are gathered
-    by package, whose graph is small.
+    concepts (package_id, concept_id, rank) and edges (package_id, from_id, to_id, and relation, of which
+    only prerequisite_of counts, if there is one) are gathered by package, whose graph is small.
     """
     import heapq
 
+    if "relation" in edges.columns:
+        edges = edges.where("relation = 'prerequisite_of'").select("package_id", "from_id", "to_id")
+
     def order(_, nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         nodes = nodes.sort_values("rank")
         rank = dict(zip(nodes.concept_id, range(len(nodes)), strict=True))
@@ -128,13 +134,12 @@ def topological_order(concepts: DataFrame, edges: DataFrame) -> DataFrame:
 def downstream(edges: DataFrame, materialize) -> DataFrame:
     """(package_id, concept_id, reach): how many other concepts a concept leads to, over any number of steps.
 
-    Semi-naive closure over all packages at once: each round joins only the pairs that the last
-    one found, until it finds none.
+    The closure of all packages at once by doubling: each round joins the pairs known so far with
+    themselves, so paths of any length take rounds by its logarithm.
     """
-    step = edges.select("package_id", "from_id", "to_id").where("from_id <> to_id").distinct()
-    known = new = materialize(step)
+    known = materialize(edges.select("package_id", "from_id", "to_id").where("from_id <> to_id").distinct())
     while True:
-        longer = new.select("package_id", "from_id", F.col("to_id").alias("via")).join(step.select("package_id", F.col("from_id").alias("via"), "to_id"), ["package_id", "via"])
+        longer = known.select("package_id", "from_id", F.col("to_id").alias("via")).join(known.select("package_id", F.col("from_id").alias("via"), "to_id"), ["package_id", "via"])
         new = materialize(longer.select("package_id", "from_id", "to_id").where("from_id <> to_id").distinct().join(known, ["package_id", "from_id", "to_id"], "left_anti"))
         if new.isEmpty():
             break
@@ -147,6 +152,27 @@ def severity(reach, importance):
     return F.when(reach >= 2, "high").when((reach >= 1) | (importance == "core"), "medium").otherwise("low")
 
 
+def gap_seeds(concepts: DataFrame, misconceptions: DataFrame, reach: DataFrame, most_predicted: int = 4) -> DataFrame:
+    """Which gaps a package has: one observed gap for each misconception, and predicted ones for concepts that carry others and that no misconception names.
+
+    concepts (package_id, concept_id, importance), misconceptions (package_id, ord, concept_id: one of its
+    concepts a row), reach (package_id, concept_id, reach). Returns (package_id, gap_id, concept_ids, severity, observed): gap_id
+    counts the misconceptions in order, then at most most_predicted concepts with the most dependents first, ties by id.
+    """
+    known = concepts.join(reach, ["package_id", "concept_id"], "left").withColumn("reach", F.coalesce("reach", F.lit(0)))
+    named = misconceptions.join(known, ["package_id", "concept_id"], "left")
+    seen = named.groupBy("package_id", "ord").agg(F.array_sort(F.collect_list("concept_id")).alias("concept_ids"), F.max(F.coalesce("reach", F.lit(0))).alias("reach"), F.bool_or(F.coalesce(F.col("importance") == "core", F.lit(False))).alias("core"))
+    number = F.row_number().over(Window.partitionBy("package_id").orderBy("ord"))
+    seen = seen.withColumn("gap_id", number.cast("long")).withColumn("observed", F.lit(True))
+    count = seen.groupBy("package_id").agg(F.count("*").alias("n"))
+    free = known.join(misconceptions.select("package_id", "concept_id").distinct(), ["package_id", "concept_id"], "left_anti").where("reach >= 1 or importance = 'core'")
+    rank = F.row_number().over(Window.partitionBy("package_id").orderBy(F.col("reach").desc(), "concept_id"))
+    free = free.withColumn("rank", rank).where(F.col("rank") <= most_predicted).join(count, "package_id", "left")
+    free = free.select("package_id", F.array("concept_id").alias("concept_ids"), "reach", F.coalesce(F.col("importance") == "core", F.lit(False)).alias("core"), (F.coalesce("n", F.lit(0)) + F.col("rank")).cast("long").alias("gap_id"), F.lit(False).alias("observed"))
+    both = seen.select(free.columns).unionByName(free)
+    return both.select("package_id", "gap_id", "concept_ids", severity(F.col("reach"), F.when(F.col("core"), "core")).alias("severity"), "observed")
+
+
 def top_gaps(gaps: DataFrame, most: int = 10) -> DataFrame:
     """The `most` gravest gaps (package_id, gap_id, severity, observed) of each package, with their rank: observed before predicted, then by id."""
     weight = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)

@@ -97,6 +97,20 @@ def newest(rows: DataFrame, by: list[str], order: str, tie: str, most: int) -> D
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
+def history(rows: DataFrame, most: int, profile: str | None = None, subject: str | None = None, order: str = "evaluated_at", tie: str = "run_id") -> DataFrame:
+    """The `most` newest evaluations, of one profile and subject where they are given."""
+    for column, value in (("profile", profile), ("subject", subject)):
+        rows = rows if value is None else rows.where(F.col(column) == value)
+    return rows.orderBy(F.col(order).desc(), F.col(tie).desc()).limit(most)
+
+
+def benchmark(rows: DataFrame, by: list[str], value: str, exclude: int | str | None = None, most: int = 1000, order: str = "evaluated_at", tie: str = "run_id") -> DataFrame:
+    """distribution() over the `most` newest runs, without the one that is compared with it."""
+    others = rows if exclude is None else rows.where(F.col(tie) != exclude)
+    runs = others.select(tie, order).distinct().orderBy(F.col(order).desc(), F.col(tie).desc()).limit(most).select(tie)
+    return distribution(others.join(runs, tie, "left_semi"), by, value)
+
+
 def share(part: Column, whole: Column, empty: float | None = 1.0) -> Column:
     """part / whole; `empty` (null: not measurable) where there is no whole."""
     return F.coalesce(F.try_divide(part.cast("double"), whole), F.lit(empty).cast("double"))

@@ -301,6 +301,13 @@ ORACLES: dict[str, str] = {
       SELECT package_id, kind, turn, row_number() OVER (PARTITION BY package_id ORDER BY turn, rk) AS position FROM x""",
     "clean_edges": f"""WITH {_E}, k AS (SELECT * FROM e WHERE from_id <> to_id AND from_id % 10 <> 3 AND to_id % 10 <> 3 QUALIFY row_number() OVER (PARTITION BY package_id, from_id, to_id ORDER BY ord) = 1)
       SELECT package_id, count(*) AS n_edges, sum(ord)::BIGINT AS ords, round(sum(confidence), 6) AS confidence FROM k GROUP BY 1""",
+    "cycle_edges": f"""WITH RECURSIVE {_E}, g AS (SELECT DISTINCT package_id, from_id, to_id FROM e WHERE from_id <> to_id), t AS (SELECT * FROM g UNION SELECT t.package_id, t.from_id, g.to_id FROM t JOIN g ON g.package_id = t.package_id AND g.from_id = t.to_id),
+      o AS (SELECT package_id, from_id AS c FROM t WHERE from_id = to_id), up AS (SELECT * FROM o UNION SELECT t.package_id, t.to_id FROM t JOIN o ON o.package_id = t.package_id AND o.c = t.from_id), down AS (SELECT * FROM o UNION SELECT t.package_id, t.from_id FROM t JOIN o ON o.package_id = t.package_id AND o.c = t.to_id)
+      SELECT package_id, count(*) AS n_edges FROM g WHERE (package_id, from_id) IN (SELECT (package_id, c) FROM up) AND (package_id, to_id) IN (SELECT (package_id, c) FROM down) GROUP BY 1""",
+    "band_partition_dp": f"""WITH {_I}, r AS (SELECT package_id, row_number() OVER w AS k, sum(marks) OVER w AS p, count(*) OVER (PARTITION BY package_id) AS n, sum(marks) OVER (PARTITION BY package_id) AS t FROM i WINDOW w AS (PARTITION BY package_id ORDER BY ord, marks ROWS UNBOUNDED PRECEDING)),
+      x AS (SELECT a.package_id, a.n, a.k AS i, b.k AS j FROM r a JOIN r b ON a.package_id = b.package_id AND a.k < b.k AND b.k < b.n QUALIFY row_number() OVER (PARTITION BY a.package_id ORDER BY greatest(a.p, b.p - a.p, b.t - b.p), b.k, greatest(a.p, b.p - a.p), a.k) = 1),
+      s AS (SELECT r.package_id, r.k, r.p - coalesce(lag(r.p) OVER (PARTITION BY r.package_id ORDER BY r.k), 0) AS load, CASE WHEN x.i IS NULL THEN r.k - 1 ELSE (r.k > x.i)::INT + (r.k > x.j)::INT END AS band FROM r LEFT JOIN x USING (package_id))
+      SELECT package_id, band::BIGINT AS band, count(*) AS n, sum(load)::BIGINT AS load FROM s GROUP BY 1, 2""",
     "downstream_load": f"""WITH RECURSIVE {_E}, g AS (SELECT DISTINCT package_id, from_id, to_id FROM e WHERE from_id < to_id), t AS (SELECT * FROM g UNION SELECT t.package_id, t.from_id, g.to_id FROM t JOIN g ON g.package_id = t.package_id AND g.from_id = t.to_id)
       SELECT package_id, from_id AS concept_id, count(*) AS reach FROM t GROUP BY 1, 2""",
     "gap_severity_topk": """WITH g AS (SELECT o_custkey AS package_id, o_orderkey AS gap_id, CASE WHEN o_orderpriority LIKE '1%' THEN 'high' WHEN o_orderpriority LIKE '2%' OR o_totalprice > 300000 THEN 'medium' ELSE 'low' END AS severity, o_orderstatus = 'F' AS observed FROM orders)

@@ -20,15 +20,42 @@ def mime_of(content: Column, name: Column) -> Column:
 
 
 def read_files(spark: SparkSession, path: str, most: int = MOST_BYTES) -> DataFrame:
-    """(path, length, sha256, mime, content) of the files of at most `most` bytes; longer ones are not read."""
+    """(path, length, sha256, mime, content) of the files of at most `most` bytes; longer ones are not read, rejected_files() names them."""
     files = spark.read.format("binaryFile").load(path).where(F.col("length") <= most)
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"), mime_of(F.col("content"), F.col("path")).alias("mime"), "content")
 
 
+def rejected_files(spark: SparkSession, path: str, most: int = MOST_BYTES) -> DataFrame:
+    """(path, length, reason) of the files that read_files() refuses by their listed length, without reading them."""
+    return spark.read.format("binaryFile").load(path).where(F.col("length") > most).select("path", "length", F.lit(f"over {most} bytes").alias("reason"))
+
+
+#: Which parser reads what.
+PARSERS = {"text/plain": "text", "text/markdown": "text", "application/pdf": "pdf", "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "docx", "application/vnd.openxmlformats-officedocument.presentationml.presentation": "pptx"}
+
+
+def parser_of(mime: Column) -> Column:
+    """The name of the parser of a kind of content; null without one."""
+    out = F.lit(None).cast("string")
+    for kind, name in PARSERS.items():
+        out = F.when(mime == kind, F.lit(name)).otherwise(out)
+    return out
+
+
 def read_texts(spark: SparkSession, path: str, most: int = MOST_BYTES) -> DataFrame:
-    """(doc_id, path, text) of the text files among them: UTF-8, with plain line ends."""
-    f = read_files(spark, path, most).where(F.col("mime").startswith("text/"))
-    return f.select(F.xxhash64("sha256").alias("doc_id"), "path", F.regexp_replace(F.col("content").cast("string"), "\r\n?", "\n").alias("text"))
+    """(doc_id, path, text) of the text files, by content or by name: UTF-8, else Latin-1, with plain line ends. doc_id is the content's SHA-256."""
+    f = read_files(spark, path, most)
+    f = f.where(F.coalesce(F.col("mime").startswith("text/"), F.lower("path").rlike("\\.(txt|md)$")))
+    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1"))
+    return f.select(F.col("sha256").alias("doc_id"), "path", F.regexp_replace(text, "\r\n?", "\n").alias("text"))
+
+
+def archive_verdicts(members: DataFrame, archive: str = "path", most_members: int = 2000, most_bytes: int = 200 * 1024 * 1024, most_ratio: float = 200.0, ratio_from: int = 1024 * 1024) -> DataFrame:
+    """(archive, n_members, bytes, reason) from a listing (archive, name, size, compressed): too many members, too large in all, or a large member packed too tightly; reason is null for a sound one."""
+    tight = (F.col("size") >= ratio_from) & (F.col("size") > most_ratio * F.greatest("compressed", F.lit(1)))
+    g = members.groupBy(archive).agg(F.count("*").alias("n_members"), F.sum("size").alias("bytes"), F.bool_or(tight).alias("tight"))
+    reason = F.when(F.col("n_members") > most_members, "members").when(F.col("bytes") > most_bytes, "size").when(F.col("tight"), "ratio")
+    return g.select(archive, "n_members", "bytes", reason.alias("reason"))
 
 
 def read_packages(spark: SparkSession, path: str, schema: str) -> DataFrame:

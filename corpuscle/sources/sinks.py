@@ -23,6 +23,30 @@ def put_stage(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stage").parquet(path)
 
 
+def get_stages(spark: SparkSession, path: str, run_id: str) -> DataFrame:
+    """What put_stage() holds of one run, all stages."""
+    return spark.read.parquet(path).where(F.col("run_id") == run_id)
+
+
+def without_stages(held: DataFrame, run_id: str, stages: list[str], first: str) -> DataFrame:
+    """What stays when a run is taken up again from a stage: its results of that stage and of all later ones go."""
+    cleared = stages[stages.index(first) :]
+    return held.where((F.col("run_id") != run_id) | ~F.col("stage").isin(*cleared))
+
+
+def put_artifacts(df: DataFrame, path: str) -> None:
+    """Artifacts (package_id, kind, content) by kind; a kind's earlier ones are replaced."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kind").parquet(path)
+
+
+def report_lines(stages: DataFrame, title: str = "Evaluation") -> DataFrame:
+    """(package_id, markdown): a table of the stages' scores (package_id, stage, score, confidence) of each package; n/a where not measurable."""
+    shown = lambda c: F.coalesce(F.format_number(F.col(c), 1), F.lit("n/a"))
+    row = F.concat(F.lit("| "), "stage", F.lit(" | "), shown("score"), F.lit(" | "), shown("confidence"), F.lit(" |"))
+    g = stages.groupBy("package_id").agg(F.array_sort(F.collect_list(F.struct("stage", row.alias("row")))).alias("rows"))
+    return g.select("package_id", F.concat(F.lit(f"# {title}\n\n| stage | score | confidence |\n|-|-|-|\n"), F.array_join(F.transform("rows", lambda r: r["row"]), "\n")).alias("markdown"))
+
+
 def deletable(packages: DataFrame, package_id: str) -> DataFrame:
     """Packages without the deleted one; samples stay."""
     return packages.where((F.col("package_id") != package_id) | F.col("is_sample"))
