@@ -49,6 +49,8 @@ GENERIC_DIFFERENTIATION = (
     "further practice", "additional practice", "extra work", "more work", "as needed", "if necessary", "if required", "where appropriate", "as required",
     "give more time", "allow more time", "provide guidance", "offer guidance", "simplify the task", "make it easier", "make it harder", "help them", "support them", "challenge them",
 )
+#: More work rather than different work (fixed values).
+VOLUME_ONLY = ("more questions", "more problems", "extra questions", "extra problems", "more examples", "same task", "more of the same")
 #: Sentences about teaching rather than instructions to teach (fixed values).
 GENERIC_SCRIPT = (
     "engage the students", "engage students", "engage the class", "in a meaningful way", "meaningful way", "following along", "ensure that everyone", "ensure everyone",

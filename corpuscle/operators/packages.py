@@ -13,6 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import lexicon as L
+from ..functions import text as T
+
 PACKAGE = "package_id"
 #: Stages that own an issue, and how far a period's minutes may be off (fixed values of the rules).
 PLANNER, LESSONS, ASSESSMENTS, KNOWLEDGE = "teaching-planner", "lesson-generation", "assessment-generation", "knowledge-extraction"
@@ -225,6 +228,66 @@ def coverage_dimension(concepts: DataFrame, objectives: DataFrame, periods: Data
     }).unionByName(share_of(o, "coverage", {"objectives_planned": (0.12, F.col("planned")), "objectives_assessed": (0.18, F.col("assessed"))}))
 
 
+def mean_of(rows: DataFrame, stage: str, measures: dict[str, tuple[float, Column]]) -> DataFrame:
+    """The same for values between 0 and 1: part is their sum, whole their number; null values are not in either."""
+    sums = [x for name, (_, v) in measures.items() for x in (F.coalesce(F.sum(v.cast("double")), F.lit(0.0)).alias(f"p_{name}"), F.count(v).alias(f"w_{name}"))]
+    one = lambda name, weight: F.struct(F.lit(name).alias("measure"), F.lit(float(weight)).alias("weight"), F.col(f"p_{name}").alias("part"), F.col(f"w_{name}").cast("double").alias("whole"))
+    long = rows.groupBy(PACKAGE).agg(*sums).select(PACKAGE, F.explode(F.array(*[one(n, w) for n, (w, _) in measures.items()])).alias("m"))
+    return long.select(PACKAGE, F.lit(stage).alias("stage"), "m.measure", "m.weight", "m.part", "m.whole")
+
+
+def vocabularies(concepts: DataFrame) -> DataFrame:
+    """(package_id, vocabulary, names): a package's terms from its concepts' names, and the names' tokens. A package's concepts are few."""
+    norm = T.simple_normalise(F.col("name"))
+    return concepts.select(PACKAGE, L.vocabulary_terms(norm).alias("t"), T.word_tokens(norm).alias("n")).groupBy(PACKAGE).agg(F.array_distinct(F.flatten(F.collect_list("t"))).alias("vocabulary"), F.collect_list("n").alias("names"))
+
+
+def objective_dimension(objectives: DataFrame, concepts: DataFrame) -> DataFrame:
+    """Rubric: a verb that can be watched, the level it denotes, a known concept, a behaviour and no mere name, and what it is about."""
+    o = flagged(objectives, "objective_id", overlapping(objectives, "concept_ids", "objective_id", ids_of(concepts, "concept_id")), "linked").join(vocabularies(concepts), PACKAGE)
+    o = o.withColumn("norm", T.simple_normalise(F.col("statement"))).withColumn("_t", F.explode(F.array(F.struct(L.effective_verb(F.col("norm")).alias("verb"), T.word_tokens(F.col("norm")).alias("tokens"), L.restates_a_concept(F.col("norm"), F.col("names")).alias("restates")))))
+    verb, n = F.col("_t.verb"), F.size("_t.tokens")
+    implied = L.bloom_of(verb)
+    distance = L.bloom_distance(F.col("bloom"), implied)
+    anchored = L.has_concrete_anchor(F.col("statement"), F.col("_t.tokens"), F.col("vocabulary"))
+    return mean_of(o, "objectives", {
+        "measurable_verb": (0.30, F.when(verb.isin(*L.VAGUE_VERBS), 0.0).when(verb.isin(*L.WEAK_VERBS), 0.35).when(implied.isNotNull(), 1.0).otherwise(0.5)),
+        "bloom_honesty": (0.25, F.when(implied.isNull(), 0.5).when(distance == 0, 1.0).when(distance == 1, 0.6).otherwise(0.15)),
+        "concept_linkage": (0.15, F.col("linked").cast("double")), "behaviour_not_label": (0.20, F.when((n < 6) | F.col("_t.restates"), 0.0).otherwise(1.0)), "specificity": (0.10, F.when(anchored & (n >= 9), 1.0).otherwise(0.6)),
+    })
+
+
+def sequencing_dimension(concepts: DataFrame, periods: DataFrame, edges: DataFrame, least_concepts: int = 2) -> DataFrame:
+    """Rubric: prerequisites respected, a graph where there are least_concepts and more than one period, concepts spread evenly, one to four a period."""
+    taught = members(periods, "concept_ids", "concept_id", "period_no").groupBy(PACKAGE, "concept_id").agg(F.max("period_no").alias("no"))
+    at = lambda end: taught.select(PACKAGE, F.col("concept_id").alias(end), F.col("no").alias(f"{end}_no"))
+    both = edges.where("relation = 'prerequisite_of'").join(at("from_id"), [PACKAGE, "from_id"]).join(at("to_id"), [PACKAGE, "to_id"])
+    counts = periods.select(PACKAGE, F.size("concept_ids").alias("n"))
+    spread = counts.groupBy(PACKAGE).agg(F.max("n").alias("hi"), F.min("n").alias("lo"), F.avg("n").alias("mean"), F.count("*").alias("n_periods"))
+    needs = concepts.groupBy(PACKAGE).agg(F.count_distinct("concept_id").alias("n_concepts")).join(spread, PACKAGE).where((F.col("n_concepts") >= least_concepts) & (F.col("n_periods") > 1))
+    needs = needs.join(edges.where("relation = 'prerequisite_of'").select(PACKAGE).distinct().withColumn("some", F.lit(True)), PACKAGE, "left")
+    return (
+        share_of(both, "sequencing", {"prerequisites_respected": (0.35, F.col("from_id_no") <= F.col("to_id_no"))})
+        .unionByName(share_of(needs, "sequencing", {"graph_present": (0.35, F.col("some").isNotNull())}))
+        .unionByName(mean_of(spread, "sequencing", {"load_balance": (0.15, F.greatest(F.lit(0.0), 1 - F.when(F.col("mean") > 0, (F.col("hi") - F.col("lo")) / F.col("mean")).otherwise(0.0) / 2))}))
+        .unionByName(share_of(counts, "sequencing", {"period_load": (0.15, F.col("n").between(1, 4))}))
+    )
+
+
+def differentiation_dimension(activities: DataFrame, concepts: DataFrame) -> DataFrame:
+    """Rubric: support and extension are both there, specific, different, and the extension is more than more of the same."""
+    a = activities.join(vocabularies(concepts), PACKAGE)
+    text = lambda c: F.coalesce(F.trim(F.col(c)), F.lit(""))
+    made = lambda c: F.struct(T.simple_normalise(text(c)).alias("norm"), T.word_tokens(T.simple_normalise(text(c))).alias("tokens"))
+    a = a.withColumn("_s", F.explode(F.array(made("support")))).withColumn("_e", F.explode(F.array(made("extension"))))
+    value = lambda c, t: L.specificity(text(c), F.col(f"{t}.norm"), F.col(f"{t}.tokens"), F.col("vocabulary"))
+    alike = T.jaccard(F.array_distinct("_s.tokens"), F.array_distinct("_e.tokens")) >= 0.7
+    return mean_of(a, "differentiation", {
+        "present": (0.15, (filled(F.col("support")) & filled(F.col("extension"))).cast("double")), "specific": (0.40, (value("support", "_s") + value("extension", "_e")) / 2),
+        "support_differs_from_extension": (0.15, (~alike).cast("double")), "extension_deepens": (0.15, (~L.any_phrase(F.col("_e.norm"), L.VOLUME_ONLY)).cast("double")),
+    })
+
+
 def dimensions(measures: DataFrame) -> DataFrame:
     """(package_id, stage, n_metrics, n_scored, score): the mean by weight of what could be measured of each dimension."""
     there = F.col("score").isNotNull()
