@@ -151,15 +151,13 @@ def windows(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out) if out else np.zeros((0, WINDOW), np.int32)), counts
 
 
-def start_params(seed: int = 5, prior: bool = True) -> Params:
-    """Random; with prior but for the first input, a word's log-odds: states, attention and logit start out rising with it."""
+def start_params(seed: int = 5) -> Params:
+    """Random parameters."""
     rng = np.random.default_rng(seed)
     d, h = WORD_DIM + CHAR_DIM, HIDDEN
     p = {"words": rng.normal(0, 0.1, (WORD_ROWS, WORD_DIM)), "chars": rng.normal(0, 0.1, (TRIGRAM_ROWS, CHAR_DIM)), "v": rng.normal(0.5, 0.1, 2 * h), "w": rng.normal(0.5, 0.1, 2 * h), "b": np.array([-1.0])}
     for way in "fb":
         p |= {f"W{way}": rng.normal(0, 0.3, (d, 3 * h)), f"U{way}": rng.normal(0, 0.3, (h, 3 * h)), f"c{way}": np.zeros(3 * h)}
-        if prior:
-            p[f"W{way}"][0, 2 * h :] = 0.7
     return {k: x.astype(np.float32) for k, x in p.items()}
 
 
@@ -258,10 +256,11 @@ def _evidence(hashed: Hashed, rows: list[np.ndarray], y: np.ndarray) -> tuple[np
     return np.clip(odds * total / (total + 10), -3, 3).astype(np.float32), total
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 4, steps: int = 80, batch: int = 128, rate: float = 0.01, decay: float = 1e-3, least: int = 3, seed: int = 5, prior: bool = True) -> dict | None:
+def train(texts: list[str], labels: list[int], epochs: int = 4, steps: int = 80, batch: int = 128, rate: float = 0.01, decay: float = 1e-3, least: int = 3, seed: int = 5) -> dict | None:
     """Fits the network by Adam, for `epochs` rounds and `steps` batches at least; None unless both labels occur.
 
-    Words that fewer than `least` texts hold have no embedding of their own: only their
+    All parameters start at random; words' log-odds only pick the window of each text that the first
+    round learns from. Words that fewer than `least` texts hold have no embedding of their own: only their
     characters count, so that single texts cannot be learned by heart.
     """
     y = np.array(labels, dtype=np.float32)
@@ -272,10 +271,8 @@ def train(texts: list[str], labels: list[int], epochs: int = 4, steps: int = 80,
     hashed = words.fresh()
     win, counts = windows(rows)
     first = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    p = start_params(seed, prior)
+    p = start_params(seed)
     odds, holders = _evidence(hashed, rows, y)
-    if prior:
-        p["words"][:, 0] = odds
     known = (holders >= least)[:, None]
     p["words"] *= known
     by_row = odds[hashed.word]
