@@ -30,7 +30,7 @@ LONG = 64
 #: Log probability of a character without a piece, alike in all languages; and a scale by character against underflow.
 UNKNOWN, SCALE = -12.0, 2.5
 #: Texts of fewer characters are not held against a language's floor; deviations, and log likelihood, that a floor is below the mean at least.
-SHORT, MARGIN, LEAST_MARGIN = 200, 8.0, 0.4
+SHORT, MARGIN, LEAST_MARGIN = 200, 8.0, 3.0
 LETTER = regex.compile(r"\p{L}")
 UND = "und"
 
