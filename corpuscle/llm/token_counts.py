@@ -22,7 +22,7 @@ from .common import id_and_text, map_texts
 from .pieces import TO_CHARACTER, PieceEncoder, is_blank, special_strings
 
 #: Pre-tokens, entries of their counts and pairs of tokens that a worker remembers.
-MOST_PIECES, MOST_ENTRIES, MOST_PAIRS = 350_000, 8_000_000, 1_000_000
+MOST_PIECES, MOST_ENTRIES, MOST_PAIRS = 500_000, 8_000_000, 1_000_000
 
 
 class PrefixTable:
