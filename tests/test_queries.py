@@ -48,6 +48,17 @@ def test_entry_survives_without_the_training_operators(tmp_path):
     assert out.returncode == 0 and out.stdout.split() == [str(len(registry.QUERIES)), "False"], out.stderr
 
 
+def test_entry_survives_without_the_libraries_of_the_training_operators():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; print(len(e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120, env={**os.environ, "PYTHONPATH": root})
+    assert out.returncode == 0 and out.stdout.strip() == str(len(registry.QUERIES)), out.stderr
+
+
 def test_graph_queries_use_all_nodes(spark, sf):
     from corpuscle.plans import packages
 
