@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions import lexicon as L
 from ..functions import text as T
 from ..operators import grounding, structure
 from ..session import scratch, table
@@ -148,8 +150,6 @@ def lexical_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 def jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Token Jaccard similarity of consecutive turns of a conversation."""
-    from pyspark.sql.window import Window
-
     t = table(spark, sf, "conversations").select("conv_id", "turn", F.array_distinct(T.blank_tokens(F.lower("text"))).alias("t"))
     w = Window.partitionBy("conv_id").orderBy("turn")
     return t.withColumn("before", F.lag("t").over(w)).where("before is not null").select("conv_id", "turn", F.round(T.jaccard(F.col("before"), F.col("t")), 6).alias("similarity"))
@@ -163,7 +163,8 @@ def near_dup_ratio(spark: SparkSession, sf: str) -> DataFrame:
     """Share of a conversation's turns that repeat no earlier kept one, by a fold in order."""
     t = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns"))
     lists = F.transform("turns", lambda x: T.blank_tokens(F.lower(x["text"])))
-    return t.select("conv_id", F.round(T.distinct_ratio(lists, NEAR_DUPLICATE), 6).alias("distinct_ratio"))
+    t = t.select("conv_id", F.explode(F.array(F.struct(lists.alias("lists")))).alias("x"))  # split once, not for each comparison
+    return t.select("conv_id", F.round(T.distinct_ratio(F.col("x.lists"), NEAR_DUPLICATE), 6).alias("distinct_ratio"))
 
 
 def evidence_audit(spark: SparkSession, sf: str) -> DataFrame:
@@ -257,6 +258,26 @@ def repeated_lines(spark: SparkSession, sf: str) -> DataFrame:
     return lines.groupBy(F.md5("line").alias("line_md5")).agg(F.count_distinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc")).where("n_docs > 1")
 
 
+def latex_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """LaTeX of short lines with an equation planted at their end, by source: how many convert, to how many different ones."""
+    lines = _docs(spark, sf).select("source", F.explode(structure.lines_of(F.col("text"))).alias("line")).where(F.length("line") < 60)
+    probes = lines.select("source", F.concat(F.substring("line", 1, 3), F.lit(" = α×x²")).alias("line")).unionByName(lines)
+    return probes.withColumn("latex", L.to_latex(F.col("line"))).groupBy("source").agg(F.count("*").alias("n_lines"), F.count("latex").alias("n_latex"), F.count_distinct("latex").alias("n_different"), F.max("latex").alias("last"))
+
+
+def slot_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as names of time slots: the first clause, six words at most."""
+    mark = F.get(F.array(*[F.lit(x) for x in (": ", "; ", " - ", " — ", " ")]), (F.col("turn") % 5).cast("int"))
+    t = table(spark, sf, "conversations").select("conv_id", "turn", F.concat("role", mark, F.regexp_replace("text", "\\.", ":")).alias("raw"), "text")
+    return t.select("conv_id", "turn", L.as_label(F.col("raw")).alias("by_mark"), L.as_label(F.col("text")).alias("by_words"))
+
+
+def document_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """What a classifier gets of each document: its first headings, and the body's beginning and end."""
+    s = structure.document_sample(structure.line_blocks(_docs(spark, sf)))
+    return s.select("doc_id", F.size("headings").cast("long").alias("n_headings"), F.length("sample").cast("long").alias("chars"), F.md5("sample").alias("sample_md5"))
+
+
 _WS = "list_filter(regexp_split_to_array(trim(regexp_replace({0}, '\\s+', ' ', 'g')), ' '), lambda t: t <> '')"
 _W = lambda c: _WS.format(c)
 _OVERLAP = "coalesce(len(list_filter({a}, lambda t: list_contains({b}, t)))::DOUBLE / nullif(len({a}), 0), 0)"
@@ -345,6 +366,15 @@ ORACLES: dict[str, str] = {
       SELECT CASE n WHEN 1 THEN 'application/pdf' WHEN 2 THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' WHEN 3 THEN 'application/vnd.openxmlformats-officedocument.presentationml.presentation' WHEN 4 THEN 'unknown'
       ELSE CASE WHEN n = 5 OR ends_with(name, '.md') THEN 'text/markdown' ELSE 'text/plain' END END AS kind, count(*) AS n, sum(size + CASE n WHEN 1 THEN 5 WHEN 2 THEN 4 WHEN 3 THEN 4 WHEN 4 THEN 2 ELSE 0 END)::BIGINT AS bytes FROM p GROUP BY 1""",
     "repeated_lines": f"SELECT md5(line) AS line_md5, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc FROM (SELECT doc_id, unnest({_TRIMMED}) AS line FROM documents) GROUP BY 1 HAVING count(DISTINCT doc_id) > 1",
+    "latex_lines": f"""WITH l AS (SELECT source, line FROM (SELECT source, unnest({_TRIMMED}) AS line FROM documents) WHERE length(line) < 60), u AS (SELECT source, substr(line, 1, 3) || ' = α×x²' AS line FROM l UNION ALL SELECT * FROM l),
+      x AS (SELECT source, CASE WHEN starts_with(line, '$') AND ends_with(line, '$') THEN trim(trim(line, '$')) WHEN contains(line, '\\') THEN line WHEN {_EQ.format('line')} THEN trim(regexp_replace(regexp_replace(replace(replace(trim(line), 'α', ' \\alpha '), '×', ' \\times '), '²', '^{{2}}', 'g'), '\\s{{2,}}', ' ', 'g')) END AS latex FROM u)
+      SELECT source, count(*) AS n_lines, count(latex) AS n_latex, count(DISTINCT latex) AS n_different, max(latex) AS last FROM x GROUP BY 1""",
+    "slot_labels": f"""WITH t AS (SELECT conv_id, turn, array_to_string({_W("role || [': ', '; ', ' - ', ' — ', ' '][turn % 5 + 1] || replace(text, '.', ':')")}, ' ') AS a, array_to_string({_W('text')}, ' ') AS b FROM conversations),
+      c AS (SELECT conv_id, turn, {", ".join("CASE " + " ".join(f"WHEN contains({x}, '{m}') AND trim(split_part({x}, '{m}', 1)) <> '' THEN trim(split_part({x}, '{m}', 1))" for m in (":", ";", " - ", " — ")) + f" ELSE {x} END AS {x}" for x in "ab")} FROM t)
+      SELECT conv_id, turn, {", ".join(f"trim(rtrim(array_to_string({_W(x)}[1:6], ' '), ' ,.;:-—')) AS {n}" for x, n in (("a", "by_mark"), ("b", "by_words")))} FROM c""",
+    "document_sample": f"""WITH {_BLOCKS}, k AS (SELECT *, (starts_with(line, '#') OR ({_LEVEL.format('line')})) AND NOT ({_EQ.format('line')}) AS h, CASE WHEN starts_with(line, '#') THEN trim(regexp_replace(line, '^#+', '')) ELSE line END AS body FROM b),
+      d AS (SELECT doc_id, least(count(*) FILTER (h), 40) AS n_headings, coalesce(string_agg(body, chr(10) ORDER BY ord) FILTER (NOT h), '') AS s FROM k GROUP BY 1), c AS (SELECT doc_id, n_headings, CASE WHEN length(s) > 6000 THEN s[1:3000] || chr(10) || '...' || chr(10) || right(s, 3000) ELSE s END AS s FROM d)
+      SELECT doc_id, n_headings, length(s)::BIGINT AS chars, md5(s) AS sample_md5 FROM c""",
     "secret_scan": """WITH documents AS (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN text || chr(10) || ['sk-or-v1-', 'sk-proj-', 'gsk_01234567', 'sk-ant-api03-', 'AIza_-1', 'AKIA', '-----BEGIN RSA PRIVATE KEY----- '][doc_id // 50 % 7 + 1]
       || CASE WHEN doc_id // 50 % 7 = 5 THEN upper(md5(text)) ELSE md5(text) END ELSE text END AS text FROM main.documents), h AS (""" + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS label, string_split(text, regexp_extract(text, '{p}'))[1] AS before FROM documents WHERE regexp_matches(text, '{p}')" for n, p in SECRETS.items()) + ") SELECT doc_id, label, (length(before) - length(replace(before, chr(10), '')) + 1)::BIGINT AS line FROM h",
 }
@@ -352,5 +382,5 @@ ORACLES: dict[str, str] = {
 QUERIES = {f.__name__: f for f in (
     scan_dedup_sha256, line_blocks, block_stats, heading_infer, section_path, chunk_fixed_budget, token_estimate, tokens_ascii, word_count_nfkd, sentence_stats, long_word_share,
     readability_band, equation_lines, contains_verbatim, lexical_overlap, jaccard_pairs, near_dup_ratio, evidence_audit, contradiction_gate, grounding_prefilter, grounding_score,
-    grounding_issues, citation_index, secret_scan, mime_sniff, repeated_lines,
+    grounding_issues, citation_index, secret_scan, mime_sniff, repeated_lines, latex_lines, slot_labels, document_sample,
 )}
