@@ -10,6 +10,7 @@ worker, all short words of a batch and all languages at a time.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from functools import lru_cache
@@ -84,7 +85,7 @@ class LongWord:
 
     def __init__(self, pieces: Pieces, word: str):
         chars = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(U) + U(1)
-        self.size = len(chars)
+        self.size, self.longest = len(chars), pieces.longest
         power = [U(pow(int(BASE), k, 2**64)) for k in range(pieces.longest + 1)]
         ends, starts, found = [], [], []
         window = np.zeros(self.size, dtype=U)  # the hash of the last `length` characters at each end
@@ -110,7 +111,20 @@ class LongWord:
         return out
 
     def log_likelihood(self, table: np.ndarray) -> np.ndarray:
-        return self.forward(table)[-1] - SCALE * self.size
+        """forward()'s last row, by plain numbers (few pieces end at a character), scaled where they leave the middle of their range."""
+        cut, starts, out = self.cut.tolist(), self.starts.tolist(), []
+        for p in table[self.found].T.tolist():
+            sums, shift = [1.0], 0.0
+            for end in range(1, self.size + 1):
+                total = 0.0
+                for e in range(cut[end - 1], cut[end]):
+                    total += sums[starts[e]] * p[e]
+                sums.append(total)
+                if not 1e-100 < total < 1e100:
+                    shift += math.log(total)
+                    sums[max(0, end - self.longest) :] = [x / total for x in sums[max(0, end - self.longest) :]]
+            out.append(math.log(sums[-1]) + shift)
+        return np.array(out) - SCALE * self.size
 
     def expected(self, table: np.ndarray, weight: float) -> np.ndarray:
         """Expected counts of the pieces under one model."""
