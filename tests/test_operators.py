@@ -160,11 +160,12 @@ def test_periods_and_marks(spark):
 
 
 def test_grounding(spark):
-    chunks = spark.createDataFrame([("c1", "Force equals mass times acceleration in every frame")], "chunk_id string, text string")
+    chunks = grounding.tokenised(spark.createDataFrame([("c1", "Force equals mass times acceleration in every frame")], "chunk_id string, text string"), "text", "span")
+    said = lambda rows, text: grounding.tokenised(rows, text, "claim")
     evidence = spark.createDataFrame([(1, "c1", "mass times acceleration", 0.9), (2, "c1", "mass", 0.9), (3, "c9", "mass times acceleration", 0.9), (4, "c1", "quantum tunnelling here", 0.9)], "claim_id int, chunk_id string, quote string, confidence double")
-    assert {r.claim_id: (r.found, r.kept_confidence) for r in grounding.audit(evidence, chunks).collect()} == {1: ("verbatim", 0.9), 2: ("short", None), 3: ("unresolved", None), 4: ("missing", None)}
+    assert {r.claim_id: (r.found, r.kept_confidence) for r in grounding.audit(said(evidence, "quote"), chunks).collect()} == {1: ("verbatim", 0.9), 2: ("short", None), 3: ("unresolved", None), 4: ("missing", None)}
     claims = spark.createDataFrame([(1, "extracted", "force equals mass times acceleration", "c1"), (2, "predicted", "force equals mass times acceleration", "c1"), (3, "extracted", "force never equals mass times acceleration", "c1"), (4, "extracted", "anything", None)], "claim_id int, kind string, text string, chunk_id string")
-    got = grounding.prefilter(claims, chunks)
+    got = grounding.prefilter(said(claims, "text"), chunks)
     assert {r.claim_id: r.verdict for r in got.collect()} == {1: "supported", 2: None, 3: None, 4: "unsupported"}
     verdicts = spark.createDataFrame([(3, "unsupported")], "claim_id int, judged string")
     done = grounding.judged(got, verdicts)
@@ -174,6 +175,13 @@ def test_grounding(spark):
     assert {r.claim_id: r.c for r in codes.collect()}[2] == "GROUNDING_LOOSELY_FILED_PREDICTION"
 
 
+def test_nearest_chunk(spark):
+    chunks = spark.createDataFrame([(1, "a b c d e f g"), (2, "c d e f g h i j"), (3, "a b c d e f g"), (4, "short one")], "chunk_id int, text string")
+    claims = spark.createDataFrame([(1, "x a b c d e y"), (2, "C d  E f g h i"), (3, "nothing shared with any of them"), (4, "short one"), (5, None)], "claim_id int, text string")
+    got = grounding.nearest_chunk(grounding.tokenised(claims, "text", "claim"), grounding.tokenised(chunks, "text", "span"))
+    assert {r.claim_id: r.chunk_id for r in got.collect()} == {1: 1, 2: 2, 3: None, 4: None, 5: None}
+
+
 def test_ranks_gather_no_group(spark):
     rng = random.Random(8)
     rows = [(g, rng.choice([None, 0.5, 1.5, rng.random(), -rng.random()])) for g in ("a", "b", None) for _ in range(rng.randint(200, 400))] + [("one", 3.0), ("none", None)]
