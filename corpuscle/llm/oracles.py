@@ -75,3 +75,16 @@ t AS (SELECT docs.*, tokens, budget // tokens AS full_epochs, budget % tokens AS
 x AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{seed}-' || full_epochs || '-' || doc_id), doc_id, n_tokens ROWS UNBOUNDED PRECEDING) - n_tokens AS before FROM t)
 SELECT doc_id, domain, lang, source, unnest(range(full_epochs))::INTEGER AS epoch, n_tokens, n_tokens AS take_tokens FROM t
 UNION ALL SELECT doc_id, domain, lang, source, full_epochs::INTEGER, n_tokens, least(n_tokens, rest - before)::BIGINT FROM x WHERE before < rest"""
+
+
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+TERM_SEARCH = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS ts FROM documents), b AS (SELECT doc_id, ts, len(ts)::BIGINT AS n FROM d WHERE len(ts) > 0),
+s AS (SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS ll FROM b),
+p AS (SELECT doc_id, n, t, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(ts) AS t FROM b) GROUP BY 1, 2, 3),
+w AS (SELECT t, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT t, count(*) AS df FROM p GROUP BY 1), s),
+i AS (SELECT item_id, t, count(*)::BIGINT AS times FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark) GROUP BY 1, 2),
+x AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // ll))))::BIGINT AS score FROM i JOIN w USING (t) JOIN p USING (t), s GROUP BY 1, 2)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM x WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, ego_join, langid, mixing, ngram_join, oracles, packing, quality, token_counts, toxicity, urls
+from . import bpe, chat, common, ego_join, langid, mixing, ngram_join, oracles, packing, quality, term_search, token_counts, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,6 +95,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op12_term_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest-scoring documents of each benchmark item."""
+    return term_search.term_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as word-level ids, packed into sequences of 2,048 ids."""
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -105,7 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_ngram_jaccard_join, op2_quality_divergence, op3_chat_format, op4_language_id, op5_source_mix,
         op6_ego_join, op7_byte_bpe, op8_toxicity, op9_url_filter, op10_token_counts,
-        op13_best_fit_packing,
+        op12_term_search, op13_best_fit_packing,
     )
 }
 ORACLES: dict[str, str] = {
@@ -113,4 +118,5 @@ ORACLES: dict[str, str] = {
     "op3_chat_format": oracles.CHAT_FORMAT,
     "op5_source_mix": oracles.source_mix(MIX_WEIGHTS, (3, 5), 3, 7),
     "op6_ego_join": oracles.EGO_JOIN,
+    "op12_term_search": oracles.TERM_SEARCH,
 }
