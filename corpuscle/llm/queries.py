@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, ego_join, langid, mixing, ngram_join, oracles, packing, quality, term_search, token_counts, toxicity, urls
+from . import bpe, chat, common, ego_join, langid, mixing, ngram_join, oracles, packing, quality, term_search, token_counts, toxicity, urls, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,6 +95,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 16 leading whitened components of all embeddings."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_term_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten highest-scoring documents of each benchmark item."""
     return term_search.term_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -110,7 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_ngram_jaccard_join, op2_quality_divergence, op3_chat_format, op4_language_id, op5_source_mix,
         op6_ego_join, op7_byte_bpe, op8_toxicity, op9_url_filter, op10_token_counts,
-        op12_term_search, op13_best_fit_packing,
+        op11_whitening, op12_term_search, op13_best_fit_packing,
     )
 }
 ORACLES: dict[str, str] = {
