@@ -10,7 +10,10 @@ Every piece then takes the slot of its rank among the pieces of its length.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
@@ -18,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,68 +29,117 @@ from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from .common import cuts, id_and_text, materialize
+from .pieces import TO_CHARACTER
 
-#: Chunks between white space that a worker remembers, and the bytes of one at most.
-MOST_CHUNKS, LONGEST_CHUNK = 600_000, 64
+#: Words between white space that a worker remembers at least, and the characters of one at most.
+MOST_WORDS, LONGEST_WORD = 400_000, 64
 #: Bytes of text encoded at a time, unless one text alone is longer.
-BATCH_BYTES = 1 << 20
-
-
-class ChunkEncoder:
-    """Ids of whole texts as little-endian 32-bit bytes, by the chunks between ASCII white space.
-
-    For tokenizers whose pre-tokens never hold white space and which drop it: each distinct
-    chunk then has the same ids in every text, special strings included, and the library encodes it once.
+BATCH_BYTES = 1 << 22
+#: Letters that all Unicode versions know, compose alike and lower one by one (İ becomes two characters, Σ depends on its place).
+LETTERS = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u0391-\u03a1\u03a4-\u03ce\u0410-\u044f\u4e00-\u9fa5"
+#: A word of them and the marks that end it, which are a pre-token of their own.
+PLAIN = f"^(?P<word>[{LETTERS}]+)(?P<tail>[.,;:!?]*)$"
+
+
+class Memory(dict):
+    """Remembers `most` entries at least: what was used since the last turn stays, the rest goes at the next."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def missing(self, keys: list) -> list:
+        """Those of the keys that are unknown; the others are in the dictionary afterwards."""
+        if len(self) + len(keys) > self.most:
+            self.old = dict(self)
+            self.clear()
+        old, new = self.old, []
+        for k in keys:
+            if k not in self:
+                if k in old:
+                    self[k] = old[k]
+                else:
+                    new.append(k)
+        return new
+
+
+class WordEncoder:
+    """Ids of whole texts, by what stands between ASCII white space.
+
+    For tokenizers of lower-case words whose pre-tokens never hold white space and which drop it: each such chunk then has
+    the same ids in every text, special strings included. A chunk of common letters and marks has those of
+    its lower-case word, which the library's model merges, and of the marks. All others go through the whole
+    library. Splitting and finding the distinct words is Arrow's work.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks take all cores already
         self.tokenizer = Tokenizer.from_file(path)
-        probe = ["It's a\tword, <|twice|> 12.\n", "It's", "a", "word,", "<|twice|>", "12."]
-        whole, *parts = (e.ids for e in self.tokenizer.encode_batch_fast(probe, add_special_tokens=False))
-        if whole != sum(parts, []):
-            raise ValueError(f"{path} keeps white space, so its texts cannot be encoded by chunks")
-        self.known: dict[bytes, bytes] = {}
-
-    def _ids(self, chunks: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        need = set().union(*split).difference(self.known)
-        if len(self.known) + len(need) > MOST_CHUNKS:
-            self.known = {}
-            need = set().union(*split)
-        long = [c for c in need if len(c) > LONGEST_CHUNK]
-        short = list(need.difference(long))
-        self.known.update(zip(short, self._ids(short), strict=True))
-        if not long:
-            return [b"".join(map(self.known.__getitem__, s)) for s in split]
-        once = dict(zip(long, self._ids(long), strict=True))
-        return [b"".join([self.known[c] if c in self.known else once[c] for c in s]) for s in split]
+        self.merge, self.plain = self.tokenizer.model.tokenize, re.compile(f"[{LETTERS}]+").fullmatch
+        self.known = Memory(MOST_WORDS)
+        probe = "It's a\tword, <|twice|> 12.\nÉtÉ ?!"
+        whole, *parts = self._library([probe, *probe.split()])
+        if whole != b"".join(parts) or whole != self.encode(pa.array([probe]))[0].tobytes():
+            raise ValueError(f"{path} keeps white space, or is not of lower-case words, so its texts cannot be encoded by words")
+
+    def _library(self, chunks: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _ids(self, keys: list[str]) -> list[bytes]:
+        """The ids of each of distinct lower-case words and other chunks."""
+        new, odd, long = self.known.missing(keys), [], {}
+        for k in new:
+            if not (k.isascii() and k.isalpha() or self.plain(k)):
+                odd.append(k)
+            else:
+                ids = array("I", [t.id for t in self.merge(k if k.isascii() else k.encode().decode("latin-1").translate(TO_CHARACTER))]).tobytes()
+                (self.known if len(k) <= LONGEST_WORD else long)[k] = ids
+        for k, ids in zip(odd, self._library(odd), strict=True):
+            (self.known if len(k) <= LONGEST_WORD else long)[k] = ids
+        return [long[k] if k in long else self.known[k] for k in keys] if long else list(map(self.known.__getitem__, keys))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """An array of 32-bit ids for each text."""
+        split = pc.ascii_split_whitespace(texts)
+        sizes = split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        chunks = split.flatten().dictionary_encode()
+        parts = pc.extract_regex(chunks.dictionary, PLAIN)
+        plain = parts.is_valid()
+        keys = pc.if_else(plain, pc.utf8_lower(pc.struct_field(parts, "word")), chunks.dictionary).dictionary_encode()
+        tails = pc.fill_null(pc.struct_field(parts, "tail"), "").dictionary_encode()
+        values = [*self._ids(keys.dictionary.to_pylist()), *self._ids(tails.dictionary.to_pylist())]
+        # Each chunk is two pieces of the values laid end to end: its word's and its marks'.
+        table, length = np.frombuffer(b"".join(values), dtype="<u4"), np.array([len(v) // 4 for v in values], dtype=np.int64)
+        start = np.cumsum(length) - length
+        piece = np.stack([keys.indices.to_numpy(), tails.indices.to_numpy() + len(keys.dictionary)], 1)[chunks.indices.to_numpy()].ravel()
+        n = length[piece]
+        ends = np.cumsum(n)
+        ids = table[np.repeat(start[piece] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        upto = np.concatenate([[0], ends])[2 * np.cumsum(sizes)]
+        return np.split(ids, upto[:-1])
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> ChunkEncoder:
+def _encoder(path: str) -> WordEncoder:
     """One encoder, and what it remembers, for all tasks of a worker process."""
-    return ChunkEncoder(path)
+    return WordEncoder(path)
 
 
 PIECES = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("task", pa.int32()), ("turn", pa.int64())])
 
 
 def _pieces(path: str, capacity: int, end_id: int):
-    end, width = np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
+    end, width = array("I", [end_id]).tobytes(), 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task = _encoder(path), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            for a, b in cuts(list(map(len, texts)), BATCH_BYTES):
+            ids, texts = batch.column(0).to_pylist(), pc.fill_null(batch.column(1), "")
+            for a, b in cuts(pc.binary_length(texts).to_pylist(), BATCH_BYTES):
                 rows: list[tuple] = []
-                for doc, raw in zip(ids[a:b], encoder.encode(texts[a:b]), strict=True):
-                    raw += end
+                for doc, own in zip(ids[a:b], encoder.encode(texts.slice(a, b - a)), strict=True):
+                    raw = own.tobytes() + end
                     for k, at in enumerate(range(0, len(raw), width)):
                         part = raw[at : at + width]
                         rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), task))

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -61,12 +62,27 @@ def test_plan_does_not_grow_with_the_documents():
     assert packing.plan_runs({}, 10).shape == (0, 6)
 
 
-def test_chunks_encode_as_the_library():
-    library, encoder = Tokenizer.from_file(PATH), packing.ChunkEncoder(PATH)
+def test_words_encode_as_the_library():
+    library, encoder = Tokenizer.from_file(PATH), packing.WordEncoder(PATH)
     texts = [t or "" for t in ODD]
-    assert encoder.encode([t.encode() for t in texts]) == [np.array(e.ids, dtype="<u4").tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    # Every character of one code unit in front of, behind and between letters; words in capitals and with marks.
+    texts += [f"{chr(c)} a{chr(c)} {chr(c)}B. a{chr(c)}é, {chr(c) * 3}!?" for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000]
+    want = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    for k in (1, 2):  # from memory the second time
+        got = encoder.encode(pa.array(texts))
+        assert [t for t, a, b in zip(texts, got, want, strict=True) if a.tolist() != b] == []
     with pytest.raises(ValueError):
-        packing.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+        packing.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_memory_keeps_what_is_used():
+    memory = packing.Memory(4)
+    for k in range(3):
+        assert memory.missing(["a", "b"]) == (["a", "b"] if k == 0 else [])
+        memory.update(a=1, b=2)
+        assert memory.missing([f"c{k}", f"d{k}"]) == [f"c{k}", f"d{k}"]
+        memory.update({f"c{k}": 3, f"d{k}": 4})
+    assert len(memory) <= 4 and len(memory.old) <= 4
 
 
 def check(got, rows, capacity):
