@@ -105,40 +105,6 @@ def probabilities(rows: DataFrame) -> DataFrame:
     return out.select(F.concat("context", "next").alias("gram"), "good", "bad")
 
 
-class Markov:
-    """P(next | context) by Witten-Bell interpolation over one class's counts, on one machine; probabilities() gives the same as a table."""
-
-    def __init__(self, counts: dict[str, dict[str, int]]):
-        self.counts = counts
-        self.totals = {c: (sum(n.values()), len(n)) for c, n in counts.items()}
-        self.memo: dict[tuple[str, str], float] = {}
-
-    def probability(self, context: str, char: str) -> float:
-        p = self.memo.get((context, char))
-        if p is None:
-            shorter = self.probability(context[1:], char) if context else 1 / 256
-            total, kinds = self.totals.get(context, (0, 0))
-            p = (self.counts[context].get(char, 0) + kinds * shorter) / (total + kinds) if total else shorter
-            if len(self.memo) > 500_000:
-                self.memo.clear()
-            self.memo[context, char] = p
-        return p
-
-    def log_likelihood(self, url: str) -> float:
-        s = START + url + STOP
-        return sum(math.log(self.probability(s[max(0, i - ORDER) : i], s[i])) for i in range(1, len(s)))
-
-
-def train(rows: DataFrame) -> dict[bool, dict[str, dict[str, int]]]:
-    """All counts of both classes (rejected or not) from (url, good, bad), for Markov: a small table's only, as they are collected. url_filter() leaves them in tables."""
-    out: dict[bool, dict[str, dict[str, int]]] = {}
-    for r in pair_counts(rows).collect():
-        for rejected, n in ((False, r.good), (True, r.bad)):
-            if n:
-                out.setdefault(rejected, {}).setdefault(r.context, {})[r.next] = n
-    return out
-
-
 def _chunked(rows: DataFrame) -> DataFrame:
     """Rows with the number of a chunk of CHUNK_CHARS characters of URLs; to be materialized, as it depends on how batches fall."""
     at = rows.columns.index("url")

@@ -96,7 +96,7 @@ def test_ngram_join_recall_by_similarity():
         n, texts = 200, []
         for k in range(400):
             both = round(2 * n * similarity / (1 + similarity))
-            words = rng.permutation(10_000_000)[: 2 * n]
+            words = rng.choice(10_000_000, 2 * n, replace=False, shuffle=False)
             texts += [" ".join(f"{k}x{w}" for w in words[:n]), " ".join(f"{k}x{w}" for w in words[n - both : 2 * n - both])]
         out = pa.Table.from_batches(run(iter([pa.RecordBatch.from_pydict({"id": pa.array(range(len(texts)), pa.int64()), "text": texts})])))
         b = np.stack(out.column("bands").to_numpy())
@@ -340,6 +340,34 @@ def test_language_rejects_what_no_model_explains(spark):
     assert langid.keep_known(spark.createDataFrame([(t,) for t in noise], "text string"), model, VOCABULARY).count() == 0
 
 
+def test_language_knows_any_white_space(spark):
+    """Texts whose blanks are other white space have the same words, and so the same language and fit, and stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").where("text rlike '[a-z]'")
+    model = langid.fit(docs, VOCABULARY)
+    held = docs.where(common.held_out(F.col("doc_id"))).where("length(text) < 20000")
+    plain = {r.doc_id: r for r in langid.identify(held, model, VOCABULARY).collect()}
+    kept = {r.doc_id for r in langid.keep_known(held, model, VOCABULARY).collect()}
+    assert len(kept) >= 0.99 * len(plain)
+    for blank in ("\u00a0", "\u2003", "\u3000"):
+        other = held.withColumn("text", F.regexp_replace("text", " ", blank))
+        assert all((r.lang_pred, round(r.score, 6), round(r.fit, 4)) == (plain[r.doc_id].lang_pred, round(plain[r.doc_id].score, 6), round(plain[r.doc_id].fit, 4)) for r in langid.identify(other, model, VOCABULARY).collect())
+        assert {r.doc_id for r in langid.keep_known(other, model, VOCABULARY).collect()} == kept
+        taught = langid.fit(docs.withColumn("text", F.regexp_replace("text", " ", blank)), VOCABULARY)
+        assert np.allclose(taught["table"], model["table"])
+
+
+def test_language_rejects_short_noise(spark):
+    """The floor falls with the length but never vanishes: noise goes at 40 characters already, clean beginnings of texts stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs, VOCABULARY)
+    assert all(own is not None and langid.floor_of(own, 10) <= langid.floor_of(own, 100) <= langid.floor_of(own, 10_000) for own in model["floor"])
+    rng = np.random.default_rng(8)
+    noise = [" ".join("".join(rng.choice(list("бвгдежзиклмн"), 6)) for _ in range(n)) for n in (6, 10, 20, 30) for _ in range(25)]
+    assert langid.keep_known(spark.createDataFrame([(t,) for t in noise], "text string"), model, VOCABULARY).count() == 0
+    short = docs.where(common.held_out(F.col("doc_id")) & F.expr("text rlike '^[A-Z][a-z]+( [a-z]+){12}'")).withColumn("text", F.substring("text", 1, 60))
+    assert langid.keep_known(short, model, VOCABULARY).count() >= 0.97 * short.count() > 8
+
+
 def test_language_odd_rows(odd, empty):
     assert langid.fit(empty, VOCABULARY) is None
     assert {r.lang_pred for r in langid.identify(odd, None, VOCABULARY).collect()} == {"und"}
@@ -670,6 +698,40 @@ def test_toxicity_odd_rows(spark, odd, empty):
 # ---- op 9
 
 
+class Markov:
+    """P(next | context) by Witten-Bell interpolation over one class's counts on one machine."""
+
+    def __init__(self, counts: dict[str, dict[str, int]]):
+        self.counts = counts
+        self.totals = {c: (sum(n.values()), len(n)) for c, n in counts.items()}
+        self.memo: dict[tuple[str, str], float] = {}
+
+    def probability(self, context: str, char: str) -> float:
+        p = self.memo.get((context, char))
+        if p is None:
+            shorter = self.probability(context[1:], char) if context else 1 / 256
+            total, kinds = self.totals.get(context, (0, 0))
+            p = (self.counts[context].get(char, 0) + kinds * shorter) / (total + kinds) if total else shorter
+            if len(self.memo) > 500_000:
+                self.memo.clear()
+            self.memo[context, char] = p
+        return p
+
+    def log_likelihood(self, url: str) -> float:
+        s = urls.START + url + urls.STOP
+        return sum(np.log(self.probability(s[max(0, i - urls.ORDER) : i], s[i])) for i in range(1, len(s)))
+
+
+def train(rows) -> dict[bool, dict[str, dict[str, int]]]:
+    """All counts of both classes (rejected or not) from (url, good, bad), for Markov."""
+    out: dict[bool, dict[str, dict[str, int]]] = {}
+    for r in urls.pair_counts(rows).collect():
+        for rejected, n in ((False, r.good), (True, r.bad)):
+            if n:
+                out.setdefault(rejected, {}).setdefault(r.context, {})[r.next] = n
+    return out
+
+
 def brute_url(url, rules):
     host = path = ""
     if url and "://" in url:
@@ -696,7 +758,7 @@ def test_urls(spark, sf):
 
 def test_url_models_equal_brute_force(spark):
     rows = [("http://casino.example/a", True)] * 3 + [("http://fine.example/b", False), ("http://fine.example/c", False)]
-    counts = urls.train(spark.createDataFrame([(u, int(not r), int(r)) for u, r in rows] + [("http://unruled.example/", 0, 0)], "url string, good long, bad long"))
+    counts = train(spark.createDataFrame([(u, int(not r), int(r)) for u, r in rows] + [("http://unruled.example/", 0, 0)], "url string, good long, bad long"))
     strings = {c: [urls.START + u + urls.STOP for u, r in rows if r == c] for c in (True, False)}
 
     def brute(strings, context, char):
@@ -705,7 +767,7 @@ def test_url_models_equal_brute_force(spark):
         return (follow.count(char) + len(set(follow)) * shorter) / (len(follow) + len(set(follow))) if follow else shorter
 
     for c in (True, False):
-        m = urls.Markov(counts[c])
+        m = Markov(counts[c])
         for context, char in (("", "a"), ("ttp:/", "/"), ("casin", "o"), ("zz", "e"), ("fine.", "e")):
             assert m.probability(context, char) == pytest.approx(brute(strings[c], context, char))
         assert sum(m.probability("ample"[k:], chr(i)) for k in (0,) for i in range(256)) == pytest.approx(1)
@@ -728,7 +790,7 @@ def test_url_ratios_and_verdicts_equal_brute_force(spark):
                 for k in range(min(urls.ORDER, i) + 1):
                     follow = counts[said(u) == "block"].setdefault(s[i - k : i], {})
                     follow[s[i]] = follow.get(s[i], 0) + 1
-    good, bad = urls.Markov(counts[False]), urls.Markov(counts[True])
+    good, bad = Markov(counts[False]), Markov(counts[True])
     want = [(bad.log_likelihood(u or "") - good.log_likelihood(u or "")) / (len(u or "") + 1) for u in rows]
     got = {r.page_id: r for r in urls.url_filter(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), rules).collect()}
     assert len(got) == len(rows)
