@@ -30,8 +30,8 @@ MARK = "▁"
 LONG = 64
 #: Log probability of a character without a piece, alike in all languages; and a scale by character against underflow.
 UNKNOWN, SCALE = -12.0, 2.5
-#: Texts of fewer characters are not held against a language's floor; deviations, and log likelihood, that a floor is below the mean at least.
-SHORT, MARGIN, LEAST_MARGIN = 200, 8.0, 3.0
+#: Deviations, and log likelihood by character, that a floor is below the mean at least.
+MARGIN, LEAST_MARGIN = 8.0, 3.0
 LETTER = regex.compile(r"\p{L}")
 UND = "und"
 
@@ -246,11 +246,11 @@ class Identifier:
         self._clear()
 
     def _clear(self) -> None:
-        self.row: dict[bytes, int] = {}
+        self.row: dict[str, int] = {}
         self.scores = np.zeros((0, len(self.langs)), dtype=np.float32)
 
-    def _learn(self, words: list[bytes]) -> None:
-        marked = [MARK + w.decode("utf-8", "replace") for w in words]
+    def _learn(self, words: list[str]) -> None:
+        marked = [MARK + w for w in words]
         short = [i for i, w in enumerate(marked) if len(w) <= LONG]
         out = np.empty((len(words), len(self.langs)))
         for i in range(0, len(short), 10_000):
@@ -263,8 +263,8 @@ class Identifier:
     def log_likelihoods(self, texts: list) -> np.ndarray:
         if len(self.row) > self.most:
             self._clear()
-        split, row = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts], self.row
-        new: list[bytes] = []
+        split, row = [t.split() if t else [] for t in texts], self.row  # as train() does, at any white space
+        new: list[str] = []
         for words in split:
             for w in set(words).difference(row):
                 row[w] = len(row)
@@ -295,7 +295,12 @@ class Identifier:
         """Texts with a language whose score is `least` or more and that their language explains as well as the worst of its own, with a margin."""
         langs, scores, fits = self(texts)
         floor = dict(zip(self.langs, self.floor, strict=True)) if self.floor is not None else {}
-        return np.array([n != UND and s >= least and (len(t) < SHORT or f >= floor.get(n, -np.inf)) for t, n, s, f in zip(texts, langs, scores, fits, strict=True)], dtype=bool)
+        return np.array([n != UND and s >= least and f >= floor_of(floor.get(n), len(t)) for t, n, s, f in zip(texts, langs, scores, fits, strict=True)], dtype=bool)
+
+
+def floor_of(own: tuple[float, float] | None, chars: int) -> float:
+    """The least log likelihood by character of a text of so many characters: MARGIN deviations of their mean below the language's, LEAST_MARGIN at least."""
+    return -math.inf if own is None else own[0] - max(MARGIN * own[1] / math.sqrt(max(chars, 1)), LEAST_MARGIN)
 
 
 def sample_of(rows: DataFrame, group: str, per_group: int, total_chars: int) -> DataFrame:
@@ -321,7 +326,7 @@ def fit(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str =
 
     The sample: of each language at most per_lang ids by hash, whole texts, as far as those before
     them have under total_chars characters. Four in five of the sample teach the pieces; the fifth
-    sets `floor`, the least log likelihood by character that counts as the language. A
+    sets `floor`, from which floor_of() takes the least log likelihood by character that counts as the language. A
     language is a column of the model, which grows with the languages. None without such rows.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
@@ -334,18 +339,23 @@ def fit(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str =
     return model
 
 
-def _floors(docs: list[tuple], vocabulary: str) -> list[float]:
-    """By language: the mean log likelihood by character of texts that a model did not learn from, less MARGIN of its deviations; -inf without two such texts."""
+def _floors(docs: list[tuple], vocabulary: str) -> list[tuple[float, float] | None]:
+    """By language, over texts that a model did not learn from: the median log likelihood by character, and the deviation of one character, as the median of the texts' own times the square root of their lengths tells it: medians, since junk is among the texts. None without two such texts."""
     apart = train([d[3] for i, d in enumerate(docs) if i % 5], [d[0] for i, d in enumerate(docs) if i % 5], vocabulary)
     names = sorted({d[0] for d in docs})
     if apart is None or apart["langs"] != names:
-        return [-np.inf] * len(names)
-    held = [d for i, d in enumerate(docs) if i % 5 == 0 and len(d[3]) >= SHORT]
+        return [None] * len(names)
+    held = [d for i, d in enumerate(docs) if i % 5 == 0 and d[3].strip()]
     ll = Identifier(apart, vocabulary).log_likelihoods([d[3] for d in held]) if held else np.zeros((0, len(names)))
-    out = []
+    out: list[tuple[float, float] | None] = []
     for k, name in enumerate(names):
-        own = np.array([row[k] / len(d[3]) for d, row in zip(held, ll, strict=True) if d[0] == name])
-        out.append(float(own.mean() - max(MARGIN * own.std(), LEAST_MARGIN)) if len(own) > 1 else -np.inf)
+        own = np.array([(row[k], len(d[3])) for d, row in zip(held, ll, strict=True) if d[0] == name]).reshape(-1, 2)
+        if len(own) < 2:
+            out.append(None)
+            continue
+        fit = own[:, 0] / own[:, 1]
+        middle = float(np.median(fit))
+        out.append((middle, 1.4826 * float(np.median(np.abs(fit - middle) * np.sqrt(own[:, 1])))))
     return out
 
 
@@ -377,9 +387,9 @@ def identify(df: DataFrame, model: dict | None, vocabulary: str, id_col: str = "
 def keep_known(df: DataFrame, model: dict | None, vocabulary: str, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of df, all columns as they are, in a known language; all of them if model is None.
 
-    Known: the best language's score is `least` or more and, for texts of SHORT characters or more, its log
-    likelihood by character is no less than the model's floor for it: among any number of languages
-    one is the best, so the score alone rejects hardly any text that none of them explains.
+    Known: the best language's score is `least` or more and its log likelihood by character is no less
+    than the model's floor for it at the text's length, which falls as the text gets shorter: among any number of
+    languages one is the best, so the score alone rejects hardly any text that none of them explains.
     """
     if model is None:
         return df
