@@ -69,8 +69,8 @@ def repeated_words(ids: np.ndarray) -> int:
 
 
 def forms(vocabulary: list[str]) -> list[tuple[bytes, ...]]:
-    """How each common word is written: as it is, or with a capital."""
-    return [tuple({w.encode(), w.capitalize().encode()}) for w in vocabulary]
+    """How each common word is written: as it is, with a capital, or in capitals."""
+    return [tuple({w.encode(), w.capitalize().encode(), w.upper().encode()}) for w in vocabulary]
 
 
 def measure(text: str | None, common_forms: list[tuple[bytes, ...]]) -> tuple[int, int, int, int, int, list[int], list[int]]:
@@ -122,14 +122,18 @@ def common_words(rows: DataFrame, per_lang: int) -> dict[str, list[str]]:
 
 
 def divergence(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon distances of rows of counts to one reference; 0 for rows without counts."""
-    total = counts.sum(1, keepdims=True)
-    p = counts / np.maximum(total, 1)
-    q = np.broadcast_to(reference / max(reference.sum(), 1), p.shape)
+    """Jensen-Shannon distances of rows of counts to a reference, one for all or one for each row; 0 for rows without counts on either side."""
+    total, whole = counts.sum(1, keepdims=True), np.atleast_2d(reference).sum(1, keepdims=True)
+    p, q = counts / np.maximum(total, 1), np.broadcast_to(np.atleast_2d(reference) / np.where(whole > 0, whole, 1), counts.shape)
     m = (p + q) / 2
     with np.errstate(divide="ignore", invalid="ignore"):
         d = np.where(p > 0, p * np.log2(p / m), 0).sum(1) / 2 + np.where(q > 0, q * np.log2(q / m), 0).sum(1) / 2
-    return np.where(total[:, 0] > 0, np.sqrt(np.maximum(d, 0)), 0.0)
+    return np.where((total[:, 0] > 0) & np.broadcast_to(whole[:, 0] > 0, len(p)), np.sqrt(np.maximum(d, 0)), 0.0)
+
+
+def shrunk(own: np.ndarray, pooled: np.ndarray, weight: float) -> np.ndarray:
+    """A language's counts and `weight` more, dealt as in the pooled counts of all languages; rows, or one."""
+    return own + weight * pooled / np.maximum(pooled.sum(-1, keepdims=True), 1)
 
 
 #: Distance of the common-word histograms up to which a text is near a language.
@@ -139,7 +143,7 @@ MOST_WORD = 0.29
 def quality_rules(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     most_char: float = 0.3, most_word: float = MOST_WORD, least_chars: int = 200, least_words: int = 150,
-    common_per_lang: int = 26, least_docs: int = 20,
+    common_per_lang: int = 26, shrink_chars: float = 10_000, shrink_words: float = 2_000,
 ) -> DataFrame:
     """The base counts and verdicts of each whole text.
 
@@ -149,12 +153,13 @@ def quality_rules(
     within most_char by character classes (for texts of least_chars word characters or more) and
     within most_word by common words (of least_words words or more).
 
-    References are the summed counts of all documents of a language that pass the base rules, for each
-    language with least_docs of them; its common words are learned from all its documents. A
-    document of a language without a reference, and every document if there is none, is judged
-    by the base rules alone; one without a language is compared with all references. Null and empty
-    texts have no words and fail. One row per input row, repeated rows and null ids included; other
-    columns are ignored; an empty table gives an empty result.
+    A language's reference is the summed counts of all its documents that pass the base rules, shrunk towards those of all
+    languages by the weight of shrink_chars characters and shrink_words words, so that a language counts
+    by how much is known of it. A document's own counts are left out of what it is compared with. Its common words are
+    learned from all its documents; they count as they are, with a capital and in capitals. Where nothing
+    else is left, as with a single document, distances are 0. A document without a language is compared with all references.
+    Null and empty texts have no words and fail. One row per input row, repeated rows and null ids included;
+    other columns are ignored; an empty table gives an empty result.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
 
@@ -176,26 +181,30 @@ def quality_rules(
     sums = [F.sum(F.col(c)[i]).alias(f"{c}{i}") for c, n in (("chars", len(CLASSES)), ("common", len(vocabulary) + 1)) for i in range(n)]
     known = seen.where(F.col("lang").isNotNull() & ~F.col("base_failed"))
     # One row for each language.
-    sums = known.groupBy("lang").agg(F.count("*").alias("n"), *sums).where(F.col("n") >= least_docs).orderBy("lang").collect()
-    references = {r.lang: (np.array([r[f"chars{i}"] for i in range(len(CLASSES))], float), np.array([r[f"common{i}"] for i in range(len(vocabulary) + 1)], float)) for r in sums}
+    sums = known.groupBy("lang").agg(*sums).orderBy("lang").collect()
+    langs = [r.lang for r in sums]
+    by_lang = [np.array([[r[f"{c}{i}"] for i in range(n)] for r in sums], float).reshape(len(sums), n) for c, n in (("chars", len(CLASSES)), ("common", len(vocabulary) + 1))]
 
     @F.pandas_udf("char_distance double, word_distance double, nearest string, near boolean")
-    def judge(chars, common, word_chars, n_words, lang):
+    def judge(chars, common, word_chars, n_words, lang, base_failed):
         import pandas as pd
 
         n = len(chars)
-        out = pd.DataFrame({"char_distance": np.zeros(n), "word_distance": np.zeros(n), "nearest": [None] * n, "near": np.ones(n, bool)})
-        if not references or not n:
-            return out
-        a, b = np.stack(chars.to_numpy()).astype(float), np.stack(common.to_numpy()).astype(float)
-        by_char = np.stack([divergence(a, r[0]) for r in references.values()], axis=1)
-        by_word = np.stack([divergence(b, r[1]) for r in references.values()], axis=1)
+        if not langs or not n:
+            return pd.DataFrame({"char_distance": np.zeros(n), "word_distance": np.zeros(n), "nearest": [None] * n, "near": np.ones(n, bool)})
+        taught = ~base_failed.to_numpy() & lang.notna().to_numpy()
+        distances = []
+        for counts, sums, weight in ((chars, by_lang[0], shrink_chars), (common, by_lang[1], shrink_words)):
+            counts = np.stack(counts.to_numpy()).astype(float)
+            pooled = sums.sum(0) - counts * taught[:, None]
+            distances.append(np.stack([divergence(counts, shrunk(sums[k] - counts * (taught & (lang == name).to_numpy())[:, None], pooled, weight)) for k, name in enumerate(langs)], axis=1))
+        by_char, by_word = distances
         excess = np.maximum(np.where(word_chars.to_numpy()[:, None] >= least_chars, by_char / most_char, 0), np.where(n_words.to_numpy()[:, None] >= least_words, by_word / most_word, 0))
         best = (excess + 1e-6 * (by_char + by_word)).argmin(1)
         at = np.arange(n), best
-        return pd.DataFrame({"char_distance": by_char[at], "word_distance": by_word[at], "nearest": [list(references)[i] for i in best], "near": (excess[at] <= 1) | (lang.notna() & ~lang.isin(list(references)))})
+        return pd.DataFrame({"char_distance": by_char[at], "word_distance": by_word[at], "nearest": [langs[i] for i in best], "near": excess[at] <= 1})
 
-    out = seen.withColumn("judged", judge("chars", "common", "word_chars", "n_words", "lang"))
+    out = seen.withColumn("judged", judge("chars", "common", "word_chars", "n_words", "lang", "base_failed"))
     return out.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & F.col("judged.near")).alias("kept"), "judged.char_distance", "judged.word_distance", "judged.nearest",
