@@ -25,7 +25,7 @@ BLOOM_VERBS = {
 #: Verbs of an objective that nobody can observe, and those that name an activity (fixed values).
 VAGUE_VERBS = (
     "understand know learn appreciate grasp comprehend realise realize internalise internalize be become gain acquire "
-    "familiarise familiarize study cover master value believe explore"
+    "familiarise familiarize study cover master value believe"
 ).split()
 WEAK_VERBS = "explore discuss consider review revise look think engage work".split()
 #: What a criterion may watch for (fixed values).
@@ -50,7 +50,17 @@ GENERIC_DIFFERENTIATION = (
     "give more time", "allow more time", "provide guidance", "offer guidance", "simplify the task", "make it easier", "make it harder", "help them", "support them", "challenge them",
 )
 #: More work rather than different work (fixed values).
-VOLUME_ONLY = ("more questions", "more problems", "extra questions", "extra problems", "more examples", "same task", "more of the same")
+VOLUME_ONLY = (
+    "more questions", "more problems", "more practice", "extra questions", "extra problems", "additional questions", "additional problems", "more examples", "further examples", "same task",
+    "more of the same",
+)
+#: Descriptors that grade without describing (fixed values).
+HEDGES = (
+    "good answer", "excellent answer", "adequate answer", "poor answer", "very good", "fairly good", "some understanding", "little understanding", "no understanding",
+    "partially correct", "mostly correct", "as expected", "satisfactory", "unsatisfactory", "appropriate response",
+)
+#: Options that fill a line (fixed values).
+FILLER_OPTIONS = ("all of the above", "none of the above", "both a and b", "all of these")
 #: Sentences about teaching rather than instructions to teach (fixed values).
 GENERIC_SCRIPT = (
     "engage the students", "engage students", "engage the class", "in a meaningful way", "meaningful way", "following along", "ensure that everyone", "ensure everyone",

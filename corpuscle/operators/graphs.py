@@ -134,16 +134,17 @@ def topological_order(concepts: DataFrame, edges: DataFrame) -> DataFrame:
 def downstream(edges: DataFrame, materialize) -> DataFrame:
     """(package_id, concept_id, reach): how many other concepts a concept leads to, over any number of steps.
 
-    The closure of all packages at once by doubling: each round joins the pairs known so far with
-    themselves, so paths of any length take rounds by its logarithm.
+    The closure of all packages at once: each round joins only the pairs that the last one found with those known, which
+    doubles the length of the paths, so paths of any length take rounds by its logarithm and no pair is extended twice by
+    the same one. (A shortest path of more than n steps begins with one of just n, which the round for n found.) Cycles are no trouble: a concept does not lead to itself.
     """
-    known = materialize(edges.select("package_id", "from_id", "to_id").where("from_id <> to_id").distinct())
+    known = new = materialize(edges.select("package_id", "from_id", "to_id").where("from_id <> to_id").distinct())
     while True:
-        longer = known.select("package_id", "from_id", F.col("to_id").alias("via")).join(known.select("package_id", F.col("from_id").alias("via"), "to_id"), ["package_id", "via"])
+        longer = new.select("package_id", "from_id", F.col("to_id").alias("via")).join(known.select("package_id", F.col("from_id").alias("via"), "to_id"), ["package_id", "via"])
         new = materialize(longer.select("package_id", "from_id", "to_id").where("from_id <> to_id").distinct().join(known, ["package_id", "from_id", "to_id"], "left_anti"))
         if new.isEmpty():
             break
-        known = materialize(known.unionByName(new))
+        known = known.unionByName(new)
     return known.groupBy("package_id", F.col("from_id").alias("concept_id")).agg(F.count("*").alias("reach"))
 
 

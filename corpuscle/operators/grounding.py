@@ -34,13 +34,23 @@ def shingle_keys(tokens: Column, n: int) -> Column:
 def nearest_chunk(claims: DataFrame, chunks: DataFrame, n: int = 5) -> DataFrame:
     """Adds to tokenised claims (claim_id, claim_tokens, ...) the chunk_id that shares most runs of n tokens, the smallest of equals; null if none does.
 
-    chunks (chunk_id, span_tokens). Candidates meet by an equi-join on hashed runs, so a claim meets
-    no chunk with which it shares nothing.
+    chunks (chunk_id, span_tokens). A claim of fewer tokens is one run, and its chunk the smallest that holds it whole. Candidates
+    meet by an equi-join on hashed runs, so a claim meets no chunk with which it shares nothing, and a shorter claim one chunk
+    at most. Only ids and hashes are shuffled before the nearest chunk is known.
     """
+    size = F.size("claim_tokens")
+    few = claims.where((size > 0) & (size < n)).select("claim_id", size.alias("size"), F.xxhash64(F.array_join("claim_tokens", " ")).alias("key"))
+    held = [chunks.select("chunk_id", F.lit(k).alias("size"), F.explode(shingle_keys(F.col("span_tokens"), k)).alias("key")) for k in range(1, n)]
+    short = None
+    for h in held:
+        short = h if short is None else short.unionByName(h)
     a = claims.select("claim_id", F.explode(shingle_keys(F.col("claim_tokens"), n)).alias("key"))
     b = chunks.select("chunk_id", F.explode(shingle_keys(F.col("span_tokens"), n)).alias("key"))
     shared = a.join(b, "key").groupBy("claim_id", "chunk_id").agg(F.count("*").alias("n"))
     best = shared.groupBy("claim_id").agg(F.max_by("chunk_id", F.struct("n", -F.col("chunk_id"))).alias("chunk_id"))
+    if short is not None:
+        first = short.groupBy("size", "key").agg(F.min("chunk_id").alias("chunk_id"))
+        best = best.unionByName(few.join(first, ["size", "key"]).select("claim_id", "chunk_id"))
     return claims.join(best, "claim_id", "left")
 
 

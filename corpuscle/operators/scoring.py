@@ -83,12 +83,26 @@ def distribution(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return d.select(*by, "n", (0.5 * F.col("_low") + 0.5 * F.col("_high")).alias("median"), "min", "max", "p25", "p75", (F.col("n") >= LEAST_HISTORY).alias("sufficient"))
 
 
-def compare(current: DataFrame, history: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Current values against their history's median: delta and regressed, improved, steady or (fewer than five runs) unknown."""
-    h = distribution(history, by, value).select(*by, "n", "median", "sufficient")
-    delta = F.col(value) - F.col("median")
-    said = F.when(~F.coalesce("sufficient", F.lit(False)) | F.col(value).isNull(), "unknown").when(delta <= -TOLERANCE, "regressed").when(delta >= TOLERANCE, "improved").otherwise("steady")
-    return current.join(h, by, "left").withColumn("delta", delta).withColumn("change", said)
+def compare(current: DataFrame, history: DataFrame, by: list[str], value: str, most: int = 1000, order: str = "evaluated_at", tie: str = "run_id") -> DataFrame:
+    """Current runs (by, tie, value) against the median of their group's `most` newest runs, themselves left out: delta and regressed, improved, steady or (fewer than five other runs) unknown.
+
+    A group's runs become one sorted array of at most `most` values, from which one value more or less is told by the
+    four in the middle, so that every run of a group is compared without itself in one pass.
+    """
+    window = newest(history, by, order, tie, most)
+    held = window.groupBy(*by).agg(F.count("*").alias("_runs"), F.array_sort(F.collect_list(value)).alias("_v"))
+    n = F.size("_v")
+    middle = lambda m: 0.5 * F.get("_v", F.floor((m - 1) / 2).cast("int")) + 0.5 * F.get("_v", F.ceil((m - 1) / 2).cast("int"))
+    low, high = F.floor((n - 2) / 2).cast("int"), F.ceil((n - 2) / 2).cast("int")
+    four = [F.get("_v", F.greatest(k, F.lit(0))).alias(name) for k, name in ((low, "_a"), (low + 1, "_a1"), (high, "_b"), (high + 1, "_b1"))]
+    held = held.select(*by, "_runs", n.alias("_n"), F.when(n > 0, middle(n)).alias("_whole"), *four)
+    own = window.select(*by, tie, F.lit(True).alias("_own"))
+    c = current.join(held, by, "left").join(own, [*by, tie], "left").withColumn("_own", F.coalesce("_own", F.lit(False)))
+    without = lambda a, b: F.when(F.col(a) < F.col(value), F.col(a)).otherwise(F.col(b))
+    median = F.when(F.col("_own") & F.col(value).isNotNull(), F.when(F.col("_n") > 1, 0.5 * without("_a", "_a1") + 0.5 * without("_b", "_b1"))).otherwise(F.col("_whole"))
+    c = c.withColumn("median", median).withColumn("n", (F.coalesce("_runs", F.lit(0)) - F.col("_own").cast("int")).cast("long")).withColumn("delta", F.col(value) - F.col("median"))
+    said = F.when((F.col("n") < LEAST_HISTORY) | F.col("delta").isNull(), "unknown").when(F.col("delta") <= -TOLERANCE, "regressed").when(F.col("delta") >= TOLERANCE, "improved").otherwise("steady")
+    return c.withColumn("change", said).drop("_runs", "_n", "_whole", "_own", "_a", "_a1", "_b", "_b1")
 
 
 def newest(rows: DataFrame, by: list[str], order: str, tie: str, most: int) -> DataFrame:

@@ -259,8 +259,8 @@ def repeated_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def latex_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """LaTeX of short lines with an equation planted at their end, by source: how many convert, to how many different ones."""
-    lines = _docs(spark, sf).select("source", F.explode(structure.lines_of(F.col("text"))).alias("line")).where(F.length("line") < 60)
+    """LaTeX of all lines, and of equations planted at their beginnings, by source: how many convert, to how many different ones."""
+    lines = _docs(spark, sf).select("source", F.explode(structure.lines_of(F.col("text"))).alias("line"))
     probes = lines.select("source", F.concat(F.substring("line", 1, 3), F.lit(" = α×x²")).alias("line")).unionByName(lines)
     return probes.withColumn("latex", L.to_latex(F.col("line"))).groupBy("source").agg(F.count("*").alias("n_lines"), F.count("latex").alias("n_latex"), F.count_distinct("latex").alias("n_different"), F.max("latex").alias("last"))
 
@@ -287,7 +287,8 @@ _TRIMMED = "list_filter(list_transform(string_split(text, chr(10)), lambda x: tr
 _CLAIMS = f"""passages AS (SELECT item_id AS chunk_id, text AS span, {_W(_NORM.format('text'))} AS st FROM benchmark),
   l0 AS (SELECT doc_id, source, {_TRIMMED} AS ls FROM documents), l1 AS (SELECT doc_id, source, unnest(ls) AS text, unnest(range(len(ls))) AS ord FROM l0),
   l2 AS (SELECT doc_id || '-' || ord AS claim_id, doc_id, ord, source, CASE WHEN doc_id % 7 = 0 THEN 'predicted' ELSE 'extracted' END AS kind, text, 0.5 + (doc_id % 5) / 10.0 AS confidence, {_W(_NORM.format('text'))} AS t FROM l1),
-  sc AS (SELECT claim_id, unnest({_SHINGLES.format('t')}) AS s FROM l2), sp AS (SELECT chunk_id, unnest({_SHINGLES.format('st')}) AS s FROM passages),
+  sc AS (SELECT claim_id, unnest(CASE WHEN len(t) < 5 THEN [array_to_string(t, ' ')] ELSE {_SHINGLES.format('t')} END) AS s FROM l2 WHERE len(t) > 0),
+  sp AS ({" UNION ALL ".join(f"SELECT chunk_id, unnest(list_distinct(list_transform(range(1, len(st) - {n - 2}), lambda i: array_to_string(st[i:i+{n - 1}], ' ')))) AS s FROM passages" for n in range(1, 6))}),
   sn AS (SELECT claim_id, chunk_id, count(*) AS n FROM sc JOIN sp USING (s) GROUP BY 1, 2), sb AS (SELECT claim_id, chunk_id FROM sn QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY n DESC, chunk_id) = 1),
   claims AS (SELECT l2.* EXCLUDE t, chunk_id FROM l2 LEFT JOIN sb USING (claim_id))"""
 _G = "regexp_extract_all({0}, '[a-z0-9]+(?:''[a-z0-9]+)?')"
@@ -366,7 +367,7 @@ ORACLES: dict[str, str] = {
       SELECT CASE n WHEN 1 THEN 'application/pdf' WHEN 2 THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' WHEN 3 THEN 'application/vnd.openxmlformats-officedocument.presentationml.presentation' WHEN 4 THEN 'unknown'
       ELSE CASE WHEN n = 5 OR ends_with(name, '.md') THEN 'text/markdown' ELSE 'text/plain' END END AS kind, count(*) AS n, sum(size + CASE n WHEN 1 THEN 5 WHEN 2 THEN 4 WHEN 3 THEN 4 WHEN 4 THEN 2 ELSE 0 END)::BIGINT AS bytes FROM p GROUP BY 1""",
     "repeated_lines": f"SELECT md5(line) AS line_md5, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc FROM (SELECT doc_id, unnest({_TRIMMED}) AS line FROM documents) GROUP BY 1 HAVING count(DISTINCT doc_id) > 1",
-    "latex_lines": f"""WITH l AS (SELECT source, line FROM (SELECT source, unnest({_TRIMMED}) AS line FROM documents) WHERE length(line) < 60), u AS (SELECT source, substr(line, 1, 3) || ' = α×x²' AS line FROM l UNION ALL SELECT * FROM l),
+    "latex_lines": f"""WITH l AS (SELECT source, line FROM (SELECT source, unnest({_TRIMMED}) AS line FROM documents)), u AS (SELECT source, substr(line, 1, 3) || ' = α×x²' AS line FROM l UNION ALL SELECT * FROM l),
       x AS (SELECT source, CASE WHEN starts_with(line, '$') AND ends_with(line, '$') THEN trim(trim(line, '$')) WHEN contains(line, '\\') THEN line WHEN {_EQ.format('line')} THEN trim(regexp_replace(regexp_replace(replace(replace(trim(line), 'α', ' \\alpha '), '×', ' \\times '), '²', '^{{2}}', 'g'), '\\s{{2,}}', ' ', 'g')) END AS latex FROM u)
       SELECT source, count(*) AS n_lines, count(latex) AS n_latex, count(DISTINCT latex) AS n_different, max(latex) AS last FROM x GROUP BY 1""",
     "slot_labels": f"""WITH t AS (SELECT conv_id, turn, array_to_string({_W("role || [': ', '; ', ' - ', ' — ', ' '][turn % 5 + 1] || replace(text, '.', ':')")}, ' ') AS a, array_to_string({_W('text')}, ' ') AS b FROM conversations),

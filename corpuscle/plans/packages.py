@@ -228,9 +228,8 @@ def topo_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def downstream_load(spark: SparkSession, sf: str) -> DataFrame:
-    """How many concepts each concept leads to, in acyclic graphs: edges from lesser to greater parts."""
-    e = _edges(spark, sf).where("from_id < to_id")
-    return graphs.downstream(e, _scratch)
+    """How many other concepts each concept leads to, over all edges and any number of steps."""
+    return graphs.downstream(_edges(spark, sf), _scratch)
 
 
 def gap_severity_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -308,8 +307,8 @@ ORACLES: dict[str, str] = {
       x AS (SELECT a.package_id, a.n, a.k AS i, b.k AS j FROM r a JOIN r b ON a.package_id = b.package_id AND a.k < b.k AND b.k < b.n QUALIFY row_number() OVER (PARTITION BY a.package_id ORDER BY greatest(a.p, b.p - a.p, b.t - b.p), b.k, greatest(a.p, b.p - a.p), a.k) = 1),
       s AS (SELECT r.package_id, r.k, r.p - coalesce(lag(r.p) OVER (PARTITION BY r.package_id ORDER BY r.k), 0) AS load, CASE WHEN x.i IS NULL THEN r.k - 1 ELSE (r.k > x.i)::INT + (r.k > x.j)::INT END AS band FROM r LEFT JOIN x USING (package_id))
       SELECT package_id, band::BIGINT AS band, count(*) AS n, sum(load)::BIGINT AS load FROM s GROUP BY 1, 2""",
-    "downstream_load": f"""WITH RECURSIVE {_E}, g AS (SELECT DISTINCT package_id, from_id, to_id FROM e WHERE from_id < to_id), t AS (SELECT * FROM g UNION SELECT t.package_id, t.from_id, g.to_id FROM t JOIN g ON g.package_id = t.package_id AND g.from_id = t.to_id)
-      SELECT package_id, from_id AS concept_id, count(*) AS reach FROM t GROUP BY 1, 2""",
+    "downstream_load": f"""WITH RECURSIVE {_E}, g AS (SELECT DISTINCT package_id, from_id, to_id FROM e WHERE from_id <> to_id), t AS (SELECT * FROM g UNION SELECT t.package_id, t.from_id, g.to_id FROM t JOIN g ON g.package_id = t.package_id AND g.from_id = t.to_id)
+      SELECT package_id, from_id AS concept_id, count(*) AS reach FROM t WHERE from_id <> to_id GROUP BY 1, 2""",
     "gap_severity_topk": """WITH g AS (SELECT o_custkey AS package_id, o_orderkey AS gap_id, CASE WHEN o_orderpriority LIKE '1%' THEN 'high' WHEN o_orderpriority LIKE '2%' OR o_totalprice > 300000 THEN 'medium' ELSE 'low' END AS severity, o_orderstatus = 'F' AS observed FROM orders)
       SELECT package_id, gap_id, severity, row_number() OVER (PARTITION BY package_id ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, observed DESC, gap_id) AS rank FROM g QUALIFY rank <= 10""",
     "mutation_delta": f"""WITH {_KNOWN}, m AS (SELECT package_id, count(d.concept_id)::DOUBLE / count(*) AS a, (count(d.concept_id) FILTER (ord % 2 <> 0))::DOUBLE / count(*) AS b FROM i LEFT JOIN d USING (concept_id) GROUP BY 1)
