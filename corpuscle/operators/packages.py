@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import lexicon as L
 from ..functions import text as T
@@ -305,13 +306,20 @@ def claims_of(tables: dict[str, tuple[DataFrame, str, list[str]]]) -> DataFrame:
 
 
 def duplicate_pairs(rows: DataFrame, key: str, tokens: str, threshold: float = 0.85) -> DataFrame:
-    """(package_id, a, b, similarity): pairs a < b of a package whose token sets are alike. Candidates share a token, so others never meet."""
+    """(package_id, a, b, similarity): pairs a < b of a package whose token sets are alike, by a prefix filter.
+
+    Of n tokens, rarest in the package first, two sets as alike as that share one of each one's first n - ceil(threshold n) + 1: only these
+    are join keys, so a word that all rows have brings hardly any together. Candidates are then compared whole. Rows without tokens are like none.
+    """
     t = rows.select(PACKAGE, F.col(key).alias("k"), F.array_distinct(tokens).alias("t"))
     each = t.select(PACKAGE, "k", F.size("t").alias("n"), F.explode("t").alias("token"))
-    other = each.select(PACKAGE, F.col("k").alias("b"), F.col("n").alias("nb"), "token")
-    both = each.join(other, [PACKAGE, "token"]).where("k < b").groupBy(PACKAGE, F.col("k").alias("a"), "b", "n", "nb").agg(F.count("*").alias("shared"))
-    similarity = F.col("shared") / (F.col("n") + F.col("nb") - F.col("shared"))
-    return both.select(PACKAGE, "a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
+    rare = each.groupBy(PACKAGE, "token").agg(F.count("*").alias("rows"))
+    order = F.row_number().over(Window.partitionBy(PACKAGE, "k").orderBy("rows", "token"))
+    first = each.join(rare, [PACKAGE, "token"]).withColumn("place", order).where(F.col("place") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1)
+    near = first.select(PACKAGE, F.col("k").alias("a"), "token").join(first.select(PACKAGE, F.col("k").alias("b"), "token"), [PACKAGE, "token"]).where("a < b").select(PACKAGE, "a", "b").distinct()
+    side = lambda name: t.select(PACKAGE, F.col("k").alias(name), F.col("t").alias(f"t{name}"))
+    both = near.join(side("a"), [PACKAGE, "a"]).join(side("b"), [PACKAGE, "b"]).withColumn("similarity", T.jaccard(F.col("ta"), F.col("tb")))
+    return both.select(PACKAGE, "a", "b", "similarity").where(F.col("similarity") >= threshold)
 
 
 def recount(reports: DataFrame, concepts: DataFrame, periods: DataFrame) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,13 +36,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of an iteration: a reliable checkpoint in the folder named in spark.checkpoint.dir. Where none is set, one of its own in local mode, else an error."""
-    import tempfile
-
-    context = df.sparkSession.sparkContext
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where none is set, one of its own in local mode, else an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_corpuscle_scratch", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="corpuscle-"))
-    return df.checkpoint()
+        folder = spark._corpuscle_scratch = tempfile.mkdtemp(prefix="corpuscle-")
+    return folder.rstrip("/")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Removes a scratch table when the driver ends, through the file system that holds it."""
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session may be gone already; the folder is scratch space
+        pass
+
+
+def scratch(df: DataFrame) -> DataFrame:
+    """Cuts the lineage: df is written to the shared folder as a table and read back, so that its size is known and its columns stay prunable. The table goes when the driver ends."""
+    path = f"{shared_folder(df.sparkSession)}/scratch-{uuid.uuid4().hex}"
+    atexit.register(_remove, df.sparkSession, path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
