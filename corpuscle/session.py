@@ -61,3 +61,14 @@ def scratch(df: DataFrame) -> DataFrame:
     atexit.register(_remove, df.sparkSession, path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Cuts the lineage of what many plans start from: a reliable checkpoint in the shared folder, which keeps the rows' partitioning, so that groups and joins by its key need no shuffle, and the size that Spark has planned with."""
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(spark))
+    if getattr(spark, "_corpuscle_checkpoints", None) is None:  # a folder of this application alone
+        spark._corpuscle_checkpoints = context.getCheckpointDir()
+        atexit.register(_remove, spark, spark._corpuscle_checkpoints)
+    return df.checkpoint()
