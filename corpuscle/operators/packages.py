@@ -322,6 +322,25 @@ def duplicate_pairs(rows: DataFrame, key: str, tokens: str, threshold: float = 0
     return both.select(PACKAGE, "a", "b", "similarity").where(F.col("similarity") >= threshold)
 
 
+def distinct_share(rows: DataFrame, order: str, tokens: str, threshold: float = 0.85) -> DataFrame:
+    """(package_id, n, distinct_ratio): the share of a package's rows that are no near-copy of one kept before them, in order; as text.distinct_ratio() folds it, by joins.
+
+    A later row with the same tokens is never kept, as whatever keeps out the first keeps it out, too. So only the first rows of
+    each token set are compared, by duplicate_pairs(), and only the pairs found are folded in order. Rows without tokens are like none and kept.
+    """
+    r = rows.select(PACKAGE, F.col(order).alias("k"), F.array_sort(F.array_distinct(tokens)).alias("t"))
+    sets = r.groupBy(PACKAGE, "t").agg(F.min("k").alias("k"), F.count("*").alias("copies"))
+    pairs = duplicate_pairs(sets.where(F.size("t") > 0), "k", "t", threshold)
+    listed = F.array_sort(F.collect_list(F.struct("b", "a")))
+    kind = sets.schema["k"].dataType.simpleString()
+    out = lambda gone, p: F.array_contains(gone, p["a"]) | F.array_contains(gone, p["b"])
+    gone = F.aggregate("pairs", F.array().cast(f"array<{kind}>"), lambda held, p: F.when(out(held, p), held).otherwise(F.concat(held, F.array(p["b"]))))
+    dropped = pairs.groupBy(PACKAGE).agg(listed.alias("pairs")).select(PACKAGE, F.size(gone).alias("dropped"))
+    total = sets.groupBy(PACKAGE).agg(F.sum("copies").alias("n"), F.sum(F.when(F.size("t") > 0, 1).otherwise(F.col("copies"))).alias("kept"))
+    ratio = (F.col("kept") - F.coalesce("dropped", F.lit(0))) / F.col("n")
+    return total.join(dropped, PACKAGE, "left").select(PACKAGE, "n", ratio.alias("distinct_ratio"))
+
+
 def recount(reports: DataFrame, concepts: DataFrame, periods: DataFrame) -> DataFrame:
     """Published numbers (package_id, concepts_taught) beside those counted again, and whether they agree."""
     taught = concepts.select(PACKAGE, "concept_id").distinct().join(members(periods, "concept_ids", "concept_id"), [PACKAGE, "concept_id"], "left_semi").groupBy(PACKAGE).agg(F.count("*").alias("counted"))

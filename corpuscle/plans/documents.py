@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import lexicon as L
 from ..functions import text as T
-from ..operators import grounding, structure
+from ..operators import grounding, packages, structure
 from ..session import scratch, table
 from ..sources import files
 
@@ -160,11 +160,9 @@ NEAR_DUPLICATE = 0.85
 
 
 def near_dup_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    """Share of a conversation's turns that repeat no earlier kept one, by a fold in order."""
-    t = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns"))
-    lists = F.transform("turns", lambda x: T.blank_tokens(F.lower(x["text"])))
-    t = t.select("conv_id", F.explode(F.array(F.struct(lists.alias("lists")))).alias("x"))  # split once, not for each comparison
-    return t.select("conv_id", F.round(T.distinct_ratio(F.col("x.lists"), NEAR_DUPLICATE), 6).alias("distinct_ratio"))
+    """Share of a conversation's turns that repeat no earlier kept one, in order."""
+    t = table(spark, sf, "conversations").select(F.col("conv_id").alias("package_id"), F.struct("turn", "text").alias("place"), T.blank_tokens(F.lower("text")).alias("tokens"))
+    return packages.distinct_share(t, "place", "tokens", NEAR_DUPLICATE).select(F.col("package_id").alias("conv_id"), F.round("distinct_ratio", 6).alias("distinct_ratio"))
 
 
 def evidence_audit(spark: SparkSession, sf: str) -> DataFrame:
@@ -348,6 +346,8 @@ ORACLES: dict[str, str] = {
     "lexical_overlap": f"WITH {_CLAIMS}, t AS (SELECT claim_id, chunk_id, {_W(_NORM.format('text'))} AS a, st AS b FROM claims JOIN passages USING (chunk_id)) SELECT claim_id, chunk_id, round({_OVERLAP.format(a='a', b='b')}, 6) AS overlap FROM t",
     "jaccard_pairs": f"""WITH t AS (SELECT conv_id, turn, list_distinct({_W('lower(text)')}) AS t FROM conversations), p AS (SELECT conv_id, turn, t, lag(t) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM t)
       SELECT conv_id, turn, round(coalesce(len(list_intersect(b, t))::DOUBLE / nullif(len(list_distinct(list_concat(b, t))), 0), 0), 6) AS similarity FROM p WHERE b IS NOT NULL""",
+    "near_dup_ratio": f"""WITH t AS (SELECT conv_id, list(list_distinct({_W('lower(text)')}) ORDER BY turn, text) AS ls FROM conversations GROUP BY 1)
+      SELECT conv_id, round(len(list_reduce(list_transform(ls, lambda t: [t]), lambda k, t: CASE WHEN len(list_filter(k, lambda h: coalesce(len(list_intersect(h, t[1]))::DOUBLE / nullif(len(list_distinct(list_concat(h, t[1]))), 0), 0) >= 0.85)) > 0 THEN k ELSE list_concat(k, t) END))::DOUBLE / len(ls), 6) AS distinct_ratio FROM t""",
     "evidence_audit": f"""WITH {_CLAIMS}, n AS (SELECT c.*, p.span IS NULL AS lost, {_NORM.format('c.text')} AS q, {_NORM.format("coalesce(p.span, '')")} AS s FROM claims c LEFT JOIN passages p USING (chunk_id)),
       f AS (SELECT *, CASE WHEN lost THEN 'unresolved' WHEN length(q) < 8 THEN 'short' WHEN contains(s, q) THEN 'verbatim' WHEN {_OVERLAP.format(a=_W('q'), b=_W('s'))} >= 0.88 THEN 'fuzzy' ELSE 'missing' END AS found FROM n)
       SELECT source, found, count(*) AS n, round(sum(CASE WHEN found = 'verbatim' THEN confidence WHEN found = 'fuzzy' THEN least(confidence, 0.7) END::DOUBLE), 6) AS confidence FROM f GROUP BY 1, 2""",

@@ -179,7 +179,7 @@ def test_nearest_chunk(spark):
     chunks = spark.createDataFrame([(1, "a b c d e f g"), (2, "c d e f g h i j"), (3, "a b c d e f g"), (4, "short one")], "chunk_id int, text string")
     claims = spark.createDataFrame([(1, "x a b c d e y"), (2, "C d  E f g h i"), (3, "nothing shared with any of them"), (4, "short one"), (5, None)], "claim_id int, text string")
     got = grounding.nearest_chunk(grounding.tokenised(claims, "text", "claim"), grounding.tokenised(chunks, "text", "span"))
-    assert {r.claim_id: r.chunk_id for r in got.collect()} == {1: 1, 2: 2, 3: None, 4: None, 5: None}
+    assert {r.claim_id: r.chunk_id for r in got.collect()} == {1: 1, 2: 2, 3: None, 4: 4, 5: None}
 
 
 def test_ranks_gather_no_group(spark):
@@ -208,8 +208,56 @@ def test_history(spark):
     h = spark.createDataFrame([("p", float(x)) for x in (10, 20, 30, 40, 50)] + [("q", 1.0), ("p", None)], "profile string, score double")
     d = {r.profile: r for r in scoring.distribution(h, ["profile"], "score").collect()}
     assert (d["p"].n, d["p"].median, d["p"].p25, d["p"].p75, d["p"].sufficient) == (5, 30.0, 20.0, 40.0, True) and not d["q"].sufficient
-    now = spark.createDataFrame([("p", 24.0), ("q", 50.0), ("z", 3.0)], "profile string, score double")
-    assert {r.profile: r.change for r in scoring.compare(now, h, ["profile"], "score").collect()} == {"p": "regressed", "q": "unknown", "z": "unknown"}
+
+
+def test_compare_leaves_the_run_itself_out_and_looks_back_so_far(spark):
+    import statistics
+
+    rng = random.Random(3)
+    runs = [(p, i, float(rng.randrange(40)) if rng.random() > 0.2 else None, i // 2) for p, n in (("p", 60), ("q", 5), ("r", 6), ("s", 1)) for i in range(n)]
+    h = spark.createDataFrame(runs, "profile string, run_id long, score double, evaluated_at long")
+    for most in (1000, 7):
+        got = {(r.profile, r.run_id): r for r in scoring.compare(h.drop("evaluated_at").union(spark.createDataFrame([("p", 999, 20.0), ("z", 999, 1.0)], h.drop("evaluated_at").schema)), h, ["profile"], "score", most).collect()}
+        for profile, run, value, _ in [*runs, ("p", 999, 20.0, None), ("z", 999, 1.0, None)]:
+            window = sorted((r for r in runs if r[0] == profile), key=lambda r: (-r[3], -r[1]))[:most]
+            others = [r for r in window if r[1] != run]
+            values = [r[2] for r in others if r[2] is not None]
+            r = got[profile, run]
+            assert r.n == len(others) and r.median == (pytest.approx(statistics.median(values)) if values else None)
+            if len(others) < 5 or value is None or not values:
+                assert r.change == "unknown"
+            else:
+                d = value - statistics.median(values)
+                assert r.change == ("regressed" if d <= -5 else "improved" if d >= 5 else "steady")
+
+
+def test_load_is_transitive_whatever_the_cycles(spark):
+    rng = random.Random(9)
+    pairs = [(g, rng.randrange(12), rng.randrange(12)) for g in range(6) for _ in range(5 + 4 * g)]
+    reach = {}
+    for g in range(6):
+        follow = {}
+        for h, a, b in pairs:
+            if h == g and a != b:
+                follow.setdefault(a, set()).add(b)
+        for start in follow:
+            seen, left = set(), [start]
+            while left:
+                for b in follow.get(left.pop(), ()):
+                    if b not in seen:
+                        seen.add(b)
+                        left.append(b)
+            reach[g, start] = len(seen - {start})
+    df = spark.createDataFrame(pairs, "package_id long, from_id long, to_id long")
+    assert {(r.package_id, r.concept_id): r.reach for r in graphs.downstream(df, _scratch).collect()} == reach
+
+
+def test_short_claims_find_the_smallest_chunk_that_holds_them(spark):
+    chunks = spark.createDataFrame([(2, "We know that nuclear fission splits atoms in two."), (1, "Other nuclear fission"), (3, "nuclear fission splits atoms in")], "chunk_id long, text string")
+    claims = ["nuclear fission splits atoms", "Nuclear fission", "atoms", "in", "splits nuclear", "", None, "nuclear fission splits atoms in"]
+    c = grounding.tokenised(spark.createDataFrame(list(enumerate(claims)), "claim_id long, text string"), "text", "claim")
+    got = {r.claim_id: r.chunk_id for r in grounding.nearest_chunk(c, grounding.tokenised(chunks, "text", "span")).collect()}
+    assert got == {0: 2, 1: 1, 2: 2, 3: 3, 4: None, 5: None, 6: None, 7: 3}
 
 
 def test_sources(spark, tmp_path):
