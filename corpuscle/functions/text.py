@@ -87,7 +87,7 @@ def distinct_ratio(token_lists: Column, threshold: float) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, SENTENCE_END), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, SENTENCE_END), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def syllables(word: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import allocation as A
+from ..operators import assembly as B
 from ..operators import structure
 from ..session import table
 
@@ -82,6 +83,45 @@ def turn_seams(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("conv_id", "turn", structure.seam_length(F.col("text"), F.col("before"), 60).cast("long").alias("seam"))
 
 
+def _drafts(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines with their parts' names, and a blank text where a remainder says so."""
+    return _lines(spark, sf).join(table(spark, sf, "part").select(F.col("p_partkey").alias("part"), "p_name", "p_type", "p_brand"), "part")
+
+
+def _blank(when, text):
+    return F.when(when, F.lit("  ")).otherwise(text)
+
+
+def assembled_activities(spark: SparkSession, sf: str) -> DataFrame:
+    """Activities of every line's slot and draft, with what was derived."""
+    d, c = _drafts(spark, sf), F.col
+    return B.activities(d.select(
+        "package_id", F.concat(F.lit("a"), "ord").alias("activity_id"), F.lit("gallery_walk").alias("type"), (c("q") % 12).cast("int").alias("minutes"), F.concat(F.lit("Lesson "), "period_no").alias("period_title"), F.when(c("part") % 4 != 0, F.array("p_name", "p_type")).alias("names"),
+        _blank(c("supp") % 3 == 0, F.lit(" Walk ")).alias("title"), F.array(_blank(c("q") % 2 == 0, F.lit(" Go ")), F.lit("")).alias("steps"), F.when(c("q") % 3 != 0, F.array(F.lit("Said"))).alias("criteria"), _blank(c("part") % 5 == 0, c("p_brand")).alias("support"), F.when(c("part") % 7 != 0, c("p_type")).alias("extension"),
+    )).select("package_id", "activity_id", "title", F.array_join("steps", "|").alias("steps"), F.array_join("criteria", "|").alias("criteria"), "support", "extension", F.array_join("notes", ",").alias("notes"))
+
+
+def assembled_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Gaps of every line's seed and draft, with what was derived, or why there is none."""
+    d, c = _drafts(spark, sf), F.col
+    return B.gaps(d.select(
+        "package_id", c("ord").alias("gap_id"), F.when(c("part") % 3 != 0, c("p_type")).alias("known"), _blank(c("supp") % 2 == 0, c("p_brand")).alias("correction"), _blank(c("part") % 2 == 0, c("p_name")).alias("misconception"),
+        F.array(F.struct(_blank(c("q") % 5 == 0, F.lit("Why?")).alias("question"), _blank(c("q") % 2 == 0, F.lit("r")).alias("reveals"), F.lit(" ").alias("wrong"))).alias("diagnostics"),
+        F.array(F.struct(_blank(c("q") % 3 == 0, F.lit("Do")).alias("action"), F.lit(None).cast("string").alias("rationale"), (c("q") % 4).cast("int").alias("minutes"))).alias("remediation"),
+    )).select("package_id", "gap_id", "refused", "misconception", F.array_join(F.transform("diagnostics", lambda x: x["reveals"]), "|").alias("reveals"), F.array_join(F.transform("remediation", lambda x: F.concat_ws(":", x["action"], x["rationale"], x["minutes"].cast("string"))), "|").alias("steps"), F.array_join("notes", ",").alias("notes"))
+
+
+def assembled_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Constructed items of every line's spec and draft, with the ladder or the draft's levels, or why there is none."""
+    d, c = _drafts(spark, sf), F.col
+    level = lambda label, text, marks: F.struct(F.lit(label).alias("label"), text.alias("descriptor"), marks.cast("int").alias("marks"))
+    levels = F.slice(F.array(level("top", c("p_name"), c("q") % 4 + 2), level("low", _blank(c("supp") % 4 == 0, c("p_type")), c("part") % 3), level("none", F.lit("x"), F.lit(-1))), F.lit(1), (c("supp") % 3 * 2).cast("int"))
+    return B.constructed_items(d.select(
+        "package_id", c("ord").alias("item_id"), F.when(c("q") % 2 == 0, "numerical").otherwise("long_answer").alias("kind"), (c("q") % 6 + 2).cast("int").alias("marks"), _blank(c("part") % 11 == 0, c("p_name")).alias("stem"), _blank(c("part") % 13 == 0, c("p_type")).alias("answer"),
+        F.when(c("q") % 4 == 0, F.lit("w")).alias("working"), F.when(c("supp") % 5 == 0, F.lit("c")).alias("criteria"), levels.alias("levels"),
+    )).select("package_id", "item_id", "refused", "criteria", F.array_join(F.transform("levels", lambda x: F.concat_ws(":", x["label"], x["descriptor"], x["marks"].cast("string"))), "|").alias("levels"), F.array_join("notes", ",").alias("notes"))
+
+
 _L = """l AS (SELECT l_orderkey AS package_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ord, l_partkey AS part, l_suppkey AS supp, l_quantity::BIGINT AS q, (30 + l_orderkey % 4 * 10)::INT AS duration FROM lineitem),
   p AS (SELECT *, (ord + 3) // 4 AS period_no FROM l)"""
 _LINES = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
@@ -102,8 +142,22 @@ ORACLES: dict[str, str] = {
       SELECT kind, count(*) AS n, count(DISTINCT doc_id) AS n_docs, sum(chars)::BIGINT AS chars FROM p WHERE chars < CASE kind WHEN 'sparse' THEN 30 WHEN 'dense' THEN 90 ELSE 60 END AND chars / area < 3 AND image >= 0.55 GROUP BY 1""",
     "ragged_tables": f"""WITH d AS (SELECT doc_id, list_transform({_LINES}, lambda x: string_split(x, ' ')) AS r FROM documents), w AS (SELECT doc_id, len(r[1]) AS width, r FROM d WHERE len(r) > 0), t AS (SELECT doc_id, width, len(r) AS n_rows, flatten(list_transform(r, lambda x: list_concat(x, list_resize(['']::VARCHAR[], width, ''))[1:width])) AS c FROM w)
       SELECT doc_id, width, n_rows, len(list_filter(c, lambda x: x = '')) AS n_empty, md5(array_to_string(c, '|')) AS cells_md5 FROM t""",
+    "assembled_activities": f"""WITH {_L}, d AS (SELECT *, CASE WHEN part % 4 <> 0 THEN p_name || ', ' || p_type ELSE 'Lesson ' || period_no END AS s, CASE WHEN part % 4 <> 0 THEN p_name ELSE 'Lesson ' || period_no END AS s1 FROM p JOIN part ON p_partkey = part)
+      SELECT package_id, 'a' || ord AS activity_id, CASE WHEN supp % 3 = 0 THEN 'Gallery Walk: ' || s ELSE 'Walk' END AS title, CASE WHEN q % 2 = 0 THEN 'Prepare the gallery walk on ' || s || '|Let it run ' || greatest(q % 12 - 4, 1) || ' minutes and listen at each table|Collect two answers on ' || s || ' and correct one mistake' ELSE 'Go' END AS steps,
+        CASE WHEN q % 3 = 0 THEN 'Every group says in its own words what ' || s1 || ' is|Every group hands its result in on time' ELSE 'Said' END AS criteria, CASE WHEN part % 5 = 0 THEN 'Show one finished example of ' || s ELSE p_brand END AS support, CASE WHEN part % 7 = 0 THEN 'Find a case in which ' || s || ' comes out differently' ELSE p_type END AS extension,
+        concat_ws(',', CASE WHEN q % 2 = 0 THEN 'STEPS_DERIVED' END, CASE WHEN q % 3 = 0 THEN 'CRITERIA_DERIVED' END, CASE WHEN part % 5 = 0 OR part % 7 = 0 THEN 'SCAFFOLD_DERIVED' END) AS notes FROM d""",
+    "assembled_gaps": f"""WITH {_L}, d AS (SELECT *, CASE WHEN part % 2 <> 0 THEN p_name WHEN part % 3 <> 0 THEN p_type END AS m FROM p JOIN part ON p_partkey = part),
+      e AS (SELECT *, CASE WHEN m IS NULL THEN 'NO_MISCONCEPTION' WHEN q % 5 = 0 THEN 'NO_DIAGNOSTIC' WHEN q % 3 = 0 AND supp % 2 = 0 THEN 'NO_REMEDIATION' END AS refused FROM d)
+      SELECT package_id, ord AS gap_id, refused, CASE WHEN refused IS NULL THEN m END AS misconception, CASE WHEN refused IS NULL THEN CASE WHEN q % 2 = 0 THEN 'Still believes: ' || m ELSE 'r' END END AS reveals,
+        CASE WHEN refused IS NULL THEN CASE WHEN q % 3 = 0 THEN p_brand || ':The source corrects it so' ELSE concat_ws(':', 'Do', 'Answers: ' || m, CASE WHEN q % 4 >= 1 THEN q % 4 END) END END AS steps, CASE WHEN refused IS NULL AND q % 3 = 0 THEN 'CORRECTION_USED' ELSE '' END AS notes FROM e""",
+    "assembled_items": f"""WITH {_L}, d AS (SELECT *, q % 6 + 2 AS marks, part % 11 = 0 OR part % 13 = 0 AS lost, supp % 3 AS k, q % 4 + 2 AS top, part % 3 AS low FROM p JOIN part ON p_partkey = part),
+      e AS (SELECT *, CASE WHEN k = 0 THEN 'LADDER_FOR_NONE' WHEN supp % 4 = 0 OR top = low THEN 'LADDER_FOR_EQUAL' WHEN greatest(top, low) > marks THEN 'LADDER_FOR_EXCESS' END AS why FROM d),
+      f AS (SELECT *, list_transform(CASE WHEN marks >= 6 THEN [1, 0.75, 0.5, 0.25]::DOUBLE[] WHEN marks >= 3 THEN [1, 0.6, 0.3]::DOUBLE[] ELSE [1, 0.5]::DOUBLE[] END, lambda s: round_even(marks * s, 0)::INT) AS ms FROM e)
+      SELECT package_id, ord AS item_id, CASE WHEN lost THEN 'NO_TEXT' END AS refused, CASE WHEN NOT lost THEN CASE WHEN supp % 5 = 0 THEN 'c' ELSE 'How right and whole the answer is to: ' || p_name END END AS criteria,
+        CASE WHEN NOT lost THEN CASE WHEN why IS NULL THEN 'top:' || p_name || ':' || top || '|low:' || p_type || ':' || low ELSE array_to_string(list_transform(range(1, len(ms) + 1), lambda i: (['complete', 'mostly there', 'begun', 'barely begun'])[i] || CASE WHEN i = 1 THEN ':Gives in full: ' ELSE ':Gives ' || ms[i] || ' marks'' worth of: ' END || p_type || ':' || ms[i]), '|') END END AS levels,
+        CASE WHEN lost THEN '' ELSE concat_ws(',', why, CASE WHEN q % 2 = 0 AND q % 4 <> 0 THEN 'NO_WORKING' END) END AS notes FROM f""",
     "turn_seams": """WITH t AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn, text) AS b FROM conversations), u AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN right(b, 7 + turn) || text ELSE text END AS t, b FROM t WHERE b IS NOT NULL)
       SELECT conv_id, turn, coalesce(list_max(list_filter(range(0, least(length(t), length(b), 60) + 1), lambda n: right(b, n) = t[1:n] OR n = 0)), 0)::BIGINT AS seam FROM u""",
 }
 
-QUERIES = {f.__name__: f for f in (script_timeline, activity_plan, rebuilt_items, rubric_ladders, body_sizes, picture_pages, ragged_tables, turn_seams)}
+QUERIES = {f.__name__: f for f in (script_timeline, activity_plan, rebuilt_items, rubric_ladders, body_sizes, picture_pages, ragged_tables, turn_seams, assembled_activities, assembled_gaps, assembled_items)}

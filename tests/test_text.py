@@ -69,3 +69,14 @@ def test_headings_and_equations(spark):
     assert level("Electric Charge", bold=F.lit(True)) == 2 and level("Electric Charge.", bold=F.lit(True)) is None
     eq = lambda t: one(spark, T.is_equation(F.col("t")), t=t)
     assert eq("F = ma") and eq("$x$") and eq("α ≤ β") and not eq("the sum of a and b = c is that") and not eq("plain words")
+
+
+def test_lines_and_sentences_keep_their_digits(spark):
+    """Only blanks are cut at the ends, whatever a line's number."""
+    from corpuscle.functions import text as T
+    from corpuscle.operators import structure
+
+    df = spark.createDataFrame([("0 zero 0\n  1 one 1 \n\n \n3 three 3. 4 four 4!  5 five 5",)], "t string")
+    r = df.select(structure.lines_of(df.t).alias("l"), T.sentences(df.t).alias("s")).first()
+    assert r.l == ["0 zero 0", "1 one 1", "3 three 3. 4 four 4!  5 five 5"]
+    assert r.s == ["0 zero 0", "1 one 1", "3 three 3", "4 four 4", "5 five 5"]
