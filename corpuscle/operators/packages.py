@@ -309,10 +309,10 @@ def duplicate_pairs(rows: DataFrame, key: str, tokens: str, threshold: float = 0
     """(package_id, a, b, similarity): pairs a < b of a package whose token sets are alike, by a prefix filter.
 
     Of n tokens, rarest in the package first, two sets as alike as that share one of each one's first n - ceil(threshold n) + 1: only these
-    are join keys, so a word that all rows have brings hardly any together. Candidates are then compared whole. Rows without tokens are like none.
+    are join keys, as hashes, so a word that all rows have brings hardly any together. Candidates are then compared whole. Rows without tokens are like none. Keys should be small.
     """
     t = rows.select(PACKAGE, F.col(key).alias("k"), F.array_distinct(tokens).alias("t"))
-    each = t.select(PACKAGE, "k", F.size("t").alias("n"), F.explode("t").alias("token"))
+    each = t.select(PACKAGE, "k", F.size("t").alias("n"), F.explode(F.transform("t", lambda x: F.xxhash64(x))).alias("token"))
     rare = each.groupBy(PACKAGE, "token").agg(F.count("*").alias("rows"))
     order = F.row_number().over(Window.partitionBy(PACKAGE, "k").orderBy("rows", "token"))
     first = each.join(rare, [PACKAGE, "token"]).withColumn("place", order).where(F.col("place") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1)

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import lexicon as L
 from ..functions import text as T
-from ..operators import grounding, packages, structure
+from ..operators import grounding, packages, retrieval, structure
 from ..session import scratch, table
 from ..sources import files
 
@@ -161,10 +161,21 @@ NEAR_DUPLICATE = 0.85
 
 def near_dup_ratio(spark: SparkSession, sf: str) -> DataFrame:
     """Share of a conversation's turns that repeat no earlier kept one, in order."""
-    t = table(spark, sf, "conversations").select(F.col("conv_id").alias("package_id"), F.struct("turn", "text").alias("place"), T.blank_tokens(F.lower("text")).alias("tokens"))
+    among = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("text"))  # rows of one turn, as a rule one
+    t = table(spark, sf, "conversations").select(F.col("conv_id").alias("package_id"), F.struct("turn", among.alias("among")).alias("place"), T.blank_tokens(F.lower("text")).alias("tokens"))
     return packages.distinct_share(t, "place", "tokens", NEAR_DUPLICATE).select(F.col("package_id").alias("conv_id"), F.round("distinct_ratio", 6).alias("distinct_ratio"))
 
 
+def hybrid_retrieval(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten documents that each benchmark passage is closest to by words and by vectors: a passage's and a document's vector are those of their numbers."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), T.word_tokens(F.lower("text")).alias("tokens"))
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), T.word_tokens(F.lower("text")).alias("tokens"))
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    asked = v.join(q.select(F.col("query_id").alias("id")), "id").select(F.col("id").alias("query_id"), "v")
+    found = retrieval.fused([retrieval.lexical_ranks(d, q), retrieval.vector_ranks(v, asked)])
+    return found.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 9).alias("score"), F.col("rank").cast("long"))
+
+
 def evidence_audit(spark: SparkSession, sf: str) -> DataFrame:
     """What became of each line as a quote: unresolved, short, verbatim, fuzzy or missing, by source."""
     found = grounding.audit(*_claims(spark, sf))
@@ -348,6 +359,13 @@ ORACLES: dict[str, str] = {
       SELECT conv_id, turn, round(coalesce(len(list_intersect(b, t))::DOUBLE / nullif(len(list_distinct(list_concat(b, t))), 0), 0), 6) AS similarity FROM p WHERE b IS NOT NULL""",
     "near_dup_ratio": f"""WITH t AS (SELECT conv_id, list(list_distinct({_W('lower(text)')}) ORDER BY turn, text) AS ls FROM conversations GROUP BY 1)
       SELECT conv_id, round(len(list_reduce(list_transform(ls, lambda t: [t]), lambda k, t: CASE WHEN len(list_filter(k, lambda h: coalesce(len(list_intersect(h, t[1]))::DOUBLE / nullif(len(list_distinct(list_concat(h, t[1]))), 0), 0) >= 0.85)) > 0 THEN k ELSE list_concat(k, t) END))::DOUBLE / len(ls), 6) AS distinct_ratio FROM t""",
+    "hybrid_retrieval": """WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+(?:[-''][a-z0-9]+)*') AS t FROM documents), n AS (SELECT id, len(t) AS n, t FROM d WHERE len(t) > 0), g AS (SELECT count(*) AS docs, avg(n) AS mean FROM n),
+      q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+(?:[-''][a-z0-9]+)*')) AS w FROM benchmark), p AS (SELECT id, n, w, count(*) AS tf FROM (SELECT id, n, unnest(t) AS w FROM n) WHERE w IN (SELECT w FROM q) GROUP BY 1, 2, 3),
+      f AS (SELECT w, ln(1 + (docs - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf, any_value(mean) AS mean FROM p, g GROUP BY w, docs),
+      l AS (SELECT item_id, id, sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean))) AS s FROM p JOIN f USING (w) JOIN q USING (w) GROUP BY 1, 2),
+      c AS (SELECT a.vec_id AS item_id, b.vec_id AS id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN benchmark ON item_id = a.vec_id, embeddings b),
+      r AS (SELECT item_id, id, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 9) DESC, id) AS r FROM l UNION ALL SELECT item_id, id, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 9) DESC, id) FROM c),
+      u AS (SELECT item_id, id, sum(1.0::DOUBLE / (60 + r)) AS s FROM r WHERE r <= 100 GROUP BY 1, 2) SELECT item_id, id AS doc_id, round(s, 9) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 9) DESC, id) AS rank FROM u QUALIFY rank <= 10""",
     "evidence_audit": f"""WITH {_CLAIMS}, n AS (SELECT c.*, p.span IS NULL AS lost, {_NORM.format('c.text')} AS q, {_NORM.format("coalesce(p.span, '')")} AS s FROM claims c LEFT JOIN passages p USING (chunk_id)),
       f AS (SELECT *, CASE WHEN lost THEN 'unresolved' WHEN length(q) < 8 THEN 'short' WHEN contains(s, q) THEN 'verbatim' WHEN {_OVERLAP.format(a=_W('q'), b=_W('s'))} >= 0.88 THEN 'fuzzy' ELSE 'missing' END AS found FROM n)
       SELECT source, found, count(*) AS n, round(sum(CASE WHEN found = 'verbatim' THEN confidence WHEN found = 'fuzzy' THEN least(confidence, 0.7) END::DOUBLE), 6) AS confidence FROM f GROUP BY 1, 2""",
@@ -382,6 +400,6 @@ ORACLES: dict[str, str] = {
 
 QUERIES = {f.__name__: f for f in (
     scan_dedup_sha256, line_blocks, block_stats, heading_infer, section_path, chunk_fixed_budget, token_estimate, tokens_ascii, word_count_nfkd, sentence_stats, long_word_share,
-    readability_band, equation_lines, contains_verbatim, lexical_overlap, jaccard_pairs, near_dup_ratio, evidence_audit, contradiction_gate, grounding_prefilter, grounding_score,
+    readability_band, equation_lines, contains_verbatim, lexical_overlap, jaccard_pairs, near_dup_ratio, hybrid_retrieval, evidence_audit, contradiction_gate, grounding_prefilter, grounding_score,
     grounding_issues, citation_index, secret_scan, mime_sniff, repeated_lines, latex_lines, slot_labels, document_sample,
 )}
