@@ -54,7 +54,7 @@ def semi_objective_assessed(spark: SparkSession, sf: str) -> DataFrame:
 def prereq_violations(spark: SparkSession, sf: str) -> DataFrame:
     """Consecutive items of a package whose concept is scheduled in an earlier period than its predecessor's (the first period of a concept counts)."""
     items = _items(spark, sf)
-    period = items.groupBy("package_id", "concept_id").agg(F.min_by("period", F.col("ord") * 1000000 + F.col("period")).alias("p"))
+    period = items.groupBy("package_id", "concept_id").agg(F.min_by("period", F.struct("ord", "period")).alias("p"))
     w = Window.partitionBy("package_id").orderBy("ord", "concept_id", "period")
     edges = items.select("package_id", F.col("concept_id").alias("to_id"), F.lag("concept_id").over(w).alias("from_id")).where("from_id is not null and from_id <> to_id").distinct()
     a = period.select("package_id", F.col("concept_id").alias("from_id"), F.col("p").alias("p_from"))
@@ -272,7 +272,7 @@ ORACLES: dict[str, str] = {
     "anti_untaught": f"WITH {_I} SELECT concept_id, name FROM c WHERE concept_id NOT IN (SELECT concept_id FROM i WHERE status = 'F' AND marks >= 45)",
     "dangling_refs": f"WITH {_KNOWN} SELECT package_id, count(*) AS n_dangling, min(concept_id) AS first_concept FROM i WHERE concept_id NOT IN (SELECT concept_id FROM d) GROUP BY 1",
     "semi_objective_assessed": f"WITH {_I} SELECT o_orderstatus, count(*) AS n_packages FROM orders WHERE o_orderkey IN (SELECT package_id FROM i JOIN c USING (concept_id) WHERE status = 'F' AND importance = 'core') GROUP BY 1",
-    "prereq_violations": f"""WITH {_I}, p AS (SELECT package_id, concept_id, arg_min(period, ord * 1000000 + period) AS p FROM i GROUP BY 1, 2),
+    "prereq_violations": f"""WITH {_I}, p AS (SELECT package_id, concept_id, arg_min(period, (ord, period)) AS p FROM i GROUP BY 1, 2),
       e AS (SELECT DISTINCT * FROM (SELECT package_id, concept_id AS to_id, lag(concept_id) OVER (PARTITION BY package_id ORDER BY ord, concept_id, period) AS from_id FROM i) WHERE from_id IS NOT NULL AND from_id <> to_id)
       SELECT e.package_id, count(*) AS n_edges, count(*) FILTER (a.p > b.p) AS n_violations FROM e JOIN p a ON a.package_id = e.package_id AND a.concept_id = from_id JOIN p b ON b.package_id = e.package_id AND b.concept_id = to_id GROUP BY 1""",
     "dup_concepts": f"WITH {_I} SELECT lower(name) AS key, count(*) AS n, min(concept_id) AS first_id, max(concept_id) AS last_id FROM c GROUP BY 1 HAVING count(*) > 1",
