@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that define QUERIES and ORACLES.
-MODULES: tuple[str, ...] = ("corpuscle.plans.documents", "corpuscle.plans.packages", "corpuscle.plans.teaching", "corpuscle.plans.rubric", "corpuscle.plans.planning", "corpuscle.plans.operations")
+MODULES: tuple[str, ...] = ("corpuscle.plans.documents", "corpuscle.plans.packages", "corpuscle.plans.teaching", "corpuscle.plans.rubric", "corpuscle.plans.planning", "corpuscle.plans.runs", "corpuscle.plans.operations")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
