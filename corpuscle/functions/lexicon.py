@@ -70,6 +70,16 @@ GENERIC_SCRIPT = (
     "facilitate a discussion", "guide the students", "guide students through", "help students understand", "check for understanding", "build on prior knowledge",
     "activate prior knowledge", "take a moment", "spend some time",
 )
+#: Equipment that an ordinary classroom lacks (fixed values).
+EXOTIC_MATERIALS = (
+    "oscilloscope", "spectrophotometer", "centrifuge", "3d printer", "vr headset", "virtual reality", "arduino", "raspberry pi", "microcontroller", "laser cutter", "smart board", "smartboard",
+    "interactive whiteboard", "one laptop per student", "laptop per student", "tablet per student", "one tablet per", "class set of laptops", "class set of tablets", "drone", "photogate",
+    "data logger", "motion sensor", "force sensor", "wind tunnel", "kiln", "telescope", "microscope slide kit", "liquid nitrogen", "bunsen burner per student",
+)
+#: Words of a title that name a place in a book (fixed values).
+PLACES_IN_BOOKS = (
+    "chapter unit lesson section module part book volume page topic exercise introduction revision appendix syllabus curriculum textbook chapters units lessons"
+).split()
 #: Verbs that open an instruction to a teacher (fixed values).
 IMPERATIVES = (
     "ask tell say state write draw sketch label annotate underline circle highlight show display project point read recap review summarise summarize introduce explain "
