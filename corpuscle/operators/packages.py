@@ -276,17 +276,19 @@ def sequencing_dimension(concepts: DataFrame, periods: DataFrame, edges: DataFra
 
 
 def differentiation_dimension(activities: DataFrame, concepts: DataFrame) -> DataFrame:
-    """Rubric: support and extension are both there, specific, different, and the extension is more than more of the same."""
+    """Rubric: support and extension are both there, specific, different, the extension is more than more of the same, and neither is an earlier activity's (by the order of activity_id)."""
     a = activities.join(vocabularies(concepts), PACKAGE)
     text = lambda c: F.coalesce(F.trim(F.col(c)), F.lit(""))
     made = lambda c: F.struct(T.simple_normalise(text(c)).alias("norm"), T.word_tokens(T.simple_normalise(text(c))).alias("tokens"))
     a = a.withColumn("_s", F.explode(F.array(made("support")))).withColumn("_e", F.explode(F.array(made("extension"))))
     value = lambda c, t: L.specificity(text(c), F.col(f"{t}.norm"), F.col(f"{t}.tokens"), F.col("vocabulary"))
     alike = T.jaccard(F.array_distinct("_s.tokens"), F.array_distinct("_e.tokens")) >= 0.7
-    return mean_of(a, "differentiation", {
+    own = mean_of(a, "differentiation", {
         "present": (0.15, (filled(F.col("support")) & filled(F.col("extension"))).cast("double")), "specific": (0.40, (value("support", "_s") + value("extension", "_e")) / 2),
         "support_differs_from_extension": (0.15, (~alike).cast("double")), "extension_deepens": (0.15, (~L.any_phrase(F.col("_e.norm"), L.VOLUME_ONLY)).cast("double")),
     })
+    each = [distinct_share(activities.select(PACKAGE, "activity_id", T.word_tokens(T.simple_normalise(text(c))).alias("t")), "activity_id", "t") for c in ("support", "extension")]
+    return own.unionByName(ratio_of(each[0].unionByName(each[1]), "differentiation", "distinct_across_activities", 0.15, F.sum("distinct_ratio"), F.count("*")))
 
 
 def dimensions(measures: DataFrame) -> DataFrame:
