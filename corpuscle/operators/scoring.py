@@ -83,19 +83,20 @@ def distribution(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return d.select(*by, "n", (0.5 * F.col("_low") + 0.5 * F.col("_high")).alias("median"), "min", "max", "p25", "p75", (F.col("n") >= LEAST_HISTORY).alias("sufficient"))
 
 
-def compare(current: DataFrame, history: DataFrame, by: list[str], value: str, most: int = 1000, order: str = "evaluated_at", tie: str = "run_id") -> DataFrame:
-    """Current runs (by, tie, value) against the median of their group's `most` newest runs, themselves left out: delta and regressed, improved, steady or (fewer than five other runs) unknown.
+def compare(current: DataFrame, history: DataFrame, by: list[str], value: str, most: int | None = None, order: str = "evaluated_at", tie: str = "run_id") -> DataFrame:
+    """Current runs (by, tie, value) against the median of their group's runs (of the `most` newest, where given), themselves left out: delta and regressed, improved, steady or (fewer than five other runs) unknown.
 
-    A group's runs become one sorted array of at most `most` values, from which one value more or less is told by the
-    four in the middle, so that every run of a group is compared without itself in one pass.
+    One value more or less is told by the values in the middle of a group, which are found by places over ranges of its values, so
+    that every run is compared without itself in one pass and no group is gathered.
     """
-    window = newest(history, by, order, tie, most)
-    held = window.groupBy(*by).agg(F.count("*").alias("_runs"), F.array_sort(F.collect_list(value)).alias("_v"))
-    n = F.size("_v")
-    middle = lambda m: 0.5 * F.get("_v", F.floor((m - 1) / 2).cast("int")) + 0.5 * F.get("_v", F.ceil((m - 1) / 2).cast("int"))
-    low, high = F.floor((n - 2) / 2).cast("int"), F.ceil((n - 2) / 2).cast("int")
-    four = [F.get("_v", F.greatest(k, F.lit(0))).alias(name) for k, name in ((low, "_a"), (low + 1, "_a1"), (high, "_b"), (high + 1, "_b1"))]
-    held = held.select(*by, "_runs", n.alias("_n"), F.when(n > 0, middle(n)).alias("_whole"), *four)
+    window = history if most is None else newest(history, by, order, tie, most)
+    low, high = (lambda n: F.floor((n - 2) / 2)), (lambda n: F.ceil((n - 2) / 2))
+    places = {
+        "_low": lambda n: F.floor((n - 1) / 2), "_high": lambda n: F.ceil((n - 1) / 2),
+        "_a": low, "_a1": lambda n: low(n) + 1, "_b": high, "_b1": lambda n: high(n) + 1,
+    }
+    middle = _at(window, by, value, places).select(*by, F.col("n").alias("_n"), (0.5 * F.col("_low") + 0.5 * F.col("_high")).alias("_whole"), "_a", "_a1", "_b", "_b1")
+    held = window.groupBy(*by).agg(F.count("*").alias("_runs")).join(middle, by, "left")
     own = window.select(*by, tie, F.lit(True).alias("_own"))
     c = current.join(held, by, "left").join(own, [*by, tie], "left").withColumn("_own", F.coalesce("_own", F.lit(False)))
     without = lambda a, b: F.when(F.col(a) < F.col(value), F.col(a)).otherwise(F.col(b))

@@ -82,9 +82,8 @@ def history_upsert_lastwins(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def benchmark_distribution(spark: SparkSession, sf: str) -> DataFrame:
-    """Distribution of the scores of each profile and stage, over the profile's thousand newest runs without the newest, which is compared with them; those not measured left out."""
-    others = S.newest(_history(spark, sf), ["profile"], "evaluated_at", "run_id", 1000).where("rank > 1")
-    d = S.distribution(others, ["profile", "stage"], "score")
+    """Distribution of the scores of each profile and stage over all runs, those not measured left out."""
+    d = S.distribution(_history(spark, sf), ["profile", "stage"], "score")
     return d.select("profile", "stage", "n", *[F.round(c, 4).alias(c) for c in ("median", "min", "max", "p25", "p75")], "sufficient")
 
 
@@ -94,7 +93,7 @@ def percentile_nearest_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def regression_compare(spark: SparkSession, sf: str) -> DataFrame:
-    """Each package's last score against the median of its profile's thousand newest runs, itself left out."""
+    """Each package's last score against the median of all runs of its profile, itself left out."""
     h = _history(spark, sf)
     current = S.last_wins(h.drop("stage"), ["package_id", "profile"], ["evaluated_at", "run_id"]).select("package_id", "profile", "run_id", "score")
     c = S.compare(current, h, ["profile"], "score")
@@ -219,11 +218,10 @@ ORACLES: dict[str, str] = {
     "oldest_claimable": "SELECT o_orderpriority, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderdate + INTERVAL 30 DAY < TIMESTAMP '1998-06-01' GROUP BY 1",
     "suffix_invalidation": "SELECT event_type, count(*) AS n, event_type IN ('click', 'purchase', 'error') AS cleared FROM events GROUP BY 1",
     "history_upsert_lastwins": f"WITH {_H} SELECT package_id, profile, run_id, score FROM h QUALIFY row_number() OVER (PARTITION BY package_id, profile ORDER BY evaluated_at DESC, run_id DESC) = 1",
-    "benchmark_distribution": f"WITH {_H} SELECT profile, stage, count(*) AS n, round(median(score), 4) AS median, round(min(score), 4) AS min, round(max(score), 4) AS max, round({_RANK.format('score', '0.25')}, 4) AS p25, round({_RANK.format('score', '0.75')}, 4) AS p75, count(*) >= 5 AS sufficient FROM (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY profile ORDER BY evaluated_at DESC, run_id DESC) BETWEEN 2 AND 1000) WHERE score IS NOT NULL GROUP BY 1, 2",
+    "benchmark_distribution": f"WITH {_H} SELECT profile, stage, count(*) AS n, round(median(score), 4) AS median, round(min(score), 4) AS min, round(max(score), 4) AS max, round({_RANK.format('score', '0.25')}, 4) AS p25, round({_RANK.format('score', '0.75')}, 4) AS p75, count(*) >= 5 AS sufficient FROM h WHERE score IS NOT NULL GROUP BY 1, 2",
     "percentile_nearest_rank": f"SELECT event_type, {_RANK.format('value', '0.9')} AS p90 FROM events GROUP BY 1",
     "regression_compare": f"""WITH {_H}, c AS (SELECT package_id, profile, run_id, score FROM h QUALIFY row_number() OVER (PARTITION BY package_id, profile ORDER BY evaluated_at DESC, run_id DESC) = 1),
-      k AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY profile ORDER BY evaluated_at DESC, run_id DESC) <= 1000),
-      d AS (SELECT c.run_id, count(*) AS n, median(k.score) AS m FROM c JOIN k ON k.profile = c.profile AND k.run_id <> c.run_id GROUP BY 1)
+      d AS (SELECT c.run_id, count(*) AS n, median(k.score) AS m FROM c JOIN h k ON k.profile = c.profile AND k.run_id <> c.run_id GROUP BY 1)
       SELECT package_id, profile, round(score - m, 4) AS delta, CASE WHEN coalesce(n, 0) < 5 OR score IS NULL OR m IS NULL THEN 'unknown' WHEN score - m <= -5 THEN 'regressed' WHEN score - m >= 5 THEN 'improved' ELSE 'steady' END AS change FROM c LEFT JOIN d USING (run_id)""",
     "trend_series": f"""WITH {_H}, n AS (SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY evaluated_at DESC, run_id DESC) AS rank FROM h WHERE score IS NOT NULL QUALIFY rank <= 5)
       SELECT package_id, run_id, score, row_number() OVER w AS position, round(score - lag(score) OVER w, 2) AS change FROM n WINDOW w AS (PARTITION BY package_id ORDER BY rank DESC)""",
