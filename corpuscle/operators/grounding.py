@@ -31,27 +31,42 @@ def shingle_keys(tokens: Column, n: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(tokens, i, n), " "))))
 
 
-def nearest_chunk(claims: DataFrame, chunks: DataFrame, n: int = 5) -> DataFrame:
-    """Adds to tokenised claims (claim_id, claim_tokens, ...) the chunk_id that shares most runs of n tokens, the smallest of equals; null if none does.
+def run_keys(tokens: Column, n: int) -> Column:
+    """Hashes of the different runs of n tokens, made token by token without joining them; of a shorter list that isn't empty, its own as a whole."""
+    starts = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.greatest(F.size(tokens) - n, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(*[F.get(tokens, i + k) for k in range(n)])))
+
+
+def nearest_pairs(claims: DataFrame, chunks: DataFrame, n: int = 5) -> DataFrame:
+    """(claim_id, chunk_id): the chunk that shares most runs of n tokens with each claim (claim_id, claim_tokens), the smallest of equals; no row if none does.
 
-    chunks (chunk_id, span_tokens). A claim of fewer tokens is one run, and its chunk the smallest that holds it whole. Candidates
-    meet by an equi-join on hashed runs, so a claim meets no chunk with which it shares nothing, and a shorter claim one chunk
-    at most. Only ids and hashes are shuffled before the nearest chunk is known.
+    chunks (chunk_id, span_tokens). A claim of fewer tokens is one run, and its chunk the smallest that holds it whole. Runs of all lengths meet
+    in one equi-join on hashes, so claims are read once, a claim meets no chunk with which it shares nothing, and a shorter claim one chunk
+    at most. Only ids and hashes are shuffled.
     """
     size = F.size("claim_tokens")
-    few = claims.where((size > 0) & (size < n)).select("claim_id", size.alias("size"), F.xxhash64(F.array_join("claim_tokens", " ")).alias("key"))
-    held = [chunks.select("chunk_id", F.lit(k).alias("size"), F.explode(shingle_keys(F.col("span_tokens"), k)).alias("key")) for k in range(1, n)]
-    short = None
-    for h in held:
-        short = h if short is None else short.unionByName(h)
-    a = claims.select("claim_id", F.explode(shingle_keys(F.col("claim_tokens"), n)).alias("key"))
-    b = chunks.select("chunk_id", F.explode(shingle_keys(F.col("span_tokens"), n)).alias("key"))
-    shared = a.join(b, "key").groupBy("claim_id", "chunk_id").agg(F.count("*").alias("n"))
-    best = shared.groupBy("claim_id").agg(F.max_by("chunk_id", F.struct("n", -F.col("chunk_id"))).alias("chunk_id"))
-    if short is not None:
-        first = short.groupBy("size", "key").agg(F.min("chunk_id").alias("chunk_id"))
-        best = best.unionByName(few.join(first, ["size", "key"]).select("claim_id", "chunk_id"))
-    return claims.join(best, "claim_id", "left")
+    held = lambda k: chunks.where(F.size("span_tokens") >= k).select(F.lit(k).alias("size"), F.explode(run_keys(F.col("span_tokens"), k)).alias("key"), "chunk_id")
+    index = held(n)
+    for k in range(1, n):
+        index = index.unionByName(held(k).groupBy("size", "key").agg(F.min("chunk_id").alias("chunk_id")))
+    keys = claims.select("claim_id", F.least(size, F.lit(n)).alias("size"), F.explode_outer(run_keys(F.col("claim_tokens"), n)).alias("key"))  # outer: else Spark makes the runs a second time, in a filter
+    shared = keys.join(index, ["size", "key"]).groupBy("claim_id", "chunk_id").agg(F.count("*").alias("n"))
+    return shared.groupBy("claim_id").agg(F.max_by("chunk_id", F.struct("n", -F.col("chunk_id"))).alias("chunk_id"))
+
+
+def nearest_chunk(claims: DataFrame, chunks: DataFrame, n: int = 5) -> DataFrame:
+    """Adds to tokenised claims (claim_id, claim_tokens, ...) the chunk_id of nearest_pairs(); null if there is none."""
+    return claims.join(nearest_pairs(claims, chunks, n), "claim_id", "left")
+
+
+def with_sources(claims: DataFrame, text: str, chunks: DataFrame, materialize) -> DataFrame:
+    """Claims (claim_id, text) with their nearest chunk_id, tokenised. The pairs are written first, so that a claim's text is split once to look for its chunk, and once more only if it has one to be held against; without one its tokens are empty."""
+    claims = claims.withColumn("_text", F.col(text))
+    norm = F.explode(F.array(T.simple_normalise(F.col("_text")))).alias("_norm")
+    words = claims.select("claim_id", norm).select("claim_id", F.explode(F.array(T.blank_tokens(F.col("_norm")))).alias("claim_tokens"))
+    pairs = materialize(nearest_pairs(words, chunks))
+    cited = claims.join(pairs, "claim_id", "left").withColumn("_text", F.when(F.col("chunk_id").isNotNull(), F.col("_text")).otherwise(""))
+    return tokenised(cited, "_text", "claim").drop("_text")
 
 
 def audit(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
