@@ -171,7 +171,7 @@ def hybrid_retrieval(spark: SparkSession, sf: str) -> DataFrame:
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), T.word_tokens(F.lower("text")).alias("tokens"))
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     asked = v.join(q.select(F.col("query_id").alias("id")), "id").select(F.col("id").alias("query_id"), "v")
-    found = retrieval.fused([retrieval.lexical_ranks(d, q), retrieval.vector_ranks(v, asked)])
+    found = retrieval.fused([retrieval.lexical_ranks(d, q, materialize=scratch), retrieval.vector_ranks(v, asked)])
     return found.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 9).alias("score"), F.col("rank").cast("long"))
 
 
