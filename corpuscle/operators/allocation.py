@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as T
+
 from ..functions.lexicon import capped_bloom
 
 #: Teaching load by importance, minutes a core concept takes, bounds (fixed values of the planning rules).
@@ -206,12 +208,12 @@ def blueprint(plan: DataFrame, targets: DataFrame, scale: float = 1.0) -> DataFr
 
 def rebuilt_options(options: Column) -> Column:
     """The options (text, is_correct, why) of a multiple-choice item without blank texts and, whatever the case, repetitions, of which the first stays; correct if a repetition is. Null unless two are left and one is correct."""
-    clean = F.filter(options, lambda o: F.trim(F.coalesce(o["text"], F.lit(""))) != "")
-    key = lambda o: F.lower(F.trim(o["text"]))
-    first = F.filter(F.transform(clean, lambda o, i: F.struct(o.alias("o"), i.alias("i"))), lambda x: ~F.exists(F.slice(clean, F.lit(1), x["i"]), lambda o: key(o) == key(x["o"])))
-    right = lambda x: F.exists(clean, lambda o: (key(o) == key(x["o"])) & F.coalesce(o["is_correct"], F.lit(False)))
-    out = F.transform(first, lambda x: F.struct(F.trim(x["o"]["text"]).alias("text"), right(x).alias("is_correct"), x["o"]["why"].alias("why")))
-    return F.when((F.size(out) >= 2) & (F.size(F.filter(out, lambda o: o["is_correct"])) == 1), out)
+    said = F.transform(options, lambda o: F.struct(F.trim(o["text"]).alias("text"), F.lower(F.trim(o["text"])).alias("key"), F.coalesce(o["is_correct"], F.lit(False)).alias("right"), o["why"].alias("why")))
+    first = lambda k: F.filter(k, lambda x, i: ~F.exists(F.slice(k, F.lit(1), i), lambda y: y["key"] == x["key"]))
+    right = lambda k, x: F.exists(k, lambda y: (y["key"] == x["key"]) & y["right"])
+    told = lambda k: F.transform(first(k), lambda x: F.struct(x["text"].alias("text"), right(k, x).alias("is_correct"), x["why"].alias("why")))
+    sound = lambda o: F.when((F.size(o) >= 2) & (F.size(F.filter(o, lambda x: x["is_correct"])) == 1), o)
+    return T.let(T.let(F.filter(said, lambda o: F.coalesce(o["text"], F.lit("")) != ""), told), sound)
 
 
 def rubric_ladder(marks: Column) -> Column:
