@@ -11,7 +11,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -29,6 +29,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(df: DataFrame, **values: Column) -> DataFrame:
+    """Adds columns, each worked out once a row: they pass a generator, behind which no later column can repeat how they were made."""
+    return df.withColumn("_once", F.explode(F.array(F.struct(*[v.alias(k) for k, v in values.items()])))).select(*df.columns, "_once.*")
+
+
 @F.pandas_udf(StringType())
 def normalise(text: pd.Series) -> pd.Series:
     """NFKD, plain punctuation, single blanks, no blanks at the ends, case folded. Spark has no built-in for NFKD or case folding."""
